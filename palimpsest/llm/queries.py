@@ -6,11 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import cutting, encode, neighbors, pack
+from . import cutting, encode, neardup, neighbors, pack
 
 DIM = 64
 
 
+def _near_chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.near_classes(table(spark, d, "chunks"), "chunk_id", "content", "0.7", width=3, min_tokens=30)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_pairs(*_near_chunks(spark, d)).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(*_near_chunks(spark, d)).withColumnRenamed("key", "chunk_id")
+
+
 def p5_vectors(spark: SparkSession, d: str) -> DataFrame:
     """(chunk_id, vec): the usable vector of each chunk, its own or else that of its content in the cache."""
     good = lambda c: (F.size(c) == DIM) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(c, lambda x: x != 0)
