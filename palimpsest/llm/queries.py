@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import cutting, encode, neardup, neighbors, pack
+from . import cutting, encode, neardup, neighbors, pack, together
 
 DIM = 64
 
@@ -43,6 +43,23 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("chunk_id", "neighbour").alias("chunk_id_a"), F.greatest("chunk_id", "neighbour").alias("chunk_id_b")).distinct()
 
 
+def _baskets(spark: SparkSession, d: str) -> DataFrame:
+    """(tbl, project_id, record, items) of searches and commits."""
+    found = table(spark, d, "search_sessions").select(F.lit("search_sessions").alias("tbl"), "project_id", F.col("session_id").alias("record"), F.col("result_chunk_ids").alias("items"))
+    diffs = table(spark, d, "git_diffs").where("commit_hash is not null").groupBy("commit_hash").agg(F.max("project_id").alias("other"), F.collect_set("file_path").alias("items"))
+    commits = table(spark, d, "git_commits").where("commit_hash is not null").groupBy("commit_hash").agg(F.max("project_id").alias("project_id"))
+    diffs = diffs.join(commits, "commit_hash", "left").select(F.lit("git_diffs").alias("tbl"), F.coalesce("project_id", "other").alias("project_id"), F.col("commit_hash").alias("record"), "items")
+    return found.unionByName(diffs)
+
+
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return together.together(_baskets(spark, d), ["tbl", "project_id"], "record", "items", 4, 3.0)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_pairs(spark, d).select("tbl", "project_id", "item_a", "item_b")
+
+
 def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return cutting.split_oversized(table(spark, d, "chunks"), "chunk_id", "content")
 
@@ -64,6 +81,24 @@ def queries():
 
 
 ORACLE = {
+    "p6_found": """
+WITH b AS (
+  SELECT DISTINCT 'search_sessions' AS tbl, project_id, session_id AS rec, i.x AS item
+  FROM search_sessions, unnest(result_chunk_ids) AS i(x) WHERE i.x IS NOT NULL AND session_id IS NOT NULL
+  UNION ALL
+  SELECT DISTINCT 'git_diffs', coalesce(c.project_id, d.other), d.commit_hash, d.file_path
+  FROM (SELECT commit_hash, file_path, max(project_id) OVER (PARTITION BY commit_hash) AS other FROM git_diffs) d
+  LEFT JOIN (SELECT commit_hash, max(project_id) AS project_id FROM git_commits GROUP BY 1) c USING (commit_hash)
+  WHERE d.commit_hash IS NOT NULL AND d.file_path IS NOT NULL),
+n AS (SELECT tbl, project_id, count(DISTINCT rec) AS n FROM b GROUP BY 1, 2),
+k AS (SELECT tbl, project_id, item, count(*) AS n_item FROM b GROUP BY 1, 2, 3),
+ab AS (SELECT x.tbl, x.project_id, x.item AS item_a, y.item AS item_b, count(*) AS n_ab
+  FROM b x JOIN b y ON x.tbl = y.tbl AND x.project_id IS NOT DISTINCT FROM y.project_id AND x.rec = y.rec AND x.item < y.item GROUP BY 1, 2, 3, 4 HAVING count(*) >= 4)
+SELECT ab.tbl, ab.project_id, item_a, item_b FROM ab
+JOIN n ON n.tbl = ab.tbl AND n.project_id IS NOT DISTINCT FROM ab.project_id
+JOIN k ka ON ka.tbl = ab.tbl AND ka.project_id IS NOT DISTINCT FROM ab.project_id AND ka.item = item_a
+JOIN k kb ON kb.tbl = ab.tbl AND kb.project_id IS NOT DISTINCT FROM ab.project_id AND kb.item = item_b
+WHERE n_ab * n.n >= 3 * ka.n_item * kb.n_item""",
     "p7_found": r"SELECT DISTINCT chunk_id FROM chunks WHERE len(regexp_extract_all(content, '[^ \t\n\r\f\x0B]+')) > 400",
 }
 
