@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-from . import cutting, encode, neardup, neighbors, pack, together
+from ..session import cut, table
+from . import cutting, encode, langid, neardup, neighbors, pack, provenance, together
 
 DIM = 64
 
 
+def p2_labels(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.label_files(table(spark, d, "file_metadata"), table(spark, d, "file_chunks"), table(spark, d, "chunks"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_labels(spark, d).where("label <> 'handwritten'").select("project_id", "file_path")
+
+
 def _near_chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return neardup.near_classes(table(spark, d, "chunks"), "chunk_id", "content", "0.7", width=3, min_tokens=30)
 
@@ -76,6 +84,14 @@ def p9_packing(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack(encode.count_tokens(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "size")
 
 
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    return langid.detect(table(spark, d, "documents"), "doc_id", "text", "lang", table(spark, d, "lang_codes"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.mislabelled(cut(p10_segments(spark, d)), "doc_id")
+
+
 def queries():
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit() and name != "p5_vectors"}
 
