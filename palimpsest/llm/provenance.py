@@ -27,7 +27,7 @@ COMPATIBLE = (
     (0.03, 0.01, 0.02, 0.93, 0.01),
     (0.20, 0.02, 0.02, 0.02, 0.74),
 )
-ROOT = (0.96, 0.01, 0.01, 0.01, 0.01)
+ROOT = (0.996, 0.001, 0.001, 0.001, 0.001)
 
 #: Names of directories that hold third-party copies, generated or minified files.
 VENDORED_DIRS = ("node_modules", "vendor", "_vendor", "third_party", "thirdparty", "third-party", "3rdparty", "external", "extern", "externals", "deps", "bower_components", "jspm_packages", "site-packages", "dist-packages", "venv", ".venv", "pods", "carthage", "godeps")
@@ -93,7 +93,10 @@ def label_files(files: DataFrame, links: DataFrame, chunks: DataFrame, group: st
     data = has & ~plain & (F.col("data") >= 0.6 * F.col("chars"))
     gen, ven = F.coalesce("generated", F.lit(False)), F.coalesce("vendored", F.lit(False))
     lock = F.col("name").isin(*LOCK_FILES)
+    segments = F.split("dir", "/")
     own = _evidence(
+        (F.arrays_overlap(segments, F.array(*map(F.lit, VENDORED_DIRS))), (0.01, 0.05, 0.2, 1, 0.1)),
+        (F.arrays_overlap(segments, F.array(*map(F.lit, GENERATED_DIRS))), (0.01, 1, 0.1, 0.1, 0.1)),
         (lock, (0.001, 1, 0.01, 0.01, 0.01)),
         (F.col("name").rlike(_GENERATED_NAME), (0.004, 1, 0.02, 0.05, 0.02)),
         (F.col("name").rlike(_MINIFIED_NAME), (0.004, 0.05, 1, 0.05, 0.02)),
@@ -101,7 +104,8 @@ def label_files(files: DataFrame, links: DataFrame, chunks: DataFrame, group: st
         (ven & ~gen, (0.002, 0.02, 0.05, 1, 0.02)),
         (data, (0.002, 0.02, 0.02, 0.02, 1)),
         (dense & ~data, (0.002, 0.02, 1, 0.05, 0.02)),
-        (has & ~gen & ~ven & ~dense & ~data, (1, 0.25, 0.02, 0.35, 0.01)),
+        # Third-party code looks hand-written.
+        (has & ~gen & ~ven & ~dense & ~data, (1, 0.5, 0.02, 0.5, 0.01)),
     )
     leaves = cut(real.select("g", "p", "dir", *[e.alias(f"b{k}") for k, e in enumerate(own)]))
     # All directories, from the root "" down.
@@ -110,7 +114,7 @@ def label_files(files: DataFrame, links: DataFrame, chunks: DataFrame, group: st
     above = F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))))
     dirs = dirs.select("g", F.explode(above).alias("dir")).distinct()
     base = F.element_at(F.split("dir", "/"), -1)
-    named = _evidence((base.isin(*VENDORED_DIRS), (0.002, 0.01, 0.02, 1, 0.01)), (base.isin(*GENERATED_DIRS), (0.002, 1, 0.02, 0.02, 0.02)), (base.isin(*MINIFIED_DIRS), (0.05, 0.2, 1, 0.1, 0.05)))
+    named = _evidence((base.isin(*VENDORED_DIRS), (1e-4, 0.01, 0.02, 1, 0.01)), (base.isin(*GENERATED_DIRS), (1e-4, 1, 0.02, 0.02, 0.02)), (base.isin(*MINIFIED_DIRS), (0.05, 0.2, 1, 0.1, 0.05)))
     root = [F.when(F.col("dir") == "", math.log(ROOT[k])).otherwise(0.0) + named[k] for k in range(5)]
     depth = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
     parent = F.when(F.col("dir") == "", F.lit(None)).when(F.instr("dir", "/") > 0, F.regexp_replace("dir", "/[^/]*$", "")).otherwise("")
@@ -129,7 +133,9 @@ def label_files(files: DataFrame, links: DataFrame, chunks: DataFrame, group: st
         if d < deepest:
             below = levels[d + 1].select("g", F.col("up").alias("dir"), F.lit(None).cast("string").alias("up"), *[F.col(f"m{k}").alias(f"b{k}") for k in range(5)])
             rows = rows.unionByName(below).groupBy("g", "dir").agg(F.max("up").alias("up"), *[F.sum(c).alias(c) for c in cols])
-        levels[d] = cut(rows.select("g", "dir", "up", *cols, *_to_parent(b)))
+        # A directory whose name decides says nothing about the one it stands in.
+        free = ~base.isin(*VENDORED_DIRS, *GENERATED_DIRS)
+        levels[d] = cut(rows.select("g", "dir", "up", *cols, *[F.when(free, m).otherwise(0.0).alias(f"m{k}") for k, m in enumerate(_to_parent(b))]))
     # Downwards: a parent's belief without the child's own message, seen through the edge.
     total = levels[0].select("g", "dir", *cols)
     done = [total]
