@@ -19,14 +19,19 @@ from ..session import cut
 
 HAND, GENERATED, MINIFIED, VENDORED, BLOB = range(5)
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
-#: P(child's label | parent's label), parents in rows. A hand-written tree holds single files of the other kinds.
-COMPATIBLE = (
-    (0.92, 0.02, 0.02, 0.02, 0.02),
+#: P(child's label | parent directory's label), parents in rows. Single generated files and blobs stand in
+#: hand-written directories, while third-party copies come as directories.
+FILE_IN = (
+    (0.91, 0.04, 0.01, 0.01, 0.03),
     (0.06, 0.90, 0.01, 0.02, 0.01),
     (0.05, 0.01, 0.91, 0.02, 0.01),
     (0.03, 0.01, 0.02, 0.93, 0.01),
     (0.20, 0.02, 0.02, 0.02, 0.74),
 )
+DIR_IN = (
+    (0.963, 0.005, 0.01, 0.02, 0.002),
+    *FILE_IN[1:],
+)
 ROOT = (0.996, 0.001, 0.001, 0.001, 0.001)
 
 #: Names of directories that hold third-party copies, generated or minified files.
@@ -105,7 +110,7 @@ def label_files(files: DataFrame, links: DataFrame, chunks: DataFrame, group: st
         (data, (0.002, 0.02, 0.02, 0.02, 1)),
         (dense & ~data, (0.002, 0.02, 1, 0.05, 0.02)),
         # Third-party code looks hand-written.
-        (has & ~gen & ~ven & ~dense & ~data, (1, 0.5, 0.02, 0.5, 0.01)),
+        (has & ~gen & ~ven & ~dense & ~data, (1, 0.1, 0.02, 0.5, 0.01)),
     )
     leaves = cut(real.select("g", "p", "dir", *[e.alias(f"b{k}") for k, e in enumerate(own)]))
     # All directories, from the root "" down.
@@ -120,7 +125,7 @@ def label_files(files: DataFrame, links: DataFrame, chunks: DataFrame, group: st
     parent = F.when(F.col("dir") == "", F.lit(None)).when(F.instr("dir", "/") > 0, F.regexp_replace("dir", "/[^/]*$", "")).otherwise("")
     dirs = dirs.select("g", "dir", depth.alias("depth"), parent.alias("up"), *[e.alias(f"b{k}") for k, e in enumerate(root)])
     b, cols = [F.col(f"b{k}") for k in range(5)], [f"b{k}" for k in range(5)]
-    from_files = leaves.select("g", "dir", *_to_parent(b)).groupBy("g", "dir").agg(*[F.sum(f"m{k}").alias(f"b{k}") for k in range(5)])
+    from_files = leaves.select("g", "dir", *_to_parent(b, FILE_IN)).groupBy("g", "dir").agg(*[F.sum(f"m{k}").alias(f"b{k}") for k in range(5)])
     keyed = dirs.select("g", "dir", "depth", "up", *cols).unionByName(from_files.select("g", "dir", F.lit(None).cast("int").alias("depth"), F.lit(None).cast("string").alias("up"), *cols))
     tree = cut(keyed.groupBy("g", "dir").agg(F.max("depth").alias("depth"), F.max("up").alias("up"), *[F.sum(c).alias(c) for c in cols]))
     deepest = tree.agg(F.max("depth")).first()[0]
@@ -135,19 +140,19 @@ def label_files(files: DataFrame, links: DataFrame, chunks: DataFrame, group: st
             rows = rows.unionByName(below).groupBy("g", "dir").agg(F.max("up").alias("up"), *[F.sum(c).alias(c) for c in cols])
         # A directory whose name decides says nothing about the one it stands in.
         free = ~base.isin(*VENDORED_DIRS, *GENERATED_DIRS)
-        levels[d] = cut(rows.select("g", "dir", "up", *cols, *[F.when(free, m).otherwise(0.0).alias(f"m{k}") for k, m in enumerate(_to_parent(b))]))
+        levels[d] = cut(rows.select("g", "dir", "up", *cols, *[F.when(free, m).otherwise(0.0).alias(f"m{k}") for k, m in enumerate(_to_parent(b, DIR_IN))]))
     # Downwards: a parent's belief without the child's own message, seen through the edge.
     total = levels[0].select("g", "dir", *cols)
     done = [total]
     for d in range(1, deepest + 1):
         over = done[-1].select("g", F.col("dir").alias("up"), *[F.col(c).alias(f"t{k}") for k, c in enumerate(cols)])
-        total = cut(levels[d].join(over, ["g", "up"]).select("g", "dir", *[(F.col(f"b{k}") + x).alias(f"b{k}") for k, x in enumerate(_from_parent())]))
+        total = cut(levels[d].join(over, ["g", "up"]).select("g", "dir", *[(F.col(f"b{k}") + x).alias(f"b{k}") for k, x in enumerate(_from_parent(DIR_IN))]))
         done.append(total)
     over = done[0]
     for x in done[1:]:
         over = over.unionByName(x)
     over = over.select("g", "dir", *[F.col(c).alias(f"t{k}") for k, c in enumerate(cols)])
-    final = leaves.select("g", "p", "dir", *cols, *_to_parent(b)).join(over, ["g", "dir"]).select("g", "p", *[(F.col(f"b{k}") + x).alias(f"b{k}") for k, x in enumerate(_from_parent())])
+    final = leaves.select("g", "p", "dir", *cols, *_to_parent(b, FILE_IN)).join(over, ["g", "dir"]).select("g", "p", *[(F.col(f"b{k}") + x).alias(f"b{k}") for k, x in enumerate(_from_parent(FILE_IN))])
     best = F.greatest(*cols)
     label = F.coalesce(*[F.when(F.col(c) == best, F.lit(LABELS[k])) for k, c in enumerate(cols)])
     sure = 1 / sum((F.exp(F.col(c) - best) for c in cols), F.lit(0.0))
@@ -161,11 +166,11 @@ def _log_sum(terms: list[Column]) -> Column:
     return top + F.log(sum((F.exp(t - top) for t in terms), F.lit(0.0)))
 
 
-def _to_parent(belief: list[Column]) -> list[Column]:
+def _to_parent(belief: list[Column], likely: tuple) -> list[Column]:
     """m0..m4: the message of a child to its parent, by the parent's label."""
-    return [_log_sum([belief[c] + math.log(COMPATIBLE[p][c]) for c in range(5)]).alias(f"m{p}") for p in range(5)]
+    return [_log_sum([belief[c] + math.log(likely[p][c]) for c in range(5)]).alias(f"m{p}") for p in range(5)]
 
 
-def _from_parent() -> list[Column]:
+def _from_parent(likely: tuple) -> list[Column]:
     """The message to a child, by its label, of a parent with belief t0..t4 that had the child's m0..m4."""
-    return [_log_sum([F.col(f"t{p}") - F.col(f"m{p}") + math.log(COMPATIBLE[p][c]) for p in range(5)]) for c in range(5)]
+    return [_log_sum([F.col(f"t{p}") - F.col(f"m{p}") + math.log(likely[p][c]) for p in range(5)]) for c in range(5)]
