@@ -6,11 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import cutting, encode, langid, neardup, neighbors, pack, provenance, together
+from . import cutting, encode, langid, neardup, neighbors, pack, provenance, secrets, together
 
 DIM = 64
 
 
+def p1_spans(spark: SparkSession, d: str) -> DataFrame:
+    """(tbl, row_id, line_no, start, end): where each secret value stands; rows that repeat are one record."""
+    chunks = secrets.find(table(spark, d, "chunks"), "chunk_id", "content").select(F.lit("chunks").alias("tbl"), F.col("chunk_id").alias("row_id"), "line_no", "start", "end")
+    diffs = secrets.find(table(spark, d, "git_diffs"), "id", "diff_content").select(F.lit("git_diffs").alias("tbl"), F.col("id").alias("row_id"), "line_no", "start", "end")
+    return chunks.unionByName(diffs).distinct()
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_spans(spark, d).select("tbl", "row_id", "line_no").distinct()
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    chunks = secrets.redacted(table(spark, d, "chunks"), "chunk_id", "content").select(F.lit("chunks").alias("tbl"), F.col("chunk_id").alias("row_id"), F.col("content").alias("text"), "n_secrets")
+    diffs = secrets.redacted(table(spark, d, "git_diffs"), "id", "diff_content").select(F.lit("git_diffs").alias("tbl"), F.col("id").alias("row_id"), F.col("diff_content").alias("text"), "n_secrets")
+    return chunks.unionByName(diffs).dropDuplicates(["tbl", "row_id"])
+
+
 def p2_labels(spark: SparkSession, d: str) -> DataFrame:
     return provenance.label_files(table(spark, d, "file_metadata"), table(spark, d, "file_chunks"), table(spark, d, "chunks"))
 
