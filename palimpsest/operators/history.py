@@ -41,7 +41,7 @@ def parse_diffs(sections: DataFrame) -> DataFrame:
     marked = F.concat(F.lit("\n"), F.col("body"))
     blocks = F.split(marked, "\ndiff --git ")
     status = F.filter(F.split(blocks[0], "\n"), lambda x: x.contains("\t"))
-    pairs = F.transform(status, lambda x: F.struct(F.element_at(F.split(x, "\t"), -1).alias("path"), F.substring(F.trim(x), 1, 1).alias("kind")))
+    pairs = F.transform(status, lambda x: F.named_struct(F.lit("path"), F.element_at(F.split(x, "\t"), -1), F.lit("kind"), F.substring(F.trim(x), 1, 1)))
     rows = sections.select("commit_hash", pairs.alias("pairs"), F.explode(F.slice(blocks, 2, F.greatest(F.size(blocks), F.lit(1)))).alias("block"))
     rows = rows.withColumn("block", F.concat(F.lit("diff --git "), F.col("block")))
     rows = rows.withColumn("file_path", diff_path(F.col("block"))).where("file_path is not null")
