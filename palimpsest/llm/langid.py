@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents per language that the classifiers are fitted on, at most, and sentences of each.
-SAMPLE_DOCS, SAMPLE_SENTENCES = 150, 24
-FEATURES, BITS = 4096, 32
+SAMPLE_DOCS, SAMPLE_SENTENCES = 150, 12
+FEATURES, BITS = 2048, 16
 #: Letters that a paragraph's prose has at least, and where a letter is a word or a syllable.
 LETTERS, LETTERS_WIDE = 8, 4
 #: Gap of losses, as a part of the larger, below which a sentence is ambiguous.
@@ -35,7 +35,11 @@ AMBIGUOUS = 0.04
 _FENCE = re.compile(r"\s*(?:```|~~~)")
 _SKIP = re.compile(r"\s*(?:#|Traceback \(|File \"|at [\w.$<>]+[ (]|[\w.]*(?:Error|Exception)\b:?|\|.*\|\s*$|[\w.\-]+\s*[:=]?\s*[\d.,]*\s*$)")
 _REPEATED = re.compile(r"(\S{1,8}?)\1{7,}")
-_CODE = re.compile(r"`[^`\n]*`|https?://\S+|<[^<>\s]{1,24}>|\[[A-Z]{2,9}\]|[A-Za-z0-9_.\-/\\]*[_0-9][A-Za-z0-9_.\-/\\]*(?:\(\))?|[A-Za-z][A-Za-z0-9]*\(\)|\b[a-z]+[A-Z]\w*")
+_LONG = re.compile(r"\S{24}")
+_TICKS = re.compile(r"`[^`\n]*`")
+_ODD = re.compile(r"[_0-9<\[]|[a-z][A-Z]|\(\)|://")
+_CODE = re.compile(r"https?://\S+|<[^<>\s]{1,24}>|\[[A-Z]{2,9}\]|(?<![A-Za-z0-9_.\-/\\])[A-Za-z.\-/\\]*[_0-9][A-Za-z0-9_.\-/\\]*(?:\(\))?|(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9]*\(\)|(?<![A-Za-z0-9])[a-z]+[A-Z]\w*")
+_NO_LETTER = re.compile("(?:[^\\w'’\n\u0300-\u036f\u3099\u309a]|[\\d_])+")
 _WRONG = re.compile("[\u00c2-\u00f4][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]")
 _HIDDEN = re.compile("[\u0000-\u0008\u000b\u000c\u000e-\u001f\u007f\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]|\u001b\\[[0-9;]*m")
 _STOP = re.compile("[.!?…]+(?=\\s|$)|[。！？:：()«»\"“”„\n\u2022→]")
@@ -87,14 +91,17 @@ def paragraphs(text: str) -> Iterator[tuple[int, str]]:
 
 def sentences(para: str) -> list[str]:
     """The prose of a paragraph in parts, lower case, words parted by one blank; empty where there is none."""
-    lines = [x for x in _HIDDEN.sub("", para).split("\n") if not _SKIP.fullmatch(x) and not (_SKIP.match(x) and x.lstrip()[:1] in "#TFa|" and _SKIP.match(x).end() > 3 and not re.search(r"[a-z]{3}[.!?]$", x))]
+    if not para.replace("\n", "").isprintable():
+        para = _HIDDEN.sub("", para)
+    lines = [x for x in para.split("\n") if not _SKIP.fullmatch(x) and not (_SKIP.match(x) and x.lstrip()[:1] in "#TFa|" and _SKIP.match(x).end() > 3 and not re.search(r"[a-z]{3}[.!?]$", x))]
     text = unicodedata.normalize("NFC", repair("\n".join(lines)))
-    text = _CODE.sub(" ", _REPEATED.sub(" ", text))
-    out = []
-    for part in _STOP.split(text):
-        s = " ".join("".join(c if c.isalpha() or c in "'’" or unicodedata.category(c) == "Mn" else " " for c in part).split()).lower()
-        if s:
-            out.append(s)
+    if _LONG.search(text):
+        text = _REPEATED.sub(" ", text)
+    text = _TICKS.sub(" ", text)
+    if _ODD.search(text):
+        text = _CODE.sub(" ", text)
+    text = _NO_LETTER.sub(" ", _STOP.sub("\n", text)).lower()
+    out = [s for s in map(str.strip, text.split("\n")) if s]
     wide = any(_WIDE.search(s) for s in out)
     letters = sum(len(s) - s.count(" ") for s in out)
     words = sum(s.count(" ") + 1 for s in out)
@@ -106,32 +113,21 @@ def sentences(para: str) -> list[str]:
 _SALT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint64)
 
 
-def features(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, ends) of the character 1- to 4-grams of each part, words marked at both sides."""
+def features(parts: list[str]) -> np.ndarray:
+    """Counts of hashed character 1- to 4-grams, words marked at both sides, over the root of their number; a row per part."""
     joined = "\x00".join(f" {s} " for s in parts)
     code = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    part = np.cumsum(code == 0)
+    part = np.cumsum(code == 0) * FEATURES
     h = np.zeros(len(code), np.uint64)
-    grams, owners = [], []
     live = code != 0
+    cells = []
     for n in range(4):
         h = (h[: len(code) - n] if n else h) * np.uint64(0x100000001B3) + (code[n:] + np.uint64(1)) * _SALT[n]
         live = live[: len(code) - n] & (code[n:] != 0)
-        at = np.flatnonzero(live)
-        x = h[at]
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        grams.append(((x >> np.uint64(40)) % np.uint64(FEATURES)).astype(np.int64))
-        owners.append(part[at])
-    owner = np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    return np.concatenate(grams)[order], np.bincount(owner, minlength=len(parts)).cumsum()
-
-
-def _dense(parts: list[str]) -> np.ndarray:
-    grams, ends = features(parts)
-    n = np.diff(ends, prepend=0)
-    x = np.bincount(np.repeat(np.arange(len(parts)), n) * FEATURES + grams, minlength=len(parts) * FEATURES).reshape(len(parts), FEATURES).astype(np.float32)
-    return x / np.sqrt(np.maximum(n, 1))[:, None].astype(np.float32)
+        x = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        cells.append((part[: len(x)] + ((x >> np.uint64(40)) % np.uint64(FEATURES)).astype(np.int64))[live])
+    x = np.bincount(np.concatenate(cells), minlength=len(parts) * FEATURES).reshape(len(parts), FEATURES).astype(np.float32)
+    return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
 
 
 def codewords(k: int, bits: int = BITS, seed: int = 5) -> np.ndarray:
@@ -161,14 +157,15 @@ class Model:
     bias: np.ndarray
     trust: np.ndarray  # of each bit
 
+    def signs(self, parts: list[str]) -> np.ndarray:
+        """What each bit's classifier says, parts x bits."""
+        return np.concatenate([features(parts[i : i + 256]) @ self.weights for i in range(0, len(parts), 256)]) + self.bias
+
     def losses(self, parts: list[str]) -> np.ndarray:
         """Weighted squared hinge losses, parts x languages."""
-        grams, ends = features(parts)
-        n = np.diff(ends, prepend=0)
-        starts = np.concatenate([[0], ends[:-1]])
-        s = np.add.reduceat(self.weights[grams], starts) / np.sqrt(np.maximum(n, 1))[:, None] + self.bias
-        margin = s[:, None, :] * self.code[None]
-        return (np.square(np.maximum(0, 1 - margin)) * self.trust).sum(2)
+        s = self.signs(parts)
+        up, down = np.square(np.maximum(0, 1 - s)) * self.trust, np.square(np.maximum(0, 1 + s)) * self.trust
+        return up @ (self.code > 0).T.astype(np.float32) + down @ (self.code < 0).T.astype(np.float32)
 
 
 def fit(parts: list[str], langs: list[str]) -> Model | None:
@@ -188,62 +185,60 @@ def fit(parts: list[str], langs: list[str]) -> Model | None:
         at = np.flatnonzero(use)
         for i in range(0, len(at), 1000):
             rows = at[i : i + 1000]
-            x = np.concatenate([_dense([parts[j] for j in rows]), np.ones((len(rows), 1), np.float32)], 1)
-            xw = x * share[y[rows]][:, None].astype(np.float32) ** 2
+            x = np.concatenate([features([parts[j] for j in rows]), np.ones((len(rows), 1), np.float32)], 1)
+            xw = x * share[y[rows]][:, None].astype(np.float32)
             gram += xw.T @ x
             cross += xw.T @ code[y[rows]]
         gram[np.diag_indices(FEATURES + 1)] += 1e-3 * len(at) / 50 + 0.5
         w = np.linalg.solve(gram, cross)
         model = Model(names, code, w[:-1].astype(np.float32), w[-1].astype(np.float32), np.ones(BITS, np.float32))
-        loss = np.concatenate([model.losses(parts[i : i + 2000]) for i in range(0, len(parts), 2000)])
-        best = loss.argmin(1)
-        fine = best == y
+        fine = model.losses(parts).argmin(1) == y
         # A bit's trust is how often its sign was right on the sentences that were.
-        hit = np.zeros(BITS)
-        for i in range(0, len(parts), 2000):
-            grams, ends = features(parts[i : i + 2000])
-            s = np.add.reduceat(model.weights[grams], np.concatenate([[0], ends[:-1]])) + 0.0
-            s = s / np.sqrt(np.maximum(np.diff(ends, prepend=0), 1))[:, None] + model.bias
-            hit += ((s * code[y[i : i + 2000]] > 0) & fine[i : i + 2000, None]).sum(0)
+        hit = ((model.signs(parts) * code[y] > 0) & fine[:, None]).sum(0)
         acc = np.clip(hit / max(1, fine.sum()), 0.5, 0.999)
         model.trust = (np.log(acc / (1 - acc)) / np.log(999)).astype(np.float32) + 0.05
         use = fine if fine.any() else use
     return model
 
 
-def segments(text: str | None, model: Model) -> list[tuple[int, str, float, bool]]:
-    """(para_no, lang, confidence, ambiguous) of each prose paragraph, and first of the document as number 0."""
-    if not text:
-        return []
-    found, parts, owner = [], [], []
-    for no, para in paragraphs(text.replace("\r\n", "\n")):
-        s = sentences(para)
-        if s:
-            owner += [len(found)] * len(s)
-            found.append(no)
-            parts += s
+def segments(texts: list[str | None], model: Model) -> list[list[tuple[int, str, float, bool]]]:
+    """Of each text (para_no, lang, confidence, ambiguous) of its prose paragraphs, after those of the document as number 0."""
+    found: list[tuple[int, int]] = []  # (text, paragraph)
+    parts: list[str] = []
+    owner: list[int] = []
+    for i, text in enumerate(texts):
+        for no, para in paragraphs(text.replace("\r\n", "\n")) if text else ():
+            if s := sentences(para):
+                owner += [len(found)] * len(s)
+                found.append((i, no))
+                parts += s
+    out: list[list[tuple[int, str, float, bool]]] = [[] for _ in texts]
     if not found:
-        return []
-    loss = np.concatenate([model.losses(parts[i : i + 512]) for i in range(0, len(parts), 512)])
-    k = len(model.langs)
-    first = loss.argmin(1)
-    low = loss.min(1)
-    rest = np.sort(loss, 1)[:, 1] if k > 1 else low + 1
+        return out
+    k, n = len(model.langs), len(found)
+    loss = model.losses(parts)
+    first, low = loss.argmin(1), loss.min(1)
+    rest = np.partition(loss, 1, axis=1)[:, 1] if k > 1 else low + 1
     sure = (rest - low) / np.maximum(rest, 1e-9)
     letters = np.array([len(s) - s.count(" ") for s in parts], float)
-    votes = np.zeros((len(found), k))
+    at = np.array(owner)
     # An unsure sentence weighs little; it decides only where all are unsure.
-    np.add.at(votes, (np.array(owner), first), letters * np.where(sure < AMBIGUOUS, 0.05, 1.0))
-    size = np.zeros(len(found))
-    np.add.at(size, np.array(owner), letters)
+    votes = np.bincount(at * k + first, letters * np.where(sure < AMBIGUOUS, 0.05, 1.0), n * k).reshape(n, k)
+    size = np.bincount(at, letters, n)
+    best = np.zeros(n)
+    np.maximum.at(best, at, sure)
     lang = votes.argmax(1)
     conf = votes.max(1) / np.maximum(votes.sum(1), 1e-9)
-    total = np.zeros(k)
-    np.add.at(total, lang, size)
-    doc = int(total.argmax())
-    out = [(0, model.langs[doc], float(total[doc] / total.sum()), bool(total[doc] < 0.6 * total.sum()))]
-    best = np.array([sure[np.array(owner) == i].max() for i in range(len(found))])
-    return out + [(no, model.langs[lang[i]], round(float(conf[i]), 6), bool(best[i] < AMBIGUOUS or conf[i] < 0.6)) for i, no in enumerate(found)]
+    doubt = (best < AMBIGUOUS) | (conf < 0.6)
+    doc = np.array([i for i, _ in found])
+    total = np.bincount(doc * k + lang, size, len(texts) * k).reshape(len(texts), k)
+    main, whole = total.argmax(1), total.sum(1)
+    for j, (i, no) in enumerate(found):
+        if not out[i]:
+            share = float(total[i, main[i]] / max(whole[i], 1e-9))
+            out[i].append((0, model.langs[main[i]], round(share, 6), share < 0.6))
+        out[i].append((no, model.langs[lang[j]], round(float(conf[j]), 6), bool(doubt[j])))
+    return out
 
 
 def train(df: DataFrame, key: str, text: str, label: str, aliases: DataFrame, per_lang: int = SAMPLE_DOCS) -> Model | None:
@@ -287,7 +282,8 @@ def detect(df: DataFrame, key: str, text: str, label: str, aliases: DataFrame, m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, *s) for i, t in enumerate(b.column(2).to_pylist()) for s in segments(t, held.value)]
+            texts = b.column(2).to_pylist()
+            rows = [(at + i, *s) for at in range(0, len(texts), 128) for i, found in enumerate(segments(texts[at : at + 128], held.value)) for s in found]
             cols = list(zip(*rows)) if rows else [[]] * 5
             at = pa.array(cols[0], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.bool_())], [key, "label_lang", "para_no", "lang", "confidence", "ambiguous"])
