@@ -39,13 +39,24 @@ _LONG = re.compile(r"\S{24}")
 _TICKS = re.compile(r"`[^`\n]*`")
 _ODD = re.compile(r"[_0-9<\[]|[a-z][A-Z]|\(\)|://")
 _CODE = re.compile(r"https?://\S+|<[^<>\s]{1,24}>|\[[A-Z]{2,9}\]|(?<![A-Za-z0-9_.\-/\\])[A-Za-z.\-/\\]*[_0-9][A-Za-z0-9_.\-/\\]*(?:\(\))?|(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9]*\(\)|(?<![A-Za-z0-9])[a-z]+[A-Z]\w*")
-_NO_LETTER = re.compile("(?:[^\\w'’\n\u0300-\u036f\u3099\u309a]|[\\d_])+")
 _WRONG = re.compile("[\u00c2-\u00f4][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]")
 _HIDDEN = re.compile("[\u0000-\u0008\u000b\u000c\u000e-\u001f\u007f\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]|\u001b\\[[0-9;]*m")
 _STOP = re.compile("[.!?…]+(?=\\s|$)|[。！？:：()«»\"“”„\n\u2022→]")
 _WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 
 
+class _Letters(dict):
+    """Characters as they count: letters in lower case, marks and apostrophes; all others are blanks."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = out = c.lower() if c.isalpha() else c if c in "'’\n" or unicodedata.category(c) == "Mn" else " "
+        return out
+
+
+_LETTERS = _Letters()
+
+
 def _byte(c: str) -> bytes:
     try:
         return c.encode("cp1252")
@@ -100,8 +111,8 @@ def sentences(para: str) -> list[str]:
     text = _TICKS.sub(" ", text)
     if _ODD.search(text):
         text = _CODE.sub(" ", text)
-    text = _NO_LETTER.sub(" ", _STOP.sub("\n", text)).lower()
-    out = [s for s in map(str.strip, text.split("\n")) if s]
+    text = _STOP.sub("\n", text).translate(_LETTERS)
+    out = [s for s in (" ".join(x.split()) for x in text.split("\n")) if s]
     wide = any(_WIDE.search(s) for s in out)
     letters = sum(len(s) - s.count(" ") for s in out)
     words = sum(s.count(" ") + 1 for s in out)
@@ -158,8 +169,11 @@ class Model:
     trust: np.ndarray  # of each bit
 
     def signs(self, parts: list[str]) -> np.ndarray:
-        """What each bit's classifier says, parts x bits."""
-        return np.concatenate([features(parts[i : i + 256]) @ self.weights for i in range(0, len(parts), 256)]) + self.bias
+        """What each bit's classifier says, parts x bits; equal parts are asked once."""
+        number: dict[str, int] = {}
+        at = [number.setdefault(p, len(number)) for p in parts]
+        once = list(number)
+        return (np.concatenate([features(once[i : i + 256]) @ self.weights for i in range(0, len(once), 256)]) + self.bias)[at]
 
     def losses(self, parts: list[str]) -> np.ndarray:
         """Weighted squared hinge losses, parts x languages."""
@@ -283,7 +297,7 @@ def detect(df: DataFrame, key: str, text: str, label: str, aliases: DataFrame, m
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(2).to_pylist()
-            rows = [(at + i, *s) for at in range(0, len(texts), 128) for i, found in enumerate(segments(texts[at : at + 128], held.value)) for s in found]
+            rows = [(at + i, *s) for at in range(0, len(texts), 512) for i, found in enumerate(segments(texts[at : at + 512], held.value)) for s in found]
             cols = list(zip(*rows)) if rows else [[]] * 5
             at = pa.array(cols[0], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.bool_())], [key, "label_lang", "para_no", "lang", "confidence", "ambiguous"])
