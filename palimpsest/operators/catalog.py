@@ -38,13 +38,13 @@ def delete(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 
 def repair_ids(rows: DataFrame, taken: DataFrame, group: str, key: str, number: str) -> DataFrame:
     """Rows whose number another key of the group holds in `taken` get the next free ones, in order of key."""
-    t = taken.select(F.col(group).alias("g"), F.col(number).alias("held"), F.col(key).alias("holder"))
-    clash = rows.join(t, (F.col(group) == F.col("g")) & (F.col(number) == F.col("held")) & (F.col(key) != F.col("holder")), "left")
-    top = taken.groupBy(F.col(group).alias("g2")).agg(F.max(number).alias("top"))
-    hit = F.col("holder").isNotNull()
+    t = taken.select(F.col(group).alias("__g"), F.col(number).alias("__held"), F.col(key).alias("__holder"))
+    clash = rows.select(group, key, number).join(t, (F.col(group) == F.col("__g")) & (F.col(number) == F.col("__held")) & (F.col(key) != F.col("__holder")), "left")
+    top = taken.groupBy(F.col(group).alias("__g2")).agg(F.max(number).alias("__top"))
+    hit = F.col("__holder").isNotNull()
     w = Window.partitionBy(group, hit).orderBy(key)
-    out = clash.join(top, F.col(group) == F.col("g2"), "left").withColumn("__n", F.row_number().over(w))
-    return out.select(group, key, F.when(hit, F.coalesce("top", F.lit(0)) + F.col("__n")).otherwise(F.col(number)).alias(number))
+    out = clash.join(top, F.col(group) == F.col("__g2"), "left").withColumn("__n", F.row_number().over(w))
+    return out.select(group, key, F.when(hit, F.coalesce("__top", F.lit(0)) + F.col("__n")).otherwise(F.col(number)).alias(number))
 
 
 def snapshot_changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,12 +12,13 @@ against what the run before it had seen, for late, repeated and failed runs.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import VersionedTable
+
 #: Rows of the run history up to which it is sent to every executor.
 BROADCAST_RUNS = 20_000
 
@@ -44,72 +45,25 @@ def changes(current: DataFrame, state: DataFrame, keys: list[str], hashed: str)
 
 
 class IncrementalState:
-    """Versions of (keys, hash) in a folder, with an atomically swapped pointer.
-
-    Works on any Hadoop file system whose rename is atomic. The pointer file
-    names the current version; a version is written whole before it is named.
-    """
+    """Versions of (keys, hash) in a folder, swapped atomically."""
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], hashed: str = "content_hash"):
-        self.spark, self.path, self.keys, self.hashed = spark, path.rstrip("/"), keys, hashed
-        jvm = spark.sparkContext._jvm
-        self._jvm = jvm
-        self._root = jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = self._root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _file(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(self._root, name)
-
-    def versions(self) -> list[int]:
-        """Published versions, oldest first."""
-        if not self._fs.exists(self._root):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._root)]
-        return sorted(int(n[8:]) for n in names if n.startswith("current-") and n[8:].isdigit())
-
-    def load(self) -> DataFrame | None:
-        """The newest published version, or None before the first."""
-        found = self.versions()
-        if not found:
-            return None
-        stream = self._fs.open(self._file(f"current-{found[-1]}"))
-        try:
-            name = bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-        return self.spark.read.parquet(f"{self.path}/{name}")
-
-    def publish(self, state: DataFrame, expected: int) -> int:
-        """Writes `state` and names it version expected + 1; fails if another run has done so first."""
-        name = f"data-{uuid.uuid4().hex}"
-        state.select(*self.keys, self.hashed).write.parquet(f"{self.path}/{name}")
-        temp = self._file(f".pointer-{uuid.uuid4().hex}")
-        out = self._fs.create(temp, True)
-        out.write(bytearray(name.encode()))
-        out.close()
-        target = self._file(f"current-{expected + 1}")
-        # A version has one name that is taken once: rename doesn't replace it.
-        if self._fs.exists(target) or not self._fs.rename(temp, target):
-            self._fs.delete(temp, False)
-            raise RuntimeError(f"version {expected + 1} was published by another run")
-        return expected + 1
+        self.table, self.keys, self.hashed = VersionedTable(spark, path), keys, hashed
 
     def run(self, current: DataFrame, work: Callable[[DataFrame], None]) -> int:
         """Hands new and changed rows of `current` to `work`, then publishes the state after them.
 
         Keys that `current` lacks, or has without a hash, keep their last state. If `work` raises, nothing is published.
         """
-        found = self.versions()
+        found = self.table.versions()
         version = found[-1] if found else 0
-        old = self.load() if found else None
-        if old is None:
-            old = current.select(*self.keys, self.hashed).limit(0)
+        old = self.table.load(version) if found else current.select(*self.keys, self.hashed).limit(0)
         todo = changes(current, old, self.keys, self.hashed)
         work(todo)
         fresh = changes(current, old, self.keys, self.hashed).select(*self.keys, self.hashed)
         cond = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in self.keys]
         kept = old.alias("o").join(fresh.alias("n"), cond, "left_anti")
-        return self.publish(kept.select(*self.keys, self.hashed).unionByName(fresh), version)
+        return self.table.publish(kept.select(*self.keys, self.hashed).unionByName(fresh), version)
 
 
 def replay(runs: DataFrame, scans: DataFrame, base: DataFrame, scope: str, run: str, at: str, keys: list[str], arrived: str, observed: str, tie: str, hashed: str) -> DataFrame:
