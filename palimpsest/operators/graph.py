@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def query_nodes(nodes: DataFrame, node_type: str | None = None, name_like: str | None = None, file_path: str | None = None, limit: int = 100) -> DataFrame:
     """Nodes by type, name (LIKE, ignoring case) and file, in order of file and line; at most 500."""
@@ -135,6 +137,7 @@ def polyglot_symbols(source: str | None) -> list[tuple[str, str, int, int]]:
 
 def extract_symbols(df: DataFrame, path: str, text: str, key: list[str] | None = None, extractor=None) -> DataFrame:
     """(key, path, node_type, name, start_line, end_line); Python by its syntax tree, other languages by patterns."""
+    ship(df.sparkSession)
     key = key or []
     cols = [*key, path, text]
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols[:-1]) + ", node_type string, name string, start_line int, end_line int"

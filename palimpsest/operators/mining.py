@@ -7,6 +7,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def co_retrieved(sessions: DataFrame, files: DataFrame, known: DataFrame | None = None, last: int = 500, min_count: int = 1) -> DataFrame:
     """(project_id, chunk_a, chunk_b, pair_count): chunks of different files returned by the same of a project's last searches.
@@ -53,6 +55,7 @@ def auto_trigger(sessions: DataFrame, every: int = 25, gap_s: int = 300, per_day
     A fold needs a project's whole order; its rows are two narrow columns, read as a stream of Arrow batches
     of one sorted partition and never held at once.
     """
+    ship(sessions.sparkSession)
     import pandas as pd
 
     rows = sessions.where("project_id is not null and created_at is not null").select("project_id", F.col("created_at").cast("double").alias("at"), "session_id")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def usable(v: Column, dim: int) -> Column:
     """Of the right length, finite and not all zero; false for null."""
@@ -39,6 +41,7 @@ def knn(df: DataFrame, key: str, vector: str, query: list[float], k: int) -> Dat
 
 def knn_arrow(df: DataFrame, key: str, vector: str, query: list[float], k: int) -> DataFrame:
     """As `knn`, with one matrix product per Arrow batch and the batch's top k only leaving it."""
+    ship(df.sparkSession)
     q = np.array(query, np.float64)
     kind = df.schema[key].dataType.simpleString()
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +29,29 @@ def get_spark(cores: str | int = "*", shuffle_partitions: int = 8, driver_memory
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python workers this package, once per context, however the driver came to import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_palimpsest_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    path = os.path.join(tempfile.mkdtemp(prefix="palimpsest-code-"), "palimpsest.zip")  # read by the driver's own file server only
+    with open(path, "wb") as f:
+        f.write(held.getvalue())
+    sc.addPyFile(path)
+    sc._palimpsest_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` below `sf_dir`."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

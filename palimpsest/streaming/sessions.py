@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.mining import TriggerState
+from ..session import ship
 
 
 def windowed_pairs(stream: DataFrame, window: str = "1 day", late: str = "3 days") -> DataFrame:
@@ -22,6 +23,7 @@ def windowed_pairs(stream: DataFrame, window: str = "1 day", late: str = "3 days
 
 def trigger_stream(stream: DataFrame, every: int = 25, gap_s: int = 300, per_day: int = 1) -> DataFrame:
     """(project_id, fired_at): the trigger as a stateful operator; time is the rows' own, so a replay gives the same."""
+    ship(stream.sparkSession)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else (0, 0.0, "", 0)

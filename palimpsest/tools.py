@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import catalog, fts, fusion, graph, history, mining, vector
+from .session import ship
 from .sources import files as sources
 from .sources.store import VersionedTable
 
@@ -40,6 +41,7 @@ class Memory:
     """Projects, their chunks, history and searches below `path`; directories must lie in `roots`."""
 
     def __init__(self, spark: SparkSession, path: str, roots: list[str] | None = None, embedder=None, dim: int = 64, target: int = 200, overlap: int = 30, generator=None):
+        ship(spark)
         self.spark, self.path, self.roots, self.dim = spark, path, roots or [], dim
         self.embed = embedder or vector.hashing_embedder(dim)
         self.generate = generator or (lambda prompt: "NO_INSIGHT")
