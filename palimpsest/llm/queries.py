@@ -114,6 +114,12 @@ def queries():
 
 
 ORACLE = {
+    "p4_found": r"""
+WITH t AS (SELECT chunk_id, regexp_extract_all(any_value(content), '[^ \t\n\r\f\x0B]+') AS w FROM chunks WHERE content IS NOT NULL AND chunk_id IS NOT NULL GROUP BY 1),
+s AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: concat(w[i], chr(10), w[i + 1], chr(10), w[i + 2]))) AS g FROM t WHERE len(w) >= 30),
+n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
+SELECT a AS chunk_id_a, b AS chunk_id_b FROM p JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b WHERE 10 * c >= 7 * (x.n + y.n - c)""",
     "p6_found": """
 WITH b AS (
   SELECT DISTINCT 'search_sessions' AS tbl, project_id, session_id AS rec, i.x AS item

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, ship
 
 #: Codes of one sorted run in a task's memory: 32 MB of them.
 RUN = 4_000_000
@@ -44,11 +44,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lv, rv = left.values.to_numpy(), right.values.to_numpy()
         for i in range(b.num_rows):
             x, y = lv[lo[i] : lo[i + 1]], rv[ro[i] : ro[i + 1]]
-            if x[0] == y[0]:  # a block with itself
+            if x[0] == y[0]:  # a block with itself, in order
                 p, q = np.triu_indices(len(x), 1)
                 codes = (x[p] << 32) | x[q]
             else:
-                codes = ((x << 32)[:, None] | y[None, :]).ravel()
+                codes = ((np.minimum.outer(x, y) << 32) | np.maximum.outer(x, y)).ravel()
             if len(codes):
                 held.append(codes)
                 size += len(codes)
@@ -103,6 +103,7 @@ def together(records: DataFrame, group: list[str], record: str, items: str, min_
     and repeated ones count once or not at all; records without items count nowhere; null
     groups are a group of their own; rows with a null record are left out.
     """
+    ship(records.sparkSession)
     g = [f"g{i}" for i in range(len(group))]
     rows = records.where(F.col(record).isNotNull()).select(*[F.col(c).alias(a) for c, a in zip(group, g)], F.col(record).alias("rec"), F.explode(items).alias("item")).where("item is not null").distinct()
     rows = cut(rows)
@@ -111,12 +112,19 @@ def together(records: DataFrame, group: list[str], record: str, items: str, min_
     counts = rows.groupBy(*g, "item").agg(F.count("*").alias("n_item")).where(F.col("n_item") >= min_count)
     counts = counts.alias("c").join(totals.alias("t"), same("c", "t")).select("c.*", "t.n").where(F.col("n") >= F.lit(min_lift) * F.col("n_item"))
     numbered = cut(_numbered(counts, [*g, "item"]))
-    tagged = rows.alias("r").join(numbered.select(*g, "item", "num").alias("k"), [*same("r", "k"), F.col("r.item") == F.col("k.item")]).select(*[F.col(f"r.{c}") for c in g], "rec", "num")
-    lists = tagged.groupBy(*g, "rec").agg(F.array_sort(F.collect_list("num")).alias("nums")).where(F.size("nums") > 1)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("nums") - 1) / BLOCK).cast("int")), lambda i: F.slice("nums", i * BLOCK + 1, BLOCK))
-    lists = lists.select(blocks.alias("blocks"))
-    whole = lists.where(F.size("blocks") == 1).select(F.col("blocks")[0].alias("x"), F.col("blocks")[0].alias("y"))
-    wide = lists.where(F.size("blocks") > 1).select("blocks", F.posexplode("blocks").alias("i", "x")).select("x", F.explode(F.slice("blocks", F.col("i") + 1, F.size("blocks"))).alias("y")).repartition("x", "y")
+    # From here on a record is a 64-bit hash of its group and id, and an item its number.
+    tagged = rows.alias("r").join(numbered.select(*g, "item", "num").alias("k"), [*same("r", "k"), F.col("r.item") == F.col("k.item")])
+    tagged = cut(tagged.select(F.xxhash64(*[F.col(f"r.{c}") for c in g], F.col("r.rec")).alias("rec"), "num"))
+    # A record of more than BLOCK items is dealt into blocks by hash before anything of it is collected: each pair of
+    # blocks is a row of its own, so that no task holds a whole record.
+    sizes = tagged.groupBy("rec").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = tagged.join(sizes, "rec", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("blk", F.pmod(F.xxhash64("num"), F.col("blocks")).cast("int"))
+    lists = dealt.groupBy("rec", "blocks", "blk").agg(F.array_sort(F.collect_list("num")).alias("nums"))
+    whole = lists.where((F.col("blocks") > 1) | (F.size("nums") > 1)).select(F.col("nums").alias("x"), F.col("nums").alias("y"))
+    long = lists.where("blocks > 1")
+    left = long.select("rec", "blocks", "blk", F.col("nums").alias("x")).where("blk < blocks - 1").select("rec", "x", F.explode(F.sequence(F.col("blk") + 1, F.col("blocks") - 1)).alias("blk"))
+    wide = left.join(long.select("rec", "blk", F.col("nums").alias("y")), ["rec", "blk"]).select("x", "y")
     runs = whole.unionByName(wide).mapInArrow(_runs, "code long, n long")
     pairs = runs.repartitionByRange("code").sortWithinPartitions("code").mapInArrow(_merge, "code long, n long").where(F.col("n") >= min_count)
     pairs = pairs.select(F.shiftright("code", 32).alias("na"), F.col("code").bitwiseAND((1 << 32) - 1).alias("nb"), F.col("n").alias("n_ab"))
