@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, ship
 
 CAPACITY = 2048
 #: Items a group has on average; the number of groups grows with the items.
@@ -98,6 +98,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, group_
     out; repeated rows are one item; an empty table gives no rows. Groups take
     rows by hash, so no key or source can make one of them large.
     """
+    ship(items.sparkSession)
     clean = items.select(F.col(key).alias("key"), F.col(size).cast("long").alias("size")).where("key is not null and size > 0").dropDuplicates(["key"])
     clean = cut(clean)
     full = F.floor((F.col("size") - 1) / capacity)
