@@ -79,9 +79,9 @@ _VALUE_LINE = re.compile(r"""^[+\- ]?\s*["']?value["']?\s*[:=]\s*(?P<q>["']?)(?P
 # Words of a name that make its value a secret, and last words that make it something about one.
 _SECRET_WORDS = {"password", "passwd", "pwd", "passphrase", "pass", "secret", "secrets", "token", "apikey", "credential", "credentials", "passcode"}
 _ABOUT = set("ref refs reference header headers field fields name names type types kind count counts path paths file files dir length len size min max limit budget url uri endpoint host id ids uuid hash digest checksum sha256 prefix suffix format pattern regex policy provider manager store expiry expires ttl age version label hint column env var variable enabled required rotation interval days hours seconds status index scope scopes param parameter parser izer tokenizer tokens alg algorithm usage".split())
-_PLAIN_KEYS = set("public cache primary foreign sort partition map dict index row group idempotency routing lookup object item shard bucket hash join order unique composite natural surrogate config event message metric redis_cache tag".split())
+_PLAIN_KEYS = {"public", "primary", "foreign", "idempotency"}
 _NOT = re.compile(
-    r"(?i)^(?:|change[-_ ]?(?:me|it|this).*|dummy.*|redacted.*|replace[-_ ]?(?:me|this|with).*|todo\b.*|tbd|fixme.*|your[-_ ].*|my[-_ ](?:password|secret|token|key).*|<.*>?|x{3,}.*|\*+|\.{2,}|-+|_+|#+|none|null|nil|undefined|true|false|yes|no|empty|example.*|placeholder.*|insert[-_ ].*|fill[-_ ].*|sample|test|foo|bar|n/?a|\[.*\]?|\{.*\}?|%[sdv({].*|\$.*|@.*|env[:.(].*|os\.(?:environ|getenv).*|process\.env.*|(?:vault|ssm|arn|file|secret|secrets|secretref|keyring|kms|op|gcp|aws|azure|sops|ref|config)[:+].*|x-[a-z][a-z-]*|bearer|basic|digest|password|secret|token|api[-_ ]?key|hidden|masked|removed|unset|not[-_ ]set|default)$"
+    r"(?i)^(?:|change[-_ ]?(?:me|it|this).*|dummy.*|redacted.*|replace[-_ ]?(?:me|this|with).*|todo\b.*|tbd|fixme.*|your[-_ ].*|my[-_ ](?:password|secret|token|key).*|<.*>?|x{3,}.*|\*+|\.{2,}|-+|_+|#+|none|null|nil|undefined|true|false|yes|no|empty|example.*|placeholder.*|pass|pwd|user(?:name)?|insert[-_ ].*|fill[-_ ].*|sample|test|foo|bar|n/?a|\[.*\]?|\{.*\}?|%[sdv({].*|\$.*|@.*|env[:.(].*|os\.(?:environ|getenv).*|process\.env.*|(?:vault|ssm|arn|file|secret|secrets|secretref|keyring|kms|op|gcp|aws|azure|sops|ref|config)[:+].*|x-[a-z][a-z-]*|bearer|basic|digest|password|secret|token|api[-_ ]?key|hidden|masked|removed|unset|not[-_ ]set|default)$"
 )
 _PATH = re.compile(r"^(?:[\w.\-]*/)+[\w.\-]*$")
 _WORDS = re.compile(r"^[A-Za-z]+(?:[-_ .][A-Za-z]+)*$")
