@@ -10,6 +10,7 @@ import json
 import os
 import time
 import uuid
+from collections import OrderedDict
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,6 +36,8 @@ SCHEMAS = {
     "jobs": "job_id string, kind string, project_id string, status string, at double, error string",
 }
 MAX_QUERY_CHARS, MAX_QUERY_TOKENS = 4096, 256
+#: Search answers held for a while, by project, query and parameters.
+CACHE_ITEMS, CACHE_SECONDS = 512, 300.0
 
 
 class Memory:
@@ -46,6 +49,7 @@ class Memory:
         self.embed = embedder or vector.hashing_embedder(dim)
         self.generate = generator or (lambda prompt: "NO_INSIGHT")
         self.target, self.overlap = target, overlap
+        self._answers: OrderedDict[tuple, tuple[float, dict]] = OrderedDict()
 
     # Tables.
     @cached_property
@@ -60,6 +64,8 @@ class Memory:
     def _put(self, name: str, df: DataFrame) -> None:
         cols = [F.col(c.name).cast(c.dataType) for c in self.spark.createDataFrame([], SCHEMAS[name]).schema]
         self._tables[name].publish(df.select(*cols))
+        if name not in ("search_sessions", "jobs"):
+            self._answers.clear()
 
     def _swap(self, name: str, project_id: str, rows: DataFrame) -> None:
         """A project's rows replaced by `rows`."""
@@ -212,6 +218,10 @@ class Memory:
         """Lexical and vector search fused by reciprocal ranks, with bonuses, diversified, and with the rules of its files."""
         if len(query) > MAX_QUERY_CHARS or len(query.split()) > MAX_QUERY_TOKENS:
             raise ValueError("the query is too long")
+        asked = (project_id, query, max_results, use_mmr, fts_mode, max_content_chars)
+        if asked in self._answers and time.monotonic() - self._answers[asked][0] < CACHE_SECONDS:
+            self._answers.move_to_end(asked)
+            return self._answers[asked][1]
         k = max(1, min(max_results, 50))
         c = self.table("chunks", project_id)
         lex = fusion.ranked(fts.search(c, "chunk_id", "content", query, 200, fts_mode), "score", "chunk_id", "lex_rank")
@@ -230,7 +240,11 @@ class Memory:
         found = [r.asDict() for r in rows.select("chunk_id", "score", "mmr_pos", "token_count", "metadata", "content").collect()]
         found.sort(key=lambda r: (r["mmr_pos"] is None, r["mmr_pos"] or 0, -r["score"], r["chunk_id"]))
         self._log(project_id, query, [r["chunk_id"] for r in found])
-        return {"query": query, "project_id": project_id, "vector_enabled": True, "count": len(found), "results": [{"id": r["chunk_id"], **{x: r[x] for x in ("score", "token_count", "metadata", "content")}} for r in found]}
+        out = {"query": query, "project_id": project_id, "vector_enabled": True, "count": len(found), "results": [{"id": r["chunk_id"], **{x: r[x] for x in ("score", "token_count", "metadata", "content")}} for r in found]}
+        self._answers[asked] = (time.monotonic(), out)
+        while len(self._answers) > CACHE_ITEMS:
+            self._answers.popitem(last=False)
+        return out
 
     def _log(self, project_id: str, query: str, ids: list[str]) -> None:
         row = self.spark.createDataFrame([(uuid.uuid4().hex, project_id, query, ids)], "session_id string, project_id string, query string, result_chunk_ids array<string>").withColumn("created_at", F.current_timestamp())

@@ -106,8 +106,10 @@ def test_tools(spark, tmp_path, log):
     assert m.analyze_temporal_couplings(p, 2)["edges_injected"] == 2 and m.find_references(p, f"{p}:notes.md:FILE:notes.md")
     assert m.analyze_reverts(p)["rules_generated"] == 1
     assert m.analyze_file_coding_style(p, "reader.py")["style_guide"] == "they belong together"
-    m.search_memory("read", p, 5, fts_mode="any")
-    m.search_memory("read", p, 5, fts_mode="any")
+    first = m.search_memory("read", p, 5, fts_mode="any")
+    n = m.table("search_sessions").count()
+    assert m.search_memory("read", p, 5, fts_mode="any") is first and m.table("search_sessions").count() == n
+    m.search_memory("read", p, 4, fts_mode="any")
     assert m.dream_project(p, 1)["insights"] == 1 and m.trigger_rem_cycle(p)["insights"] >= 0
     assert m.repair_project(p)["healthy"] and m.get_codebase_overview(p)["files"] >= 3
     assert {j["status"] for j in m.list_jobs()} == {"COMPLETED"} and not m.cancel_job("none")
@@ -125,3 +127,51 @@ def test_without_the_llm_subpackage():
 
     code = "import sys; sys.modules['palimpsest.llm'] = None; import __spark_entry__ as e; assert 'hybrid_search' in e.queries() and 'p1_found' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_documents(spark, tmp_path):
+    import zipfile
+
+    from palimpsest.sources import documents
+
+    xml = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>' + "".join(f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>" for t in ("One", " ", "two words")) + "</w:body></w:document>"
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", xml)
+    (tmp_path / "b.docx").write_bytes(b"broken")
+    (tmp_path / "c.pdf").write_bytes(b"%PDF-broken")
+    (tmp_path / "d.txt").write_text("x")
+    found = documents.units(files.scan(spark, str(tmp_path)))
+    assert [(r.rel_path, r.text) for r in found.collect()] == [("a.docx", "One\ntwo words")]
+    assert [r.content for r in documents.ingest_units(found).collect()] == ["One\ntwo words"]
+
+
+def test_http_embedder(spark):
+    import http.server
+    import json
+    import threading
+
+    calls = []
+
+    class Answer(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            calls.append(self.path)
+            if len(calls) == 1:
+                self.send_error(503)
+                return
+            out = json.dumps({"data": [{"index": i, "embedding": [float(len(t))]} for i, t in enumerate(body["input"])]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(out)
+
+        def log_message(self, *a):
+            pass
+
+    s = http.server.HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    from palimpsest.sources.embedders import http_embedder
+
+    df = spark.createDataFrame([("ab",), (None,), ("abc",)], "t string").coalesce(1)
+    got = [r.v for r in df.select(http_embedder(f"http://127.0.0.1:{s.server_port}", "m", batch=2)("t").alias("v")).collect()]
+    s.shutdown()
+    assert got == [[2.0], [0.0], [3.0]] and calls == ["/embeddings"] * 3
