@@ -61,7 +61,7 @@ _TOKEN = re.compile(
 )
 _ARMOR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _ARMOR_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_KEY_BODY = re.compile(r"[A-Za-z0-9+/=]{24,}|(?:Proc-Type|DEK-Info|Version|Comment):")
+_KEY_BODY = re.compile(r"[A-Za-z0-9+/=]{24,}|[+\- ]?\s*[A-Za-z0-9+/=]+\r?$|[+\- ]?\s*\.\.\. \((?:diff )?truncated|(?:Proc-Type|DEK-Info|Version|Comment):")
 _URL = re.compile(r"""[A-Za-z][A-Za-z0-9+.\-]*://([^\s:/@"'`]*):([^\s@"'`/]+)@""")
 _USER = re.compile(r"""(?:^|\s)(?:-u|--user)[ =]["']?([^\s:"']+):([^\s"']+)""")
 _SCHEME = re.compile(r"""(?i)\b(bearer|basic)\s+([A-Za-z0-9+/=._~\-]{8,})""")
@@ -70,7 +70,7 @@ _XML = re.compile(r"""<([A-Za-z][\w.\-]*)>([^<>]+)</\1>""")
 _QUOTED = re.compile(r"""(?P<name>[A-Za-z_][\w.\-]*(?: [A-Za-z_][\w\-]*){0,6}?)["'`\])]*(?:\s*:\s*[A-Za-z_][\w.\[\]]*(?=\s*=))?\s*(?::=|=>|\|\||=|:|,|\(|(?<=\s))\s*(?:[bru]|std::string\()?(?=(?P<q>["'`])(?P<v>(?:(?!(?P=q)).)*)(?P=q))""")
 _BARE = re.compile(r"""^[+\- ]?\s*(?:(?:export|set|ENV|ARG)\s+|-\s+|--\s+|#\s*|//\s*)?(?P<name>[A-Za-z_][\w.\-]*(?: [A-Za-z_][\w\-]*){0,4})\s*[:=]\s*(?P<v>[^\s"'`]+)\s*$""")
 _SAID = re.compile(r"""(?i)(?P<name>\b(?:[\w\-]+ )?(?:password|passwd|passphrase|pwd|api key|access key|secret key|secret|token|pin)\b)(?:\s+is)?\s*:\s*(?P<v>[^\s"'`]+)""")
-_WITH = re.compile(r"""(?i)\bwith the (?P<name>(?:[\w\-]+ ){0,5}?(?:password|passwd|passphrase|pwd|key|secret|token|credential|pass))\s+["'`]?(?P<v>[^\s"'`]+)""")
+_WITH = re.compile(r"""(?i)\bwith the (?P<name>(?:[\w\-]+ ){0,5}(?:password|passwd|passphrase|pwd|\w*key|secret|token|credential|pass))\s+["'`]?(?P<v>[^\s"'`]+)""")
 _NETRC = re.compile(r"""(?i)\b(?:login\s+\S+\s+password|identified\s+by|password)\s+(?P<q>["']?)(?P<v>[^\s"']+)(?P=q)""")
 _FLAG = re.compile(r"""(?:^|\s)--?(?P<name>[a-z][a-z0-9\-]*)[= ](?P<v>[^\s"'`\-][^\s"'`]*)""")
 _NAME_LINE = re.compile(r"""^[+\- ]?\s*-?\s*["']?(?:name|key)["']?\s*[:=]\s*["']?([\w.\-]+)["']?,?\s*$""", re.I)
@@ -81,7 +81,7 @@ _SECRET_WORDS = {"password", "passwd", "pwd", "passphrase", "pass", "secret", "s
 _ABOUT = set("ref refs reference header headers field fields name names type types kind count counts path paths file files dir length len size min max limit budget url uri endpoint host id ids uuid hash digest checksum sha256 prefix suffix format pattern regex policy provider manager store expiry expires ttl age version label hint column env var variable enabled required rotation interval days hours seconds status index scope scopes param parameter parser izer tokenizer tokens alg algorithm usage".split())
 _PLAIN_KEYS = {"public", "primary", "foreign", "idempotency"}
 _NOT = re.compile(
-    r"(?i)^(?:|change[-_ ]?(?:me|it|this).*|dummy.*|redacted.*|replace[-_ ]?(?:me|this|with).*|todo\b.*|tbd|fixme.*|your[-_ ].*|my[-_ ](?:password|secret|token|key).*|<.*>?|x{3,}.*|\*+|\.{2,}|-+|_+|#+|none|null|nil|undefined|true|false|yes|no|empty|example.*|placeholder.*|pass|pwd|user(?:name)?|insert[-_ ].*|fill[-_ ].*|sample|test|foo|bar|n/?a|\[.*\]?|\{.*\}?|%[sdv({].*|\$.*|@.*|env[:.(].*|os\.(?:environ|getenv).*|process\.env.*|(?:vault|ssm|arn|file|secret|secrets|secretref|keyring|kms|op|gcp|aws|azure|sops|ref|config)[:+].*|x-[a-z][a-z-]*|bearer|basic|digest|password|secret|token|api[-_ ]?key|hidden|masked|removed|unset|not[-_ ]set|default)$"
+    r"(?i)^(?:|change[-_ ]?(?:me|it|this).*|dummy.*|redacted.*|replace[-_ ]?(?:me|this|with).*|todo\b.*|tbd|fixme.*|your[-_ ].*|my[-_ ](?:password|secret|token|key).*|<.*>?|x{3,}[-_x]*|\*+|\.{2,}|-+|_+|#+|none|null|nil|undefined|true|false|yes|no|empty|example[-_ ]?(?:password|passwd|secret|token|key|value)?|placeholder.*|pass|pwd|user(?:name)?|insert[-_ ](?:your|the|my|a|key|token|password|secret|here)\b.*|fill[-_ ](?:me|this|in)\b.*|sample|test|foo|bar|n/?a|\[.*\]?|\{.*\}?|%[sdv]|%[({].*|\$.*|@.*|env[:.(].*|os\.(?:environ|getenv).*|process\.env.*|(?:vault|ssm|arn|file|secret|secrets|secretref|keyring|kms|op|gcp|aws|azure|sops|ref|config)[:+].*|x-[a-z][a-z-]*|bearer|basic|digest|password|secret|token|api[-_ ]?key|hidden|masked|removed|unset|not[-_ ]set|default)$"
 )
 _PATH = re.compile(r"^(?:[\w.\-]*/)+[\w.\-]*$")
 _WORDS = re.compile(r"^[A-Za-z]+(?:[-_ .][A-Za-z]+)*$")
@@ -109,10 +109,17 @@ def name_power(name: str) -> int:
     return 2 if _SECRET_WORDS & set(words) - {"pass", "token"} else 0
 
 
+def _odd_case(v: str) -> bool:
+    """Capitals where no word, acronym or compound has them."""
+    return len(v) >= 8 and any(not re.fullmatch(r"[a-z]*|[A-Z]*|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*", x) for x in re.split(r"[-_ .+/=]", v))
+
+
 def _random(v: str) -> bool:
     """No word or number: letters and digits mixed, over a length."""
     if len(v) < 16 or len(set(v)) < 8:
         return False
+    if len(v) >= 24 and " " not in v and _odd_case(v) and not re.search(r"\d", v):
+        return True
     return bool(re.search(r"\d", v) and re.search(r"[A-Za-z]", v) and not re.fullmatch(r"[a-z]+(?:[-_/.][a-z]+)*(?:[-_/.]?\d+)?", v) and " " not in v)
 
 
@@ -127,7 +134,7 @@ def is_secret(v: str, power: int, bare: bool = False) -> bool:
         return False
     if power == 1:
         return _random(v) and not _PATH.match(v) or bool(re.search(r"/", v) and len(v) >= 30 and _random(v))
-    if _WORDS.match(v) and not re.search(r"[a-z][A-Z]+[a-z]", v):
+    if _WORDS.match(v) and not _odd_case(v) and not re.search(r"[a-z][A-Z]+[a-z]", v):
         return False
     if re.fullmatch(r"[a-z_]+(?:/[a-z_]+)+", v) or re.fullmatch(r"\d{1,5}|\d+\.\d+|\d+[smhd]", v):
         return False
@@ -177,7 +184,7 @@ def line_spans(line: str, before: str = "", after: str | None = None) -> list[tu
             if spans and spans[-1][0] == at[m.end()]:
                 continue
             spans.append((at[m.start()], at[m.end() - 1] + 1))
-        elif not rest.strip(" \t\r\"'`,;\\+)") and (after is None or _KEY_BODY.search(after)):
+        elif not rest.strip(" \t\r\"'`,;\\+)") and (after is None or _KEY_BODY.match(after) or re.search(r"[A-Za-z0-9+/=]{24}", after)):
             spans.append((at[m.start()], at[m.end() - 1] + 1))
     for m in _TOKEN.finditer(text):
         if "EXAMPLE" not in m.group() and len(set(m.group()[-16:])) > 5:
@@ -231,7 +238,8 @@ def _phrase_power(name: str) -> int:
 
 
 def _said(v: str) -> bool:
-    return bool(re.search(r"\d|[^\w\s]", v)) and not _NOT.match(v)
+    turns = len(re.findall(r"[a-z](?=[A-Z])|[A-Z](?=[a-z])", v))
+    return bool(re.search(r"\d|[^\w\s]", v) or _odd_case(v) and turns >= 4) and not _NOT.match(v)
 
 
 def scan(texts: list[str]) -> list[list[tuple[int, int, int]]]:
