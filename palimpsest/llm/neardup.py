@@ -30,6 +30,8 @@ from .shingles import Shingles, mix, shingles
 
 #: Bits of a fingerprint and reference fingerprints; a distance fits a byte, a table row a long.
 BITS, PIVOTS = 255, 8
+#: Classes that a task remembers having posted.
+POSTED = 1 << 18
 #: Buckets of shingle counts, as powers of two: four per row within these.
 MIN_BUCKETS, MAX_BUCKETS = 12, 21
 
@@ -98,16 +100,20 @@ def near_classes(df: DataFrame, key: str, text: str, threshold: float | str = "0
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(s.docs)), pa.array(s.cls()), pa.array(s.size.astype(np.int32)), sets], ["key", "cls", "n", "items"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = held.value
+        seen, posted = held.value, set()
         for b in batches:
             s = shingles(b.column(0), width, min_tokens)
             if not len(s.docs):
                 continue
             cls, table = s.cls(), pivot_table(s)
-            # A class met before in this batch has posted already.
-            _, first = np.unique(cls, return_index=True)
+            # A class met before in this task has posted already; the rest of its copies go at the distinct.
             fresh = np.zeros(len(cls), bool)
-            fresh[first] = True
+            for i, c in enumerate(cls.tolist()):
+                if c not in posted:
+                    posted.add(c)
+                    fresh[i] = True
+            if len(posted) > POSTED:
+                posted.clear()
             order = np.lexsort((s.hash, seen[(s.hash >> np.uint64(64 - bits)).astype(np.int64)], s.doc))
             doc = s.doc[order]
             begin = np.concatenate([[0], np.cumsum(s.size)[:-1]])
@@ -122,15 +128,17 @@ def near_classes(df: DataFrame, key: str, text: str, threshold: float | str = "0
 
     signed = cut(rows.mapInArrow(sign, f"key {kind}, cls long, n int, items array<int>"))
     members = signed.select("key", "cls", "n").dropDuplicates(["key"])
-    posts = cut(rows.select("text").mapInArrow(post, "h long, cls long, n int, pos int, ix boolean, far long").distinct())
-    small = posts.where("ix").select("h", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("far").alias("fb"))
+    # One shuffle, by shingle, serves the distinct and both sides of the join.
+    posts = rows.select("text").mapInArrow(post, "h long, cls long, n int, pos int, ix boolean, far long").repartition("h").distinct()
+    small = posts.select("h", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("far").alias("fb"), F.col("ix").alias("ixb"))
     large = posts.select("h", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("far").alias("fa"))
     num, den = both.numerator, both.denominator
     apart = F.greatest(*[F.abs(F.shiftrightunsigned("fa", 8 * i).bitwiseAND(255) - F.shiftrightunsigned("fb", 8 * i).bitwiseAND(255)) for i in range(PIVOTS)])
     total = F.col("na") + F.col("nb")
     # What is shared lies at or after the positions of the first common shingle, and is `both` of the total at least.
     room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    cond = (F.struct("nb", "b") < F.struct("na", "a")) & (room * den >= total * num) & ((total - apart) * den >= total * num * 2)
+    # Told of both sides, the index flag stays above the shuffle, which else would be done once for each.
+    cond = (F.col("ixb") | (F.col("na") < 0)) & (F.struct("nb", "b") < F.struct("na", "a")) & (room * den >= total * num) & ((total - apart) * den >= total * num * 2)
     pairs = large.join(small, "h").where(cond).select("a", "b").distinct()
     sets = signed.select("cls", "n", "items").dropDuplicates(["cls"])
     pairs = pairs.join(sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia")), "a")
