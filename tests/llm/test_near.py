@@ -99,6 +99,29 @@ def test_neighbors_copies_and_ties(spark):
     assert got == brute(rows, 3, 2)
 
 
+def test_neighbors_ties_of_scaled_copies(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(3, 8))
+    rows = [(f"g{i:03d}", [float(x) for x in base[i % 3] * rng.uniform(0.1, 9)]) for i in rng.permutation(60)]
+    rows += [(f"q{i}", [float(x) for x in base[i % 3] + 0.01 * rng.normal(size=8)]) for i in range(6)]
+    df = spark.createDataFrame(rows, "id string, v array<double>")
+    got = {(r.id, r.neighbour) for r in neighbors.nearest(df, "id", "v", 5, 8).collect()}
+    assert got == brute(rows, 5, 8)
+    # The same with files in blocks and a footrule cut narrower than the copies.
+    monkeypatch.setattr(neighbors, "BLOCK", 16)
+    assert {(r.id, r.neighbour) for r in neighbors.nearest(df, "id", "v", 5, 8).collect()} == brute(rows, 5, 8)
+
+
+def test_search_block_settles_ties_before_each_cut():
+    n, ids = 400, np.arange(400)
+    v = neighbors.normed(np.random.default_rng(8).normal(size=8) * np.random.default_rng(9).uniform(0.1, 9, (n, 1)))
+    perm = np.tile(np.arange(4, dtype=np.int16), (n, 1))
+    for rerank in (2, 200):
+        q, x, cos = neighbors.search_block(ids, perm, v, ids, perm, v, 5, rerank)
+        got = {i: set(x[q == i].tolist()) for i in range(n)}
+        assert all(len(got[i]) >= 5 and set(sorted(set(range(6)) - {i})[:5]) <= got[i] for i in range(n)) and set(cos) == {1.0}
+
+
 def test_neighbors_long_file_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(f"v{i}", [float(x) for x in np.ones(8) + 0.01 * rng.normal(size=8)]) for i in range(300)]
