@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
+#: Cells of an inverted file, and how many of them a query looks into: for a recall of 0.9. The reference looks into 16.
+NLIST, NPROBE = 100, 64
+
 
 def usable(v: Column, dim: int) -> Column:
     """Of the right length, finite and not all zero; false for null."""
@@ -74,21 +77,29 @@ def shard_count(n: int, threshold: int = 1_000_000, size: int = 250_000) -> int:
     return 1 if n < threshold else -(-n // size)
 
 
-def knn_ivf(df: DataFrame, key: str, vector: str, query: list[float], k: int, nlist: int = 100, nprobe: int = 16, sample: int = 20_000, seed: int = 3) -> DataFrame:
-    """The k best among the cells nearest to the query; cells are fitted on a bounded sample, every row is indexed."""
+def ivf_cells(df: DataFrame, key: str, vector: str, dim: int, nlist: int = NLIST, sample: int = 20_000, seed: int = 3) -> tuple[DataFrame, np.ndarray] | None:
+    """Usable rows with their cell in `prediction`, and the cells' centres, fitted on a bounded sample; None without rows."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = df.where(usable(F.col(vector), len(query))).select(key, vector, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    rows = df.where(usable(F.col(vector), dim)).select(key, vector, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     n = rows.count()
     nlist = max(1, min(nlist, n // 10))
     if n == 0:
-        return knn(df, key, vector, query, k)
+        return None
     part = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(min(1.0, sample / n) * (1 << 20)))
     model = KMeans(k=nlist, maxIter=8, seed=seed).fit(part)
-    centres = np.array(model.clusterCenters())
+    return model.transform(rows), np.array(model.clusterCenters())
+
+
+def knn_ivf(df: DataFrame, key: str, vector: str, query: list[float], k: int, nlist: int = NLIST, nprobe: int = NPROBE, sample: int = 20_000, seed: int = 3) -> DataFrame:
+    """The k best among the cells nearest to the query; cells are fitted on a bounded sample, every row is indexed."""
+    cells = ivf_cells(df, key, vector, len(query), nlist, sample, seed)
+    if cells is None:
+        return knn(df, key, vector, query, k)
+    rows, centres = cells
     probe = np.argsort(-(centres @ np.array(query)))[:nprobe].tolist()
-    return knn(model.transform(rows).where(F.col("prediction").isin(probe)), key, vector, query, k)
+    return knn(rows.where(F.col("prediction").isin(probe)), key, vector, query, k)
 
 
 def hashing_embedder(dim: int = 64):

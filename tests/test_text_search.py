@@ -111,6 +111,27 @@ def test_vectors(spark):
     assert vector.shard_count(999_999) == 1 and vector.shard_count(1_000_001) == 5
 
 
+def test_ivf_recall_with_its_own_parameters(spark):
+    import numpy as np
+
+    for sf in ("sf0.01", "sf0.1"):
+        df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+        rows, centres = vector.ivf_cells(df, "vec_id", "embedding", 64)
+        pdf = rows.select("vec_id", "embedding", "prediction").orderBy("vec_id").toPandas()
+        x, cell = np.array(pdf["embedding"].tolist(), float), pdf["prediction"].to_numpy()
+        recall = {}
+        for probes in (16, vector.NPROBE):
+            recall[probes] = []
+            for i in range(0, len(x), 6):
+                top = np.lexsort((np.arange(len(x)), -np.round(x @ x[i], 6)))[:20]
+                recall[probes].append(np.isin(cell[top], np.argsort(-(centres @ x[i]))[:probes]).mean())
+        print(sf, {p: (round(np.mean(r), 3), min(r), r[0]) for p, r in recall.items()})
+        assert np.mean(recall[vector.NPROBE]) >= 0.9
+        q = x[0].tolist()
+        exact = {r.vec_id for r in vector.knn_arrow(df, "vec_id", "embedding", q, 20).collect()}
+        assert len(exact & {r.vec_id for r in vector.knn_ivf(df, "vec_id", "embedding", q, 20).collect()}) >= 18
+
+
 def test_fusion(spark):
     lex = spark.createDataFrame([("a", 1), ("b", 2)], "id string, lex_rank int")
     vec = spark.createDataFrame([("b", 1), ("c", 2)], "id string, vec_rank int")
