@@ -17,6 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from ..sources.store import VersionedTable
 
 #: Rows of the run history up to which it is sent to every executor.
@@ -53,14 +54,15 @@ class IncrementalState:
     def run(self, current: DataFrame, work: Callable[[DataFrame], None]) -> int:
         """Hands new and changed rows of `current` to `work`, then publishes the state after them.
 
+        `current` is read once: what `work` gets is what enters the state, whatever happens to the source meanwhile.
         Keys that `current` lacks, or has without a hash, keep their last state. If `work` raises, nothing is published.
         """
         found = self.table.versions()
         version = found[-1] if found else 0
         old = self.table.load(version) if found else current.select(*self.keys, self.hashed).limit(0)
-        todo = changes(current, old, self.keys, self.hashed)
+        todo = cut(changes(current, old, self.keys, self.hashed))
         work(todo)
-        fresh = changes(current, old, self.keys, self.hashed).select(*self.keys, self.hashed)
+        fresh = todo.select(*self.keys, self.hashed)
         cond = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in self.keys]
         kept = old.alias("o").join(fresh.alias("n"), cond, "left_anti")
         return self.table.publish(kept.select(*self.keys, self.hashed).unionByName(fresh), version)

@@ -58,6 +58,21 @@ def test_incremental_run_survives_failure(spark, tmp_path):
     assert s.run(df(("a", "2", 0), ("b", "1", 0), ("c", "1", 0), (None, "7", 0)), keep) == 3 and seen[-1] == set()
 
 
+def test_incremental_state_of_a_source_that_changes_while_it_is_worked_on(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a.txt").write_text("one")
+    s = incremental.IncrementalState(spark, f"file://{tmp_path}/s", ["path"])
+    current = lambda: spark.read.format("binaryFile").load(f"file://{tmp_path}/src").select("path", F.sha2("content", 256).alias("content_hash"), F.col("content").cast("string").alias("text"))
+    seen = []
+
+    def work(x):
+        seen.append([r.text for r in x.collect()])
+        (tmp_path / "src/a.txt").write_text("two")
+
+    assert s.run(current(), work) == 1 and s.run(current(), work) == 2 and s.run(current(), work) == 3
+    assert seen == [["one"], ["two"], []]
+
+
 def brute_replay(runs, scans, base):
     out = set()
     for p in {r[1] for r in runs}:
