@@ -13,9 +13,16 @@ from ..operators.mining import TriggerState
 from ..session import ship
 
 
-def windowed_pairs(stream: DataFrame, window: str = "1 day", late: str = "3 days") -> DataFrame:
-    """(window_start, project_id, chunk_a, chunk_b, pair_count): chunks of the same search, by window; rows later than `late` are dropped."""
-    rows = stream.withWatermark("created_at", late).select("project_id", "created_at", F.array_sort(F.array_compact(F.array_distinct("result_chunk_ids"))).alias("ids"))
+def windowed_pairs(stream: DataFrame, window: str = "1 day", late: str | None = None) -> DataFrame:
+    """(window_start, project_id, chunk_a, chunk_b, pair_count): chunks of the same search, by window.
+
+    By default every row counts, however late, and the state holds all windows: for the output modes update and
+    complete. With `late` there is a watermark, which bounds the state and allows append, but update and append
+    then drop what comes behind it; Spark refuses append without one.
+    """
+    if late is not None:
+        stream = stream.withWatermark("created_at", late)
+    rows = stream.select("project_id", "created_at", F.array_sort(F.array_compact(F.array_distinct("result_chunk_ids"))).alias("ids"))
     pairs = F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", lambda b: a < b), lambda b: F.struct(a.alias("chunk_a"), b.alias("chunk_b")))))
     out = rows.select("project_id", "created_at", F.explode(pairs).alias("p"))
     return out.groupBy(F.window("created_at", window), "project_id", "p.chunk_a", "p.chunk_b").agg(F.count("*").alias("pair_count")).select(F.col("window.start").alias("window_start"), "project_id", "chunk_a", "chunk_b", "pair_count")

@@ -73,6 +73,33 @@ def test_streams_equal_batch(spark, tmp_path):
     assert spark.table("pairs").agg(F.sum("pair_count")).first()[0] == n
 
 
+def test_windowed_pairs_keep_late_rows(spark, tmp_path):
+    rows = base.sessions(spark, "/root/testdata/sf0.01").where("project_id is not null and created_at is not null").cache()
+    at = F.col("created_at").cast("double")
+    cuts = rows.select(at.alias("at")).approxQuantile("at", [0.33, 0.66], 0.01)
+    # The newest rows come first, the oldest last, each in a batch of its own.
+    for i, part in enumerate((at > cuts[1], (at > cuts[0]) & (at <= cuts[1]), at <= cuts[0])):
+        rows.where(part).coalesce(1).write.parquet(str(tmp_path / f"part{i}"))
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (f,) = (tmp_path / f"part{i}").glob("*.parquet")
+        f.rename(tmp_path / f"in/{i}.parquet")
+        os.utime(tmp_path / f"in/{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got, batches = {}, []
+
+    def take(df, n):
+        batches.append(n)
+        got.update({tuple(r)[:4]: r.pair_count for r in df.collect()})
+
+    q = sessions.windowed_pairs(stream).writeStream.foreachBatch(take).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    want = {tuple(r)[:4]: r.pair_count for r in sessions.windowed_pairs(rows).collect()}
+    print("pairs", sum(got.values()), "of", sum(want.values()))
+    assert got == want and want and len(batches) >= 3
+
+
 @pytest.mark.parametrize("log", [True])
 def test_tools(spark, tmp_path, log):
     code = tmp_path / "code"
