@@ -1,7 +1,7 @@
 """The public functions: a memory of projects over versioned tables.
 
 Every function builds plans from the operators; results come to the driver only where they are a bounded answer
-(a top k, one row, counts). Tables live below one path and are swapped atomically.
+(a top k, one row, counts), the edges of one node or a project's memory bank. Tables live below one path and are swapped atomically.
 """
 
 from __future__ import annotations
@@ -259,8 +259,10 @@ class Memory:
         return [r.asDict() for r in graph.query_nodes(self.table("graph_nodes", project_id), node_type, name_pattern, file_path, limit).collect()]
 
     def find_references(self, project_id: str, node_id: str) -> list[dict]:
+        """All edges of one node, by direction and peer."""
         one = self.spark.createDataFrame([(node_id,)], "node_id string")
-        return [r.asDict() for r in graph.neighbours(self.table("graph_edges", project_id), self.table("graph_nodes", project_id), one).limit(1000).collect()]
+        found = graph.neighbours(self.table("graph_edges", project_id), self.table("graph_nodes", project_id), one)
+        return [r.asDict() for r in found.orderBy("direction", "peer_id", "edge_type", "peer_name").collect()]
 
     def find_symbol_references(self, symbol_name: str, project_id: str) -> dict:
         nodes, edges = self.table("graph_nodes", project_id), self.table("graph_edges", project_id)
@@ -317,7 +319,7 @@ class Memory:
         return path
 
     def get_project_context(self, project_id: str) -> dict:
-        rows = self.table("chunks", project_id).where(F.col("file_path").startswith("vfs://memory/")).orderBy("file_path", "internal_id").select("file_path", "content").limit(1000).collect()
+        rows = self.table("chunks", project_id).where(F.col("file_path").startswith("vfs://memory/")).orderBy("file_path", "internal_id").select("file_path", "content").collect()
         return self.get_codebase_overview(project_id) | {"memory": {r["file_path"].replace("vfs://memory/", "").replace(".md", ""): r["content"] for r in rows}}
 
     # History.

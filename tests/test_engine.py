@@ -148,6 +148,18 @@ def test_tools(spark, tmp_path, log):
     assert m.list_projects() == []
 
 
+def test_hubs_and_large_memory_banks_come_whole(spark, tmp_path):
+    m = Memory(spark, f"file://{tmp_path}/db", [str(tmp_path)])
+    n = 1100
+    m._put("graph_edges", spark.range(n).select(F.lit("p").alias("project_id"), F.format_string("n%04d", "id").alias("source_id"), F.lit("hub").alias("target_id"), F.lit("calls").alias("edge_type")))
+    found = m.find_references("p", "hub")
+    assert [r["peer_id"] for r in found] == [f"n{i:04d}" for i in range(n)]
+    chunks = m.table("chunks")
+    bank = spark.range(n).select(F.lit("p").alias("project_id"), F.col("id").cast("string").alias("chunk_id"), F.col("id").alias("internal_id"), F.format_string("vfs://memory/s%04d.md", "id").alias("file_path"), F.lit("now").alias("content"))
+    m._put("chunks", chunks.unionByName(bank, allowMissingColumns=True))
+    assert len(m.get_project_context("p")["memory"]) == n
+
+
 def test_without_the_llm_subpackage():
     import subprocess
     import sys
