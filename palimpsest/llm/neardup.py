@@ -96,7 +96,7 @@ def near_classes(df: DataFrame, key: str, text: str, threshold: float | str = "0
             if not len(s.docs):
                 continue
             ends = np.concatenate([[0], np.cumsum(s.size)]).astype(np.int32)
-            sets = pa.ListArray.from_arrays(pa.array(ends), pa.array((s.hash >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(s.hash.view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(s.docs)), pa.array(s.cls()), pa.array(s.size.astype(np.int32)), sets], ["key", "cls", "n", "items"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +126,7 @@ def near_classes(df: DataFrame, key: str, text: str, threshold: float | str = "0
                 indexed = pos[c] < n[c] - _need(2 * n[c], both) + 1
                 yield pa.RecordBatch.from_arrays([pa.array(h[c].view(np.int64)), pa.array(cls[doc[c]]), pa.array(n[c].astype(np.int32)), pa.array(pos[c].astype(np.int32)), pa.array(indexed), pa.array(table[doc[c]])], ["h", "cls", "n", "pos", "ix", "far"])
 
-    signed = cut(rows.mapInArrow(sign, f"key {kind}, cls long, n int, items array<int>"))
+    signed = cut(rows.mapInArrow(sign, f"key {kind}, cls long, n int, items array<long>"))
     members = signed.select("key", "cls", "n").dropDuplicates(["key"])
     # One shuffle, by shingle, serves the distinct and both sides of the join.
     posts = rows.select("text").mapInArrow(post, "h long, cls long, n int, pos int, ix boolean, far long").repartition("h").distinct()

@@ -62,6 +62,16 @@ def test_exact_threshold(spark):
             assert links.count() == int(10 * len(sa & sb) >= 7 * len(sa | sb))
 
 
+def test_exact_threshold_of_long_texts(spark):
+    # 140,000 shared of 200,000: the threshold exactly, in sets whose hashes' upper halves collide
+    words = [f"w{i}" for i in range(200_000)]
+    df = spark.createDataFrame([("x", " ".join(words[:170_000])), ("y", " ".join(words[:140_000] + words[170_000:])), ("z", " ".join(words[1:140_000] + words[170_000:] + ["v"]))], "id string, t string")
+    m, links = neardup.near_classes(df.where("id <> 'z'"), "id", "t", "0.7", 1, 1)
+    assert links.count() == 1
+    m, links = neardup.near_classes(df.where("id <> 'y'"), "id", "t", "0.7", 1, 1)
+    assert links.count() == 0
+
+
 def test_near_empty(spark):
     df = spark.createDataFrame([], "id string, text string")
     m, links = neardup.near_classes(df, "id", "text")
