@@ -34,11 +34,12 @@ GRAMMARS = [
     ("_(tok|key|pat|sec|token|secret)_[A-Za-z0-9]", False),
     ("-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY", False),
     ("://[^ \t\r\n:/@\"'`]*:[^ \t\r\n@/\"'`]", False),
-    ("[ \t](-u|--user)[ =]", False),
+    ("[^A-Za-z0-9_](-u|--user)[ =]", False),
     ("(bearer|basic) +[a-z0-9]", True),
     (_WORD + "[a-z0-9_.\\-]*(>|[\"'`\\])]*[ \t]*(:|=|,|\\|\\||\\())", True),
     (_WORD + "[a-z]*[ \t]+[\"'`]?[^ \t\r\n]", True),
     ("value[\"']?[ \t]*[:=]", True),
+    ("[^A-Za-z0-9_]pin([ \t]+is)?[ \t]*:", True),
 ]
 
 
@@ -63,13 +64,15 @@ _ARMOR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _ARMOR_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _KEY_BODY = re.compile(r"[A-Za-z0-9+/=]{24,}|[+\- ]?\s*[A-Za-z0-9+/=]+\r?$|[+\- ]?\s*\.\.\. \((?:diff )?truncated|(?:Proc-Type|DEK-Info|Version|Comment):")
 _URL = re.compile(r"""[A-Za-z][A-Za-z0-9+.\-]*://([^\s:/@"'`]*):([^\s@"'`/]+)@""")
-_USER = re.compile(r"""(?:^|\s)(?:-u|--user)[ =]["']?([^\s:"']+):([^\s"']+)""")
+_USER = re.compile(r"""(?:^[+\-]?|\s)(?:-u|--user)[ =]["']?([^\s:"']+):([^\s"']+)""")
 _SCHEME = re.compile(r"""(?i)\b(bearer|basic)\s+([A-Za-z0-9+/=._~\-]{8,})""")
 _XML = re.compile(r"""<([A-Za-z][\w.\-]*)>([^<>]+)</\1>""")
 # A name and a quoted value: assignments, defaults, arguments, JSON, calls and declarations.
 _QUOTED = re.compile(r"""(?P<name>[A-Za-z_][\w.\-]*(?: [A-Za-z_][\w\-]*){0,6}?)["'`\])]*(?:\s*:\s*[A-Za-z_][\w.\[\]]*(?=\s*=))?\s*(?::=|=>|\|\||=|:|,|\(|(?<=\s))\s*(?:[bru]|std::string\()?(?=(?P<q>["'`])(?P<v>(?:(?!(?P=q)).)*)(?P=q))""")
 _BARE = re.compile(r"""^[+\- ]?\s*(?:(?:export|set|ENV|ARG)\s+|-\s+|--\s+|#\s*|//\s*)?(?P<name>[A-Za-z_][\w.\-]*(?: [A-Za-z_][\w\-]*){0,4})\s*[:=]\s*(?P<v>[^\s"'`]+)\s*$""")
 _SAID = re.compile(r"""(?i)(?P<name>\b(?:[\w\-]+ )?(?:password|passwd|passphrase|pwd|api key|access key|secret key|secret|token|pin)\b)(?:\s+is)?\s*:\s*(?P<v>[^\s"'`]+)""")
+#: What a `pin` holds that is none to enter: a contact of a board or a version.
+_PLACE = re.compile(r"[A-Za-z]{1,5}[-_]?\d{1,3}|[<>=~^!v]*\d+(?:\.[\dx*]+)+.*|[\w.\-]+[<>=~!]=.*")
 _WITH = re.compile(r"""(?i)\bwith the (?P<name>(?:[\w\-]+ ){0,5}(?:password|passwd|passphrase|pwd|\w*key|secret|token|credential|pass))\s+["'`]?(?P<v>[^\s"'`]+)""")
 _NETRC = re.compile(r"""(?i)\b(?:login\s+\S+\s+password|identified\s+by|password)\s+(?P<q>["']?)(?P<v>[^\s"']+)(?P=q)""")
 _FLAG = re.compile(r"""(?:^|\s)--?(?P<name>[a-z][a-z0-9\-]*)[= ](?P<v>[^\s"'`\-][^\s"'`]*)""")
@@ -215,7 +218,7 @@ def line_spans(line: str, before: str = "", after: str | None = None) -> list[tu
     if m and is_secret(m["v"], name_power(m["name"].replace(" ", "_")), True):
         take(*m.span("v"))
     for m in _SAID.finditer(text):
-        if _said(m["v"]) and is_secret(m["v"].rstrip(".,;"), 2, True) and name_power(m["name"].replace(" ", "_")):
+        if _said(m["v"]) and is_secret(m["v"].rstrip(".,;"), 2, True) and (name_power(m["name"].replace(" ", "_")) or _pin(m["name"], m["v"])):
             take(m.start("v"), m.start("v") + len(m["v"].rstrip(".,;")))
     for m in _FLAG.finditer(text):
         if is_secret(m["v"], name_power(m["name"]), True):
@@ -237,6 +240,10 @@ def _phrase_power(name: str) -> int:
     return name_power(name.replace(" ", "_")) if " " in name else 0
 
 
+def _pin(name: str, v: str) -> bool:
+    return bool(re.fullmatch(r"(?i)(?:(?:the|a|my|your|our|new|old|card|sim|account|user|admin|login|access|security) )?pin", name)) and not _PLACE.fullmatch(v)
+
+
 def _said(v: str) -> bool:
     turns = len(re.findall(r"[a-z](?=[A-Z])|[A-Z](?=[a-z])", v))
     return bool(re.search(r"\d|[^\w\s]", v) or _odd_case(v) and turns >= 4) and not _NOT.match(v)

@@ -43,6 +43,24 @@ def test_no_literal(line):
     assert not S.scan([line])[0], line
 
 
+@pytest.mark.parametrize("line", ["-u admin:Rank45*xyz \\", "+-u admin:Rank45*xyz \\", "--user admin:Rank45*xyz \\", "+--user=admin:Rank45*xyz", "pin: Rank45*xyz", "The PIN is: 48k-2190x"])
+def test_users_at_the_start_of_a_line_and_pins(line):
+    assert S.scan([line])[0] and S.scan(["curl \\\n" + line])[0]
+
+
+@pytest.mark.parametrize("line", ["pin: GPIO17", "pin: 1.2.3", "pin: v2.3.1", "pin: numpy==1.26", "-u root"])
+def test_no_users_or_pins(line):
+    assert not S.scan([line])[0]
+
+
+def test_scan_finds_what_lines_alone_give():
+    more = ["-u admin:Rank45*xyz", "--user admin:Rank45*xyz", "pin: Rank45*xyz", "PIN is : Rank45*xyz"]
+    for line in YES + NO + more:
+        for mark in ("", "+", "-", " ", "\t", "# "):
+            alone = [(a, z) for a, z in S.line_spans(mark + line)]
+            assert [f[1:] for f in S.scan([mark + line])[0]] == alone, mark + line
+
+
 def test_lines_and_redaction_keep_the_code():
     text = 'a = 1\r\npassword = "Rank45*xyz"\nb = "ü"\n-----BEGIN EC PRIVATE KEY-----\n' + "A1b2" * 16 + "\nQ2==\n-----END EC PRIVATE KEY-----\nend"
     found = S.scan([text])[0]
