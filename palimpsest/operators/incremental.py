@@ -6,13 +6,15 @@ changed, and only after its own work has succeeded publishes the next version by
 one atomic rename. A run that dies leaves the pointer where it was, so the next
 one sees the same changes again and none is skipped or repeated.
 
-`replay` is the same comparison over a history of runs at once: what each run saw
-against what the run before it had seen, for late, repeated and failed runs.
+`step` drives a state through a history of runs, one version for each step. `replay`
+is the same comparison over all of them at once: what each run saw against what
+the run before it had seen, for late, repeated and failed runs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,6 +83,40 @@ def replay(runs: DataFrame, scans: DataFrame, base: DataFrame, scope: str, run:
     a key's own observations replaces a join of runs with keys. Observations without a hash or key are
     not seen; runs without a time or scope never run; repeated rows are one; runs at one time go by id.
     """
+    k = [f"k{i}" for i in range(len(keys))]
+    newest = _placed(runs, scans, scope, run, at, keys, arrived, observed, tie, hashed)
+    w = Window.partitionBy("s", *k).orderBy("nth")
+    state = newest.withColumn("now", F.max("obs").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.max("obs").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    start = base.groupBy(F.col(scope).alias("s"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)]).agg(F.max(hashed).alias("start"))
+    both = state.join(start, ["s", *k], "left").withColumn("prior", F.coalesce("before.h", "start"))
+    out = both.where(F.col("prior").isNull() | (F.col("prior") != F.col("now.h")))
+    return out.select(F.col("run").alias(run), F.col("s").alias(scope), *[F.col(a).alias(c) for a, c in zip(k, keys)])
+
+
+def step(path: str, runs: DataFrame, scans: DataFrame, base: DataFrame, scope: str, run: str, at: str, keys: list[str], arrived: str, observed: str, tie: str, hashed: str) -> DataFrame:
+    """The rows of `replay` from an IncrementalState at `path`, which must be free.
+
+    Its first version is `base`; the n-th runs of all scopes make one step, which hands out their changes and
+    publishes what they saw. Runs that no observation reached change nothing and make no version.
+    """
+    spark = base.sparkSession
+    k = [f"k{i}" for i in range(len(keys))]
+    w = Window.partitionBy("s", *k).orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    placed = _placed(runs, scans, scope, run, at, keys, arrived, observed, tie, hashed)
+    seen = cut(placed.withColumn("h", F.max("obs").over(w)["h"]).select("s", *k, "nth", "run", "h"))
+    state = IncrementalState(spark, path, ["s", *k], "h")
+    state.table.publish(base.where(F.col(hashed).isNotNull()).groupBy(F.col(scope).alias("s"), *[F.col(c).alias(a) for a, c in zip(k, keys)]).agg(F.max(hashed).alias("h")))
+    found = [seen.limit(0)]
+    for n in sorted(r[0] for r in seen.select("nth").distinct().collect()):  # a row per run of the longest history
+        state.run(seen.where(F.col("nth") == n), lambda todo: found.append(todo.select(seen.columns)))
+        state.table.prune()
+    state.table.drop()
+    out = reduce(DataFrame.unionByName, found)
+    return out.select(F.col("run").alias(run), F.col("s").alias(scope), *[F.col(a).alias(c) for a, c in zip(k, keys)])
+
+
+def _placed(runs: DataFrame, scans: DataFrame, scope: str, run: str, at: str, keys: list[str], arrived: str, observed: str, tie: str, hashed: str) -> DataFrame:
+    """(s, k0.., nth, run, obs): the newest observation of each key among those that a scope's nth run is the first to see."""
     done = runs.where(F.col(at).isNotNull() & F.col(run).isNotNull() & F.col(scope).isNotNull()).select(F.col(scope).alias("s"), F.col(at).alias("t"), F.col(run).alias("run")).distinct()
     history = done.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("t", "run"))).alias("history"))
     if done.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS:
@@ -90,10 +126,4 @@ def replay(runs: DataFrame, scans: DataFrame, base: DataFrame, scope: str, run:
     late = F.size(F.filter("history", lambda x: x["t"] < F.col("arrived")))
     placed = seen.join(history, "s").withColumn("nth", late).where(F.col("nth") < F.size("history"))
     placed = placed.select("s", *k, "nth", F.element_at("history", F.col("nth") + 1)["run"].alias("run"), "obs")
-    newest = placed.groupBy("s", *k, "nth", "run").agg(F.max("obs").alias("obs"))
-    w = Window.partitionBy("s", *k).orderBy("nth")
-    state = newest.withColumn("now", F.max("obs").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.max("obs").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    start = base.groupBy(F.col(scope).alias("s"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)]).agg(F.max(hashed).alias("start"))
-    both = state.join(start, ["s", *k], "left").withColumn("prior", F.coalesce("before.h", "start"))
-    out = both.where(F.col("prior").isNull() | (F.col("prior") != F.col("now.h")))
-    return out.select(F.col("run").alias(run), F.col("s").alias(scope), *[F.col(a).alias(c) for a, c in zip(k, keys)])
+    return placed.groupBy("s", *k, "nth", "run").agg(F.max("obs").alias("obs"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.incremental import replay
-from ..session import table
+from ..operators.incremental import step
+from ..session import shared_dir, table
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -14,7 +16,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     real = ~F.col("file_path").startswith("vfs://")
     scans = table(spark, d, "file_scans").where(real)
     base = table(spark, d, "file_metadata").where(real)
-    return replay(runs, scans, base, "project_id", "job_id", "created_at", ["file_path"], "arrived_at", "observed_at", "scan_id", "content_hash")
+    path = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
+    return step(path, runs, scans, base, "project_id", "job_id", "created_at", ["file_path"], "arrived_at", "observed_at", "scan_id", "content_hash")
 
 
 QUERIES = {"p3_found": p3_found}

@@ -35,12 +35,15 @@ class VersionedTable:
         found = self.versions()
         if not found:
             return None
-        stream = self._fs.open(self._file(f"current-{version or found[-1]}"))
+        return self.spark.read.parquet(f"{self.path}/{self._name(version or found[-1])}")
+
+    def _name(self, version: int) -> str:
+        """The folder that a version's pointer names."""
+        stream = self._fs.open(self._file(f"current-{version}"))
         try:
-            name = bytes(stream.readAllBytes()).decode()
+            return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
-        return self.spark.read.parquet(f"{self.path}/{name}")
 
     def publish(self, df: DataFrame, expected: int | None = None) -> int:
         """Writes `df` as the version after `expected` (by default the newest); an error if that one is taken by then."""
@@ -57,6 +60,13 @@ class VersionedTable:
             raise RuntimeError(f"version {expected + 1} was published by another run")
         return expected + 1
 
+    def prune(self, keep: int = 1) -> None:
+        """Removes all but the newest `keep` versions, pointers first."""
+        for version in self.versions()[:-keep]:
+            name = self._name(version)
+            self._fs.delete(self._file(f"current-{version}"), False)
+            self._fs.delete(self._file(name), True)
+
     def drop(self) -> None:
         """Removes the table with all its versions."""
         self._fs.delete(self._root, True)

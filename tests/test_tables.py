@@ -73,6 +73,20 @@ def test_incremental_state_of_a_source_that_changes_while_it_is_worked_on(spark,
     assert seen == [["one"], ["two"], []]
 
 
+def test_p3_found_is_driven_through_the_state(spark, monkeypatch):
+    from palimpsest.plans import incremental as plan
+    from palimpsest.session import table
+
+    d, versions = "/root/testdata/sf0.01", []
+    run = incremental.IncrementalState.run
+    monkeypatch.setattr(incremental.IncrementalState, "run", lambda self, *a: versions.append(run(self, *a)) or versions[-1])
+    got = sorted(tuple(r) for r in plan.p3_found(spark, d).collect())
+    runs, real = table(spark, d, "scan_runs").where("kind = 'update_project' AND status = 'COMPLETED'"), ~F.col("file_path").startswith("vfs://")
+    want = incremental.replay(runs, table(spark, d, "file_scans").where(real), table(spark, d, "file_metadata").where(real), "project_id", "job_id", "created_at", ["file_path"], "arrived_at", "observed_at", "scan_id", "content_hash")
+    assert got == sorted(tuple(r) for r in want.collect()) and got
+    assert len(versions) > 1 and versions == list(range(2, len(versions) + 2))
+
+
 def brute_replay(runs, scans, base):
     out = set()
     for p in {r[1] for r in runs}:
