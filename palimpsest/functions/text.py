@@ -56,6 +56,36 @@ def windows(text: Column, target: int = 200, overlap: int = 30) -> Column:
     )
 
 
+def window_lines(text: Column, target: int = 200, overlap: int = 30) -> Column:
+    """As `windows`, with `skipped` and `inside`: the line breaks from a window's first token to the next window's, and to its own last token.
+
+    The first window's `skipped` has those before its first token in `lead`. Every break is counted for one window
+    only, so that a running sum over a text's windows gives their lines.
+    """
+    target = max(50, target)
+    step = target - min(max(0, overlap), target - 1)
+    p = pieces(text)
+    breaks = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    part = lambda a, n: breaks(F.array_join(F.slice(p, a + 1, n), ""))
+    return F.transform(
+        windows(text, target, overlap),
+        lambda w: F.struct(
+            w["chunk_index"].alias("chunk_index"),
+            w["first_token"].alias("first_token"),
+            w["last_token"].alias("last_token"),
+            w["content"].alias("content"),
+            F.when(w["chunk_index"] == 0, breaks(F.regexp_extract(text, f"^{WHITE}*", 0))).otherwise(0).alias("lead"),
+            part(w["first_token"], F.lit(step)).alias("skipped"),
+            part(w["first_token"], w["last_token"] - w["first_token"]).alias("inside"),
+        ),
+    )
+
+
+def valid_name(name: Column) -> Column:
+    """A name of 1 to 200 printable characters."""
+    return (F.length(F.trim(name)) > 0) & (F.length(name) <= 200) & ~name.rlike(r"[\p{Cc}\p{Cf}\p{Zl}\p{Zp}]")
+
+
 def truncate_tokens(text: Column, limit: int) -> Column:
     """The first `limit` tokens without the white space after them; a text that fits is returned as it is."""
     p = pieces(text)

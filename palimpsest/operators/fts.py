@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ACCENTED, PLAIN, tokens
+from ..session import ship
 
 K1, B = 1.2, 0.75
 #: What the inverse document frequency becomes where it isn't positive.
@@ -118,14 +122,104 @@ def condition(node: tuple | None, text: Column) -> Column:
     return a & b if node[0] == "AND" else a | b if node[0] == "OR" else a & ~b
 
 
-def postings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, tf, first_pos, dl): an inverted index. One shuffle, partly aggregated before it.
+def postings(df: DataFrame, key: str, text: str, also: list[str] | None = None) -> DataFrame:
+    """(*also, key, term, tf, dl, positions): an inverted index, positions from 0 in order. One narrow stage, no shuffle.
 
-    Null and empty texts have no postings.
+    Null and empty texts have no postings. Rows that share a key are indexed each.
     """
-    toks = df.select(F.col(key).alias("key"), tokens(F.col(text)).alias("toks"))
-    rows = toks.select("key", F.size("toks").alias("dl"), F.posexplode("toks").alias("pos", "term"))
-    return rows.groupBy("term", "key").agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"), F.first("dl").alias("dl")).withColumnRenamed("key", key)
+    ship(df.sparkSession)
+    cols = [*(also or []), key]
+    toks = df.select(*cols, tokens(F.col(text)).alias("__toks")).where(F.size("__toks") > 0)
+    n = len(cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                lists = part.column(n)
+                lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                words = lists.flatten().dictionary_encode()
+                code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                doc = np.repeat(np.arange(len(lengths)), lengths)
+                pos = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                order = np.argsort(doc * (len(words.dictionary) + 1) + code, kind="stable")  # positions stay in order
+                d, c = doc[order], code[order]
+                first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (c[1:] != c[:-1])]))
+                ends = np.append(first, len(d))
+                owner = pa.array(d[first])
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(i).take(owner) for i in range(n)], words.dictionary.take(pa.array(c[first])), pa.array(np.diff(ends)), pa.array(lengths[d[first]]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(pos[order].astype(np.int32)))],
+                    [*cols, "term", "tf", "dl", "positions"],
+                )
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
+    return toks.mapInArrow(run, f"{kinds}, term string, tf long, dl long, positions array<int>")
+
+
+def totals(df: DataFrame, text: str, group: list[str] | None = None) -> DataFrame:
+    """(*group, docs, tokens): how many texts there are, null and empty ones too, and their tokens."""
+    size = F.size(tokens(F.coalesce(F.col(text), F.lit(""))))
+    return df.groupBy(*(group or [])).agg(F.count("*").alias("docs"), F.coalesce(F.sum(size), F.lit(0)).alias("tokens"))
+
+
+def every_phrase(node: tuple | None) -> list[tuple[str, ...]]:
+    """All phrases of a tree, in order and once each."""
+    if node is None:
+        return []
+    found = [node[1]] if node[0] == "phrase" else every_phrase(node[1]) + every_phrase(node[2])
+    return list(dict.fromkeys(found))
+
+
+def match(index: DataFrame, sums: DataFrame, key: str, terms: list[Term], also: list[str] | None = None, within: Column | None = None) -> DataFrame:
+    """(key, *also, score) of every row of a stored index that matches; lower is better.
+
+    `index` are postings, of which only those of the query's words are read, and `sums` rows of totals. The statistics
+    are those of the whole index; `within`, a condition on `also`, restricts what comes out. A phrase occurs wherever its
+    words stand in a row. A query without terms matches nothing.
+    """
+    node, also = tree(terms), also or []
+    every, scored = every_phrase(node), phrases(node)
+    if not every:
+        return index.select(key, *also, F.lit(0.0).alias("score")).limit(0)
+    words = sorted({w for p in every for w in p})
+    hit = index.where(F.col("term").isin(words))
+    spread = sorted({w for p in every if len(p) > 1 for w in p})
+    wanted = {w: F.max(F.when(F.col("term") == w, F.col("tf"))).alias(f"tf_{i}") for i, w in enumerate(words)}
+    places = {w: F.max(F.when(F.col("term") == w, F.col("positions"))).alias(f"at_{i}") for i, w in enumerate(words) if w in spread}
+    docs = hit.groupBy(key, *also).agg(F.max("dl").alias("dl"), *wanted.values(), *places.values())
+    number = {w: i for i, w in enumerate(words)}
+
+    def freq(p: tuple[str, ...]) -> Column:
+        if len(p) == 1:
+            return F.coalesce(F.col(f"tf_{number[p[0]]}"), F.lit(0))
+        rest = [F.col(f"at_{number[w]}") for w in p[1:]]
+        runs = F.filter(F.col(f"at_{number[p[0]]}"), lambda x: reduce(lambda a, b: a & b, [F.array_contains(r, x + i) for i, r in enumerate(rest, 1)]))
+        return F.coalesce(F.size(runs), F.lit(0))
+
+    rows = docs.select(key, *also, "dl", *[F.greatest(freq(p), F.lit(0)).alias(f"f{i}") for i, p in enumerate(every)])
+    held = rows.agg(*[F.count(F.when(F.col(f"f{i}") > 0, 1)).alias(f"n{i}") for i in range(len(every))])
+    corpus = sums.agg(F.sum("docs").alias("total"), (F.sum("tokens") / F.sum("docs")).alias("avgdl"))
+
+    def holds(x: tuple) -> Column:
+        if x[0] == "phrase":
+            return F.col(f"f{every.index(x[1])}") > 0
+        a, b = holds(x[1]), holds(x[2])
+        return a & b if x[0] == "AND" else a | b if x[0] == "OR" else a & ~b
+
+    found = rows.where(holds(node))
+    found = found.where(within) if within is not None else found
+    both = found.crossJoin(F.broadcast(held)).crossJoin(F.broadcast(corpus))  # one row each
+    score = F.lit(0.0)
+    for p in scored:
+        i = every.index(p)
+        t = F.col(f"f{i}")
+        score = score - idf(F.col(f"n{i}"), F.col("total")) * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return both.select(key, *also, F.round(score, 6).alias("score"))
+
+
+def best(index: DataFrame, sums: DataFrame, key: str, query: str, limit: int = 200, mode: str = "strict", also: list[str] | None = None, within: Column | None = None) -> DataFrame:
+    """(key, score): the best `limit` rows of a query on a stored index, ties by key."""
+    return match(index, sums, key, parse(query, mode), also, within).orderBy("score", key).limit(limit).select(key, "score")
 
 
 def idf(n: Column, total: Column) -> Column:
@@ -134,7 +228,7 @@ def idf(n: Column, total: Column) -> Column:
 
 
 def bm25(df: DataFrame, key: str, text: str, terms: list[Term], also: list[str] | None = None) -> DataFrame:
-    """(key, *also, score) of every row that matches; lower is better.
+    """(key, *also, score) of every row that matches, of texts without a stored index; lower is better.
 
     One pass finds frequencies and lengths of the whole corpus, a second scores: neither shuffles rows, only one row of
     sums per task. Null texts count as empty documents. A query without terms matches nothing.

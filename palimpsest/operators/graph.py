@@ -93,6 +93,49 @@ def inject_rules(chunks: DataFrame, rules: list[tuple[str, str, int]], path: str
     return chunks.withColumn(text, F.when(F.col(path).isNull() | (head == ""), F.col(text)).otherwise(F.concat(head, F.lit("\n"), F.col(text))))
 
 
+def apply_rules(chunks: DataFrame, rules: DataFrame, path: str, text: str) -> DataFrame:
+    """As `inject_rules` for a bounded list of chunks and a table of rules (rule_id, file_pattern, rule_text, priority) of any size.
+
+    The chunks, a page of answers, go to the rules. Chunks without a path, and without a rule, stay as they are.
+    """
+    from ..functions.glob import rule_regex
+
+    import pandas as pd
+
+    def regexes(patterns: pd.Series) -> pd.Series:
+        return patterns.map(lambda p: None if p is None else rule_regex(p))
+
+    regexes.__annotations__ = {"patterns": pd.Series, "return": pd.Series}
+    ship(chunks.sparkSession)
+    one = chunks.select(F.col(path).alias("__path")).where("__path is not null").distinct()
+    known = rules.select("rule_id", "rule_text", "priority", F.pandas_udf(regexes, "string")("file_pattern").alias("__regex"))
+    hit = known.join(F.broadcast(one), F.expr("__path rlike __regex")).groupBy("__path").agg(F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), "rule_id", "rule_text"))).alias("__rules"))
+    head = F.array_join(F.transform("__rules", lambda r: F.concat(F.lit("[Repo Constraint]: "), r["rule_text"], F.lit("\n"))), "")
+    out = chunks.join(hit, F.col(path) == F.col("__path"), "left")
+    return out.withColumn(text, F.when(F.col("__rules").isNull(), F.col(text)).otherwise(F.concat(head, F.lit("\n"), F.col(text)))).drop("__path", "__rules")
+
+
+def symbol_files(queries: DataFrame, key: str, text: str, nodes: DataFrame, each: int = 50) -> DataFrame:
+    """(key, file_path): files with a node whose name contains a symbol of the query, of each symbol the first `each` nodes by file and line.
+
+    A query has at most 256 symbols; they go to the nodes, which are read once.
+    """
+    from ..functions.text import candidate_symbols
+
+    syms = queries.select(F.col(key).alias("__key"), F.explode(F.slice(F.array_distinct(candidate_symbols(F.col(text))), 1, 256)).alias("__sym"))
+    hit = nodes.join(F.broadcast(syms), F.lower("name").contains(F.lower("__sym")))
+    w = Window.partitionBy("__key", "__sym").orderBy("file_path", "start_line", "node_id")
+    rows = hit.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= each)
+    return rows.select(F.col("__key").alias(key), "file_path").distinct()
+
+
+def lifted(hits: DataFrame, files: DataFrame, boost: float = 0.03) -> DataFrame:
+    """Hits (score: lower is better, file_path) with graph_match, and a score, higher is better, that chunks of `files` get `boost` on top of."""
+    marked = files.select(F.col("file_path").alias("__f")).distinct().withColumn("__hit", F.lit(1))
+    rows = hits.join(marked, F.col("file_path") == F.col("__f"), "left")
+    return rows.withColumn("graph_match", F.col("__hit").isNotNull()).withColumn("score", F.round(-F.col("score") + boost * F.coalesce("__hit", F.lit(0)), 6)).drop("__f", "__hit")
+
+
 def python_symbols(source: str | None) -> list[tuple[str, str, int, int]]:
     """(type, name, first line, last line) of functions and classes, breadth first; nothing where the source is no Python."""
     try:

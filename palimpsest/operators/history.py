@@ -2,21 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import fts, fusion, vector
+from .pairs import pairs_within
+
 MARKER = "===COMMIT_START==="
+# Fixed value: what a rule drawn from a revert says.
+RULE = (
+    "CRITICAL: Anti-pattern detected from reverted commit {short}.\n\n"
+    "Original commit: '{bad}'\n"
+    "This commit was REVERTED because it caused a regression.\n\n"
+    "Affected files: {files}\n"
+    "{more}\n\n"
+    "Before making similar changes, review why this was reverted:\n"
+    "Revert message: '{undo}'\n\n"
+    "Recommendation: Search git history for this commit to understand the failure."
+)
 DIFF_CHARS, DIFF_CUT = 2000, "\n... (truncated)"
 
 
+def unquoted(path: Column) -> Column:
+    """A path as it is, of the text between the quotes that git puts around odd ones."""
+    return F.replace(F.replace(F.replace(path, F.lit("\\\\"), F.lit("\\")), F.lit('\\"'), F.lit('"')), F.lit("\\t"), F.lit("\t"))
+
+
 def diff_path(diff: Column) -> Column:
-    """The path of a diff: after +++ b/, else of a binary line, else after --- a/, among its first 15 lines."""
+    """The path of a diff: after +++ b/, else of a binary line, else after --- a/, among its first 15 lines; quoted ones without their escapes."""
     head = F.substring_index(diff, "\n", 15)
-    plus = F.regexp_extract(head, r'(?m)^\+\+\+ "?b/(.*?)"?$', 1)
-    binary = F.regexp_extract(head, r"(?m)^Binary files? a/.+ and b/(.+) differ$", 1)
-    minus = F.regexp_extract(head, r'(?m)^--- "?a/(.*?)"?$', 1)
+    get = lambda pattern: F.regexp_extract(head, pattern, 1)
     found = lambda c: F.when(c != "", c)
-    return F.coalesce(found(plus), found(binary), found(minus))
+    quoted = lambda mark: found(unquoted(F.regexp_replace(get(rf'(?:^|\n){mark}([^\n]*)'), '"$', "")))
+    return F.coalesce(
+        found(get(r"(?:^|\n)\+\+\+ b/([^\n]*)")), quoted(r'\+\+\+ "b/'),
+        found(get(r"(?:^|\n)Binary files? a/[^\n]+ and b/([^\n]+) differ(?:\n|$)")),
+        found(get(r"(?:^|\n)--- a/([^\n]*)")), quoted(r'--- "a/'),
+    )
 
 
 def parse_sections(df: DataFrame, section: str) -> DataFrame:
@@ -41,11 +65,12 @@ def parse_diffs(sections: DataFrame) -> DataFrame:
     marked = F.concat(F.lit("\n"), F.col("body"))
     blocks = F.split(marked, "\ndiff --git ")
     status = F.filter(F.split(blocks[0], "\n"), lambda x: x.contains("\t"))
-    pairs = F.transform(status, lambda x: F.named_struct(F.lit("path"), F.element_at(F.split(x, "\t"), -1), F.lit("kind"), F.substring(F.trim(x), 1, 1)))
+    bare = lambda p: F.when(p.startswith('"'), unquoted(F.regexp_replace(p, '^"|"$', ""))).otherwise(p)
+    pairs = F.transform(status, lambda x: F.named_struct(F.lit("path"), bare(F.element_at(F.split(x, "\t"), -1)), F.lit("kind"), F.substring(F.trim(x), 1, 1)))
     rows = sections.select("commit_hash", pairs.alias("pairs"), F.explode(F.slice(blocks, 2, F.greatest(F.size(blocks), F.lit(1)))).alias("block"))
     rows = rows.withColumn("block", F.concat(F.lit("diff --git "), F.col("block")))
     rows = rows.withColumn("file_path", diff_path(F.col("block"))).where("file_path is not null")
-    kind = F.element_at(F.filter("pairs", lambda p: p["path"] == F.col("file_path")), -1)["kind"]
+    kind = F.try_element_at(F.filter("pairs", lambda p: p["path"] == F.col("file_path")), F.lit(-1))["kind"]
     change = F.when(kind == "A", "ADDED").when(kind == "D", "DELETED").otherwise("MODIFIED")
     cut = F.when(F.length("block") > DIFF_CHARS, F.concat(F.substring("block", 1, DIFF_CHARS), F.lit(DIFF_CUT))).otherwise(F.col("block"))
     return rows.select("commit_hash", "file_path", change.alias("change_type"), cut.alias("diff_content"))
@@ -61,9 +86,7 @@ def couplings(diffs: DataFrame, commits: DataFrame, min_frequency: int = 5, rece
     rows = diffs.where("file_path is not null").select("commit_hash", "file_path").distinct().join(last, "commit_hash")
     often = rows.groupBy("project_id", "file_path").count().where(F.col("count") >= min_frequency).drop("count")
     rows = rows.join(often, ["project_id", "file_path"])
-    a = rows.select("project_id", "commit_hash", F.col("file_path").alias("file_a"))
-    b = rows.select("project_id", "commit_hash", F.col("file_path").alias("file_b"))
-    pairs = a.join(b, ["project_id", "commit_hash"]).where("file_a < file_b")
+    pairs = pairs_within(rows, ["project_id", "commit_hash"], "file_path").select("project_id", F.col("file_path_a").alias("file_a"), F.col("file_path_b").alias("file_b"))
     return pairs.groupBy("project_id", "file_a", "file_b").agg(F.count("*").alias("frequency")).where(F.col("frequency") >= min_frequency)
 
 
@@ -87,18 +110,17 @@ def detect_reverts(message: Column) -> Column:
     return F.when(text.isNotNull(), F.struct(text.alias("text"), F.when(digest != "", digest).alias("hash"), F.when(digest == "", text).alias("message")))
 
 
-def revert_pairs(commits: DataFrame) -> DataFrame:
-    """(project_id, revert_hash, original_hash): reverts and the newest older commit that they name by hash or subject.
+def revert_pairs(commits: DataFrame, last: int = 1000) -> DataFrame:
+    """(project_id, revert_hash, original_hash): reverts and the newest older commit that they name, by hash or by words that its message holds.
 
-    A hash joins by its first seven characters and a subject by being equal, so that no commit meets every other.
+    Both among a project's `last` newest commits, which bounds what meets: at most `last` commits of a project, however many it has.
     """
-    rows = commits.where("project_id is not null and message is not null and timestamp is not null")
+    w = Window.partitionBy("project_id").orderBy(F.desc_nulls_last("timestamp"), "commit_hash")
+    rows = commits.where("project_id is not null").withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= last).where("message is not null and timestamp is not null")
     reverts = rows.withColumn("r", detect_reverts(F.col("message"))).where("r is not null").select("project_id", F.col("commit_hash").alias("revert_hash"), F.col("timestamp").alias("at"), F.col("r.hash").alias("digest"), F.col("r.message").alias("said"))
-    older = rows.select("project_id", F.col("commit_hash").alias("original_hash"), F.col("timestamp").alias("was"), F.trim(F.lower("message")).alias("subject"))
-    before = (F.col("was") < F.col("at")) & (F.col("original_hash") != F.col("revert_hash"))
-    by_hash = reverts.where("digest is not null").withColumn("h7", F.substring("digest", 1, 7)).join(older.withColumn("h7", F.substring("original_hash", 1, 7)), ["project_id", "h7"]).where(F.col("original_hash").startswith(F.col("digest")) & before)
-    by_text = reverts.where("said is not null").join(older.withColumnRenamed("subject", "said"), ["project_id", "said"]).where(before)
-    both = by_hash.select("project_id", "revert_hash", "original_hash", "was").unionByName(by_text.select("project_id", "revert_hash", "original_hash", "was"))
+    older = rows.select("project_id", F.col("commit_hash").alias("original_hash"), F.col("timestamp").alias("was"), F.lower("message").alias("subject"))
+    named = F.coalesce(F.when(F.col("digest").isNotNull(), F.col("original_hash").startswith(F.col("digest"))), F.col("subject").contains(F.col("said")))
+    both = reverts.join(older, "project_id").where((F.col("was") < F.col("at")) & (F.col("original_hash") != F.col("revert_hash")) & named)
     return both.groupBy("project_id", "revert_hash").agg(F.min_by("original_hash", F.struct(-F.col("was"), F.col("original_hash"))).alias("original_hash"))
 
 
@@ -108,8 +130,30 @@ def revert_rules(pairs: DataFrame, commits: DataFrame, diffs: DataFrame) -> Data
     text = commits.select(F.col("commit_hash"), F.col("message"))
     rows = pairs.join(files.withColumnRenamed("commit_hash", "original_hash"), "original_hash")
     rows = rows.join(text.select(F.col("commit_hash").alias("original_hash"), F.col("message").alias("bad")), "original_hash").join(text.select(F.col("commit_hash").alias("revert_hash"), F.col("message").alias("undo")), "revert_hash")
-    rule = F.concat(
-        F.lit("Reverted commit "), F.substring("original_hash", 1, 8), F.lit(": '"), F.col("bad"), F.lit("'. Files: "), F.array_join(F.slice("files", 1, 3), ", "), F.when(F.size("files") > 3, "...").otherwise(""), F.lit(" Revert message: '"), F.col("undo"), F.lit("'"),
-    )
+    parts = {
+        "short": F.substring("original_hash", 1, 8), "bad": F.col("bad"), "files": F.array_join(F.slice("files", 1, 3), ", "),
+        "more": F.when(F.size("files") > 3, "...").otherwise(""), "undo": F.col("undo"),
+    }
+    rule = F.concat(*[parts[x[1:-1]] if x[:1] == "{" else F.lit(x) for x in re.split(r"(\{\w+\})", RULE)])
     out = rows.select(F.concat(F.lit("immune_system_"), F.substring("original_hash", 1, 12)).alias("rule_id"), "project_id", F.array_join(F.slice("files", 1, 5), "|").alias("file_pattern"), rule.alias("rule_text"), F.lit(10).alias("priority"))
     return out.groupBy("rule_id", "project_id", "file_pattern", "priority").agg(F.min("rule_text").alias("rule_text"))
+
+
+def search(spark: SparkSession, commits: DataFrame, diffs: DataFrame, tags: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], file_filter: str | None = None, limit: int = 5) -> DataFrame:
+    """(commit_hash, score, lex_rank, vec_rank, author, timestamp, message, diffs, tags): commits by message and by vector, fused.
+
+    `vectors` are (commit_hash, vector) as stored. With `file_filter` only commits count that touch a path holding it, and only such
+    diffs come out: the first five by path, 500 characters of each. Commits without a message have no words.
+    """
+    if file_filter:
+        diffs = diffs.where(F.col("file_path").contains(file_filter))
+        commits = commits.join(diffs.select("commit_hash").distinct(), "commit_hash", "left_semi")
+    lex = fusion.ranked(fts.search(commits.where("message is not null"), "commit_hash", "message", query, 2 * limit, "any"), "score", "commit_hash", "lex_rank")
+    near = vector.knn_arrow(vectors.join(commits.select("commit_hash"), "commit_hash", "left_semi"), "commit_hash", "vector", query_vector, 2 * limit)
+    top = fusion.rrf(lex, near, "commit_hash").orderBy(F.desc("score"), "commit_hash").limit(limit)
+    top = top.join(commits.select("commit_hash", "author", "timestamp", "message"), "commit_hash")
+    w = Window.partitionBy("commit_hash").orderBy("file_path", "id")
+    few = diffs.join(F.broadcast(top.select("commit_hash")), "commit_hash", "left_semi").withColumn("__r", F.row_number().over(w)).where("__r <= 5")
+    few = few.groupBy("commit_hash").agg(F.array_sort(F.collect_list(F.struct("file_path", "change_type", F.substring("diff_content", 1, 500).alias("preview")))).alias("diffs"))
+    said = tags.groupBy("commit_hash").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    return top.join(few, "commit_hash", "left").join(said, "commit_hash", "left")

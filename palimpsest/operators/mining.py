@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .pairs import pairs_within
 
 
 def co_retrieved(sessions: DataFrame, files: DataFrame, known: DataFrame | None = None, last: int = 500, min_count: int = 1) -> DataFrame:
@@ -20,11 +21,19 @@ def co_retrieved(sessions: DataFrame, files: DataFrame, known: DataFrame | None
     rows = sessions.where("project_id is not null").select("project_id", "session_id", "created_at", F.array_compact(F.array_distinct(F.coalesce("result_chunk_ids", F.array().cast("array<string>")))).alias("ids"))
     rows = rows.withColumn("r", F.row_number().over(w)).where((F.col("r") <= last) & (F.size("ids") > 1))
     items = rows.select("project_id", "session_id", F.explode("ids").alias("chunk_id")).join(files, ["project_id", "chunk_id"])
-    a = items.select("project_id", "session_id", F.col("chunk_id").alias("chunk_a"), F.col("file_path").alias("file_a"))
-    b = items.select("project_id", "session_id", F.col("chunk_id").alias("chunk_b"), F.col("file_path").alias("file_b"))
-    pairs = a.join(b, ["project_id", "session_id"]).where("chunk_a < chunk_b and file_a <> file_b")
+    pairs = pairs_within(items, ["project_id", "session_id"], "chunk_id", ["file_path"]).where("file_path_a <> file_path_b")
+    pairs = pairs.select("project_id", F.col("chunk_id_a").alias("chunk_a"), F.col("chunk_id_b").alias("chunk_b"))
     out = pairs.groupBy("project_id", "chunk_a", "chunk_b").agg(F.count("*").alias("pair_count")).where(F.col("pair_count") >= min_count)
-    return out.join(known, ["chunk_a", "chunk_b"], "left_anti") if known is not None else out
+    if known is None:
+        return out
+    # An insight may name its chunks in either order.
+    pair = known.select(F.least("chunk_a", "chunk_b").alias("chunk_a"), F.greatest("chunk_a", "chunk_b").alias("chunk_b")).distinct()
+    return out.join(pair, ["chunk_a", "chunk_b"], "left_anti")
+
+
+def says_something(text):
+    """Whether a generated answer is an insight: not null, not blank and not a refusal."""
+    return F.coalesce((F.trim(text) != "") & ~F.upper(text).contains("NO_INSIGHT"), F.lit(False))
 
 
 class TriggerState:

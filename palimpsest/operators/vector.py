@@ -77,6 +77,11 @@ def shard_count(n: int, threshold: int = 1_000_000, size: int = 250_000) -> int:
     return 1 if n < threshold else -(-n // size)
 
 
+def shards(n: Column, threshold: int = 1_000_000, size: int = 250_000) -> Column:
+    """`shard_count` of a column of counts."""
+    return F.when(n < threshold, 1).otherwise(F.ceil(n / size)).cast("long")
+
+
 def ivf_cells(df: DataFrame, key: str, vector: str, dim: int, nlist: int = NLIST, sample: int = 20_000, seed: int = 3) -> tuple[DataFrame, np.ndarray] | None:
     """Usable rows with their cell in `prediction`, and the cells' centres, fitted on a bounded sample; None without rows."""
     from pyspark.ml.clustering import KMeans

@@ -96,5 +96,13 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.concat(F.lit("src/supp_"), F.col("l_suppkey").cast("string"), F.lit(".py:class:"), "s_name").alias("source_id"), F.concat(F.lit("src/part_"), F.col("l_partkey").cast("string"), F.lit(".py:function:"), "p_name").alias("target_id"), F.lit("calls").alias("edge_type")).distinct()
 
 
+def commit_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """(commit_hash, vector): a vector for every commit, the test embedding whose number its time says."""
+    e = table(spark, d, "embeddings")
+    n = e.count()
+    at = commits(spark, d).select("commit_hash", F.pmod("timestamp", F.lit(n)).alias("vec_id"))
+    return at.join(e.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select("commit_hash", "vector")
+
+
 def us(c: str):
     return F.unix_micros(c)

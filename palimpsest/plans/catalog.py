@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import catalog as C
 from ..operators.mining import auto_trigger as replay_trigger
 from ..operators.mining import co_retrieved
-from ..operators.vector import shard_count as shards_for
+from ..operators.vector import shards
 from ..session import table
 from . import base as B
 from .base import query, us
@@ -61,21 +61,23 @@ def list_jobs(spark, d):
 
 
 # Merges and deletes. Old and new overlap in part of the ids.
-_OLD_NEW = f"WITH o AS (SELECT chunk_id, internal_id, coalesce(access_count, 0) AS access_count, epoch_us(updated_at) AS at FROM c WHERE updated_at IS NOT NULL AND chunk_id <= '9'), n AS (SELECT chunk_id, internal_id + 1000000 AS internal_id, coalesce(access_count, 0) + 1 AS access_count, {_AS_OF_US} AS at FROM c WHERE updated_at IS NOT NULL AND chunk_id >= '6')"
+_OLD_NEW = f"WITH o AS (SELECT chunk_id, internal_id, coalesce(access_count, 0) AS access_count, epoch_us(updated_at) AS at FROM c WHERE chunk_id <= '9'), n AS (SELECT chunk_id, internal_id + 1000000 AS internal_id, coalesce(access_count, 0) + 1 AS access_count, {_AS_OF_US} AS at FROM c WHERE chunk_id >= '6')"
 
 
 def _old_new(spark, d):
-    c = B.chunks(spark, d).where("updated_at is not null")
+    c = B.chunks(spark, d)
     old = c.where("chunk_id <= '9'").select("chunk_id", "internal_id", F.coalesce("access_count", F.lit(0)).alias("access_count"), us("updated_at").alias("at"))
     new = c.where("chunk_id >= '6'").select("chunk_id", (F.col("internal_id") + 1_000_000).alias("internal_id"), (F.coalesce("access_count", F.lit(0)) + 1).alias("access_count"), F.lit(_AS_OF_US).alias("at"))
-    return old, new
+    # An earlier write of the same batch, which the later one replaces.
+    early = new.withColumns({"at": F.col("at") - 1, "access_count": F.lit(-1).cast("long")})
+    return old, early.unionByName(new)
 
 
 @query("upsert_merge", _OLD_NEW + " SELECT coalesce(n.chunk_id, o.chunk_id) AS chunk_id, CASE WHEN o.chunk_id IS NOT NULL THEN o.internal_id ELSE n.internal_id END AS internal_id, CASE WHEN o.chunk_id IS NOT NULL THEN o.access_count ELSE n.access_count END AS access_count, CASE WHEN n.chunk_id IS NOT NULL THEN n.at ELSE o.at END AS at FROM o FULL JOIN n ON o.chunk_id = n.chunk_id")
 def upsert_merge(spark, d):
     """An existing chunk keeps its internal_id and access_count."""
     old, new = _old_new(spark, d)
-    return C.upsert(old, new, ["chunk_id"], ["internal_id", "access_count"])
+    return C.upsert(old, new, ["chunk_id"], ["internal_id", "access_count"], [F.desc("at")])
 
 
 @query("insert_ignore", "WITH o AS (SELECT DISTINCT chunk_id FROM fc), n AS (SELECT DISTINCT x.id AS chunk_id FROM ss, unnest(result_chunk_ids) AS x(id) WHERE x.id IS NOT NULL) SELECT chunk_id, 'old' AS origin FROM o UNION ALL SELECT chunk_id, 'new' FROM n WHERE chunk_id NOT IN (SELECT chunk_id FROM o)")
@@ -176,9 +178,8 @@ def memory_bank(spark, d):
 @query("reserve_internal_ids", "WITH m AS (SELECT project_id, max(internal_id) AS top FROM c GROUP BY 1) SELECT f.project_id, file_path, coalesce(top, 0) + row_number() OVER (PARTITION BY f.project_id ORDER BY file_path) AS internal_id FROM (SELECT DISTINCT project_id, file_path FROM fm) f LEFT JOIN m ON m.project_id = f.project_id")
 def reserve_internal_ids(spark, d):
     top = B.chunks(spark, d).groupBy("project_id").agg(F.max("internal_id").alias("top"))
-    w = Window.partitionBy("project_id").orderBy("file_path")
-    rows = B.files(spark, d).select("project_id", "file_path").distinct().join(top, "project_id", "left")
-    return rows.select("project_id", "file_path", (F.coalesce("top", F.lit(0)) + F.row_number().over(w)).alias("internal_id"))
+    rows = C.numbered(B.files(spark, d).select("project_id", "file_path").distinct(), ["file_path"], "nth", 0, ["project_id"]).join(top, "project_id", "left")
+    return rows.select("project_id", "file_path", (F.coalesce("top", F.lit(0)) + F.col("nth")).alias("internal_id"))
 
 
 @query("project_limits", "SELECT project_id, count(*) AS n_files, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS n_bytes, count(*) <= 100000 AND coalesce(sum(size_bytes), 0) <= 5368709120 AS within_limits FROM fm GROUP BY 1")
@@ -194,10 +195,11 @@ def project_health(spark, d):
     return out.withColumn("agrees", F.col("said") == F.col("n_chunks"))
 
 
-@query("shard_count", "SELECT project_id, count(*) AS n, CAST(CASE WHEN count(*) < 100 THEN 1 ELSE ceil(count(*) / 40.0) END AS BIGINT) AS shards FROM c GROUP BY 1")
+@query("shard_count", "SELECT project_id, count(*) AS n, CAST(CASE WHEN count(*) < 1000000 THEN 1 ELSE ceil(count(*) / 250000.0) END AS BIGINT) AS shards, CAST(CASE WHEN count(*) < 100 THEN 1 ELSE ceil(count(*) / 40.0) END AS BIGINT) AS shards_of_40 FROM c GROUP BY 1")
 def shard_count(spark, d):
-    assert shards_for(1_000_000) == 4
-    return B.chunks(spark, d).groupBy("project_id").agg(F.count("*").alias("n")).withColumn("shards", F.when(F.col("n") < 100, 1).otherwise(F.ceil(F.col("n") / 40)).cast("long"))
+    """Shards of each project by the default sizes, and by sizes that these tables reach."""
+    n = B.chunks(spark, d).groupBy("project_id").agg(F.count("*").alias("n"))
+    return n.select("project_id", "n", shards(F.col("n")).alias("shards"), shards(F.col("n"), 100, 40).alias("shards_of_40"))
 
 
 @query("shard_assign", "SELECT chunk_id, internal_id % 4 AS shard FROM c WHERE internal_id IS NOT NULL")
@@ -229,10 +231,14 @@ def deleted_files(spark, d):
     return old.select("project_id", "file_path").join(new, ["project_id", "file_path"], "left_anti")
 
 
-@query("incremental_update", f"{_SCAN}, ch AS (SELECT coalesce(n.project_id, o.project_id) AS project_id, {_CHANGE} AS change, count(*) AS n FROM {_JOIN} GROUP BY 1, 2) SELECT project_id, CAST(coalesce(sum(n) FILTER (WHERE change IN ('added', 'modified')), 0) AS BIGINT) AS added, CAST(coalesce(sum(n) FILTER (WHERE change IN ('deleted', 'modified')), 0) AS BIGINT) AS deleted FROM ch GROUP BY 1")
+@query("incremental_update", f"""{_SCAN}, ch AS (SELECT coalesce(n.project_id, o.project_id) AS project_id, coalesce(n.file_path, o.file_path) AS file_path, {_CHANGE} AS change, o.content_hash AS old_hash, n.content_hash AS new_hash FROM {_JOIN}),
+lk AS (SELECT project_id, file_path, count(*) AS k FROM fc GROUP BY 1, 2)
+SELECT ch.project_id, ch.file_path, change, coalesce(CASE WHEN change = 'deleted' THEN NULL WHEN change = 'unchanged' THEN coalesce(new_hash, old_hash) ELSE new_hash END, '') AS content_hash, CASE WHEN change IN ('deleted', 'modified') THEN coalesce(k, 0) ELSE 0 END AS chunks_out FROM ch LEFT JOIN lk ON lk.project_id = ch.project_id AND lk.file_path = ch.file_path""")
 def incremental_update(spark, d):
-    ch = C.snapshot_changes(*_snapshots(spark, d), ["project_id", "file_path"])
-    return ch.groupBy("project_id").agg(F.count(F.when(F.col("change").isin("added", "modified"), 1)).alias("added"), F.count(F.when(F.col("change").isin("deleted", "modified"), 1)).alias("deleted"))
+    """What an update does to every file: its change, the hash it has afterwards, and how many of its chunks go."""
+    old, new = _snapshots(spark, d)
+    rows = C.incremental_update(old, new, B.links(spark, d), ["project_id", "file_path"])
+    return rows.withColumn("content_hash", F.coalesce("content_hash", F.lit("")))
 
 
 @query("distinct_ids", "SELECT session_id, pos, chunk_id FROM (SELECT session_id, id AS chunk_id, row_number() OVER (PARTITION BY session_id ORDER BY min(p)) - 1 AS pos FROM (SELECT session_id, unnest(result_chunk_ids) AS id, unnest(range(len(result_chunk_ids))) AS p FROM ss) WHERE id IS NOT NULL GROUP BY 1, 2)")
@@ -246,9 +252,8 @@ def distinct_ids(spark, d):
 @query("prune_sessions", f"SELECT session_id FROM (SELECT session_id, created_at, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC NULLS LAST, session_id) AS r FROM ss WHERE epoch_us(created_at) >= {_AS_OF_US} - 10 * 86400000000) WHERE r <= 20")
 def prune_sessions(spark, d):
     """What stays: the newest 20 searches of each project, none older than ten days."""
-    w = Window.partitionBy("project_id").orderBy(F.desc_nulls_last("created_at"), "session_id")
-    rows = B.sessions(spark, d).where(F.col("created_at") >= F.timestamp_micros(F.lit(_AS_OF_US - 10 * 86_400_000_000)))
-    return rows.select("project_id", "session_id", "created_at").withColumn("r", F.row_number().over(w)).where("r <= 20").select("session_id")
+    since = F.timestamp_micros(F.lit(_AS_OF_US - 10 * 86_400_000_000))
+    return C.keep_newest(B.sessions(spark, d).select("project_id", "session_id", "created_at"), "created_at", "session_id", 20, since, ["project_id"]).select("session_id")
 
 
 @query("prune_cache", f"SELECT content_hash, coalesce(model_name, '') AS model FROM (SELECT content_hash, model_name, row_number() OVER (ORDER BY created_at DESC, content_hash, model_name) AS r FROM ec WHERE epoch_us(created_at) >= {_AS_OF_US} - 200 * 86400000000) WHERE r <= 300")
@@ -262,8 +267,8 @@ def prune_cache(spark, d):
 def prune_jobs(spark, d):
     """What goes: jobs older than five days, and all but the newest 200."""
     j = B.jobs(spark, d).select("job_id", "created_at")
-    keep = j.orderBy(F.desc("created_at"), "job_id").limit(200).select("job_id", F.lit(True).alias("keep"))
-    return j.join(keep, "job_id", "left").where((F.col("created_at") < F.timestamp_micros(F.lit(_AS_OF_US - 5 * 86_400_000_000))) | F.col("keep").isNull()).select("job_id")
+    keep = C.keep_newest(j, "created_at", "job_id", 200).where(F.col("created_at") >= F.timestamp_micros(F.lit(_AS_OF_US - 5 * 86_400_000_000)))
+    return j.join(keep.select("job_id"), "job_id", "left_anti").select("job_id")
 
 
 @query("stale_jobs", "SELECT job_id, CASE WHEN status IN ('QUEUED', 'PROCESSING') THEN 'FAILED' ELSE status END AS status, CASE WHEN status IN ('QUEUED', 'PROCESSING') THEN 'stale' ELSE coalesce(error, '') END AS error FROM jb")
@@ -274,11 +279,14 @@ def stale_jobs(spark, d):
 
 @query("dream_candidates", """WITH r AS (SELECT project_id, session_id, list_filter(list_distinct(result_chunk_ids), lambda x: x IS NOT NULL) AS ids, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, session_id) AS rn FROM ss WHERE project_id IS NOT NULL),
 fl AS (SELECT project_id, chunk_id, min(file_path) AS file_path FROM fc GROUP BY 1, 2),
-i AS (SELECT r.project_id, session_id, x.id AS chunk_id, file_path FROM r, unnest(ids) AS x(id) JOIN fl ON fl.project_id = r.project_id AND fl.chunk_id = x.id WHERE rn <= 500 AND len(ids) > 1)
-SELECT a.project_id, a.chunk_id AS chunk_a, b.chunk_id AS chunk_b, count(*) AS pair_count FROM i a JOIN i b ON a.project_id = b.project_id AND a.session_id = b.session_id AND a.chunk_id < b.chunk_id AND a.file_path <> b.file_path GROUP BY 1, 2, 3""")
+i AS (SELECT r.project_id, session_id, x.id AS chunk_id, file_path FROM r, unnest(ids) AS x(id) JOIN fl ON fl.project_id = r.project_id AND fl.chunk_id = x.id WHERE rn <= 500 AND len(ids) > 1),
+kn AS (SELECT least(x, y) AS chunk_a, greatest(x, y) AS chunk_b FROM (SELECT json_extract_string(m, '$.source_chunks[0]') AS x, json_extract_string(m, '$.source_chunks[1]') AS y FROM (SELECT CASE WHEN json_valid(metadata) THEN metadata END AS m FROM c) WHERE json_extract_string(m, '$.type') = 'insight'))
+SELECT a.project_id, a.chunk_id AS chunk_a, b.chunk_id AS chunk_b, count(*) AS pair_count FROM i a JOIN i b ON a.project_id = b.project_id AND a.session_id = b.session_id AND a.chunk_id < b.chunk_id AND a.file_path <> b.file_path ANTI JOIN kn ON kn.chunk_a = a.chunk_id AND kn.chunk_b = b.chunk_id GROUP BY 1, 2, 3""")
 def dream_candidates(spark, d):
     first = B.links(spark, d).groupBy("project_id", "chunk_id").agg(F.min("file_path").alias("file_path"))
-    return co_retrieved(B.sessions(spark, d), first)
+    m = lambda p: F.get_json_object("metadata", p)
+    known = B.chunks(spark, d).where(m("$.type") == "insight").select(m("$.source_chunks[0]").alias("chunk_a"), m("$.source_chunks[1]").alias("chunk_b"))
+    return co_retrieved(B.sessions(spark, d), first, known)
 
 
 @query("auto_trigger")

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.glob import rule_regex
-from ..operators import fts, fusion, graph
+from ..operators import graph
 from ..operators import history as H
 from ..session import table
+from ..sources.files import capped
 from . import base as B
 from .base import query
+from .index import search
 from .text import match_sql
 
 _NOISE = f"length(trim(lower(message))) >= 10 AND NOT regexp_matches(trim(lower(message)), '{T.NOISE}')"
@@ -63,9 +65,12 @@ def backfill_project_id(spark, d):
     return B.diffs(spark, d).select("id", "commit_hash", "project_id").join(own, "commit_hash", "left").select("id", F.coalesce("project_id", "found").alias("project_id"))
 
 
-@query("commit_search_bm25", match_sql("(SELECT commit_hash, message FROM cm WHERE message IS NOT NULL)", "commit_hash", "message", "fix cache", "any", 50))
+_MESSAGES = "(SELECT commit_hash, message FROM cm WHERE message IS NOT NULL)"
+
+
+@query("commit_search_bm25", match_sql(_MESSAGES, "commit_hash", "message", ["fix", "cache"], "f0 > 0 OR f1 > 0", 50))
 def commit_search_bm25(spark, d):
-    return fts.search(B.commits(spark, d).where("message is not null"), "commit_hash", "message", "fix cache", 50, "any")
+    return search(spark, d, "messages", "fix cache", "any", 50)
 
 
 @query("commit_search_like", "SELECT commit_hash, message FROM cm WHERE message ILIKE '%fix%' ORDER BY timestamp DESC NULLS LAST, commit_hash LIMIT 50")
@@ -73,37 +78,66 @@ def commit_search_like(spark, d):
     return B.commits(spark, d).where(F.col("message").ilike("%fix%")).orderBy(F.desc_nulls_last("timestamp"), "commit_hash").limit(50).select("commit_hash", "message")
 
 
-@query("search_history", "WITH lx AS (SELECT *, row_number() OVER (ORDER BY score, commit_hash) AS lex_rank FROM (" + match_sql("(SELECT commit_hash, message FROM cm WHERE message IS NOT NULL)", "commit_hash", "message", "fix cache", "any", 20) + ")), f AS (SELECT commit_hash, round(1.0 / (60 + lex_rank), 6) AS score, lex_rank FROM lx ORDER BY lex_rank LIMIT 10) SELECT f.commit_hash, f.score, count(gd.id) AS n_diffs, coalesce(min(substr(gd.diff_content, 1, 500)), '') AS preview FROM f LEFT JOIN gd ON gd.commit_hash = f.commit_hash GROUP BY 1, 2")
+_HISTORY = f"""WITH x AS (SELECT * FROM gd WHERE contains(file_path, 'src')), cc AS (SELECT * FROM cm WHERE commit_hash IN (SELECT commit_hash FROM x)),
+lx AS (SELECT commit_hash, row_number() OVER (ORDER BY score, commit_hash) AS lex_rank FROM ({match_sql("(SELECT commit_hash, message FROM cc WHERE message IS NOT NULL)", "commit_hash", "message", ["fix", "cache"], "f0 > 0 OR f1 > 0", 20)})),
+vx AS (SELECT commit_hash, row_number() OVER (ORDER BY s DESC, commit_hash) AS vec_rank FROM (SELECT commit_hash, round(list_inner_product(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])), 6) AS s FROM cc JOIN embeddings e ON e.vec_id = cc.timestamp % (SELECT count(*) FROM embeddings) ORDER BY s DESC, commit_hash LIMIT 20)),
+fu AS (SELECT coalesce(lx.commit_hash, vx.commit_hash) AS commit_hash, lex_rank, vec_rank, round(coalesce(1.0 / (60 + lex_rank), 0) + coalesce(1.0 / (60 + vec_rank), 0), 6) AS score FROM lx FULL JOIN vx ON lx.commit_hash = vx.commit_hash ORDER BY score DESC, 1 LIMIT 10),
+fd AS (SELECT commit_hash, string_agg(concat(file_path, '>', coalesce(substr(diff_content, 1, 500), '')), '|' ORDER BY file_path, change_type NULLS FIRST) AS previews FROM (SELECT *, row_number() OVER (PARTITION BY commit_hash ORDER BY file_path, id) AS r FROM x) WHERE r <= 5 GROUP BY 1),
+tg AS (SELECT commit_hash, string_agg(tag, ',' ORDER BY tag) AS tags FROM ({_TAGS}) GROUP BY 1)
+SELECT fu.commit_hash, fu.score, coalesce(lex_rank, 0) AS lex_rank, coalesce(vec_rank, 0) AS vec_rank, coalesce(cc.message, '') AS message, coalesce(previews, '') AS previews, coalesce(tags, '') AS tags FROM fu JOIN cc ON cc.commit_hash = fu.commit_hash LEFT JOIN fd ON fd.commit_hash = fu.commit_hash LEFT JOIN tg ON tg.commit_hash = fu.commit_hash"""
+
+
+@query("search_history", _HISTORY)
 def search_history(spark, d):
-    """The ten best commits by message, with their diffs counted and one preview."""
-    found = fts.search(B.commits(spark, d).where("message is not null"), "commit_hash", "message", "fix cache", 20, "any")
-    top = fusion.ranked(found, "score", "commit_hash", "lex_rank").where("lex_rank <= 10").select("commit_hash", F.round(1 / (fusion.RRF_K + F.col("lex_rank")), 6).alias("score"))
-    rows = top.join(B.diffs(spark, d).select("commit_hash", "id", F.substring("diff_content", 1, 500).alias("preview")), "commit_hash", "left")
-    return rows.groupBy("commit_hash", "score").agg(F.count("id").alias("n_diffs"), F.coalesce(F.min("preview"), F.lit("")).alias("preview"))
+    """The ten best commits by message and vector that touch a path with src in it, with their first diffs and their tags."""
+    asked = list(table(spark, d, "embeddings").where("vec_id = 0").first()["embedding"])
+    rows = H.search(spark, B.commits(spark, d), B.diffs(spark, d), _tags(spark, d), B.commit_vectors(spark, d), "fix cache", asked, "src", 10)
+    none = F.array().cast("array<string>")
+    said = F.transform("diffs", lambda x: F.concat(x["file_path"], F.lit(">"), F.coalesce(x["preview"], F.lit(""))))
+    rank = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return rows.select("commit_hash", "score", rank("lex_rank"), rank("vec_rank"), F.coalesce("message", F.lit("")).alias("message"), F.array_join(F.coalesce(said, none), "|").alias("previews"), F.array_join(F.coalesce("tags", none), ",").alias("tags"))
+
+
+_BARE = "replace(replace(replace({}, '\\\\', '\\'), '\\\"', '\"'), '\\t', chr(9))"
 
 
-_HEAD = "array_to_string((string_split(diff_content, chr(10)))[1:15], chr(10))"
-_PATH = f"""coalesce(nullif(regexp_extract({_HEAD}, '(?m)^\\+\\+\\+ "?b/(.*?)"?$', 1), ''), nullif(regexp_extract({_HEAD}, '(?m)^Binary files? a/.+ and b/(.+) differ$', 1), ''), nullif(regexp_extract({_HEAD}, '(?m)^--- "?a/(.*?)"?$', 1), ''))"""
+def _path_sql(block: str) -> str:
+    head = f"array_to_string((string_split({block}, chr(10)))[1:15], chr(10))"
+    get = lambda p: f"nullif(regexp_extract({head}, '{p}', 1), '')"
+    quoted = lambda mark: "nullif(" + _BARE.format(f"regexp_replace(regexp_extract({head}, '(?:^|\\n){mark}([^\\n]*)', 1), '\"$', '')") + ", '')"
+    parts = [get(r"(?:^|\n)\+\+\+ b/([^\n]*)"), quoted(r'\+\+\+ "b/'), get(r"(?:^|\n)Binary files? a/[^\n]+ and b/([^\n]+) differ(?:\n|$)"), get(r"(?:^|\n)--- a/([^\n]*)"), quoted(r'--- "a/')]
+    return f"coalesce({', '.join(parts)})"
 
 
-# Log parsing. Sections are put together from the tables and taken apart again.
+_PATH = _path_sql("diff_content")
+_SECTION = """sec AS (SELECT concat_ws('|', cm.commit_hash, author, CAST(timestamp AS VARCHAR), message) AS head, concat(string_agg(concat(CASE change_type WHEN 'ADDED' THEN 'A' WHEN 'DELETED' THEN 'D' ELSE 'M' END, chr(9), file_path), chr(10) ORDER BY id), chr(10), string_agg(coalesce(diff_content, ''), chr(10) ORDER BY id)) AS rest
+  FROM cm JOIN gd ON gd.commit_hash = cm.commit_hash WHERE message IS NOT NULL AND author IS NOT NULL AND file_path IS NOT NULL GROUP BY 1),
+tx AS (SELECT split_part(concat(head, chr(10), rest), chr(10), 1) AS line, concat(head, chr(10), rest) AS s FROM sec),
+ps AS (SELECT h[1] AS commit_hash, h[2] AS author, CAST(h[3] AS BIGINT) AS timestamp, trim(array_to_string(h[4:], '|')) AS message, substr(s, length(line) + 2) AS body FROM (SELECT *, string_split(line, '|') AS h FROM tx) WHERE len(h) >= 4 AND regexp_matches(h[3], '^[0-9]+$'))"""
+
+
+# Log parsing. Sections are put together from the tables, with all their diffs, and taken apart again.
 def _sections(spark, d):
     c = B.commits(spark, d).where("message is not null and author is not null").select("commit_hash", F.concat_ws("|", "commit_hash", "author", F.col("timestamp").cast("string"), "message").alias("head"))
-    x = B.diffs(spark, d).where(F.col("diff_content").startswith("diff --git ") & (F.locate("\ndiff --git ", "diff_content") == 0))
+    x = B.diffs(spark, d).where("file_path is not null")
     letter = F.when(F.col("change_type") == "ADDED", "A").when(F.col("change_type") == "DELETED", "D").otherwise("M")
-    x = x.groupBy("commit_hash").agg(F.sort_array(F.collect_list(F.struct("id", F.concat(letter, F.lit("\t"), "file_path").alias("status"), "diff_content"))).alias("x"))
+    x = x.groupBy("commit_hash").agg(F.sort_array(F.collect_list(F.struct("id", F.concat(letter, F.lit("\t"), "file_path").alias("status"), F.coalesce("diff_content", F.lit("")).alias("diff_content")))).alias("x"))
     rows = c.join(x, "commit_hash")
     return rows.select(F.concat(F.lit(H.MARKER), "head", F.lit("\n"), F.array_join(F.transform("x", lambda y: y["status"]), "\n"), F.lit("\n"), F.array_join(F.transform("x", lambda y: y["diff_content"]), "\n")).alias("section"))
 
 
-@query("git_parse_sections")
+@query("git_parse_sections", f"WITH {_SECTION} SELECT commit_hash, author, timestamp, message, length(body) AS n_chars FROM ps")
 def git_parse_sections(spark, d):
-    return H.parse_sections(_sections(spark, d), "section").select("commit_hash", "author", "timestamp", "message", F.length("body").alias("n_chars"))
+    """Of every commit; sections above the cap come without the lines beyond it, none of these is that long."""
+    return H.parse_sections(capped(_sections(spark, d)), "section").select("commit_hash", "author", "timestamp", "message", F.length("body").cast("long").alias("n_chars"))
 
 
-@query("git_parse_diffs", "SELECT cm.commit_hash, f AS file_path, CASE WHEN change_type IN ('ADDED', 'DELETED') THEN change_type ELSE 'MODIFIED' END AS change_type, CASE WHEN length(diff_content) > 2000 THEN concat(substr(diff_content, 1, 2000), chr(10), '... (truncated)') ELSE diff_content END AS diff_content FROM cm JOIN (SELECT *, " + _PATH + " AS f FROM gd WHERE starts_with(diff_content, 'diff --git ') AND NOT contains(diff_content, chr(10) || 'diff --git ')) x ON x.commit_hash = cm.commit_hash WHERE message IS NOT NULL AND author IS NOT NULL AND f IS NOT NULL")
+@query("git_parse_diffs", f"""WITH {_SECTION}, bl AS (SELECT commit_hash, string_split(concat(chr(10), body), concat(chr(10), 'diff --git ')) AS b FROM ps),
+st AS (SELECT commit_hash, list_filter(string_split(b[1], chr(10)), lambda x: contains(x, chr(9))) AS st, unnest(b[2:]) AS rest FROM bl), dk AS (SELECT commit_hash, st, concat('diff --git ', rest) AS diff FROM st),
+pt AS (SELECT *, {_path_sql("diff")} AS file_path FROM dk)
+SELECT commit_hash, file_path, CASE substr(trim(list_filter(st, lambda x: (string_split(x, chr(9)))[-1] = file_path)[-1]), 1, 1) WHEN 'A' THEN 'ADDED' WHEN 'D' THEN 'DELETED' ELSE 'MODIFIED' END AS change_type, CASE WHEN length(diff) > 2000 THEN concat(substr(diff, 1, 2000), chr(10), '... (truncated)') ELSE diff END AS diff_content FROM pt WHERE file_path IS NOT NULL""")
 def git_parse_diffs(spark, d):
-    return H.parse_diffs(H.parse_sections(_sections(spark, d), "section"))
+    return H.parse_diffs(H.parse_sections(capped(_sections(spark, d)), "section"))
 
 
 @query("git_diff_path", f"SELECT id, {_PATH} AS found FROM gd WHERE diff_content IS NOT NULL")
@@ -162,8 +196,9 @@ def style_prompt(spark, d):
 
 # Reverts.
 _REV = """rv AS (SELECT *, nullif(regexp_extract(txt, '([a-f0-9]{7,40})', 1), '') AS digest FROM (SELECT project_id, commit_hash, timestamp, message, coalesce(nullif(regexp_extract(lower(trim(message)), '^revert[:\\s]+["'']?(.+?)["'']?$', 1), ''), nullif(regexp_extract(lower(trim(message)), 'this reverts commit\\s+([a-f0-9]{7,40})', 1), '')) AS txt FROM cm) WHERE txt IS NOT NULL)"""
-_RP = f"""{_REV}, ol AS (SELECT project_id, commit_hash AS original_hash, timestamp AS was, trim(lower(message)) AS subject FROM cm WHERE project_id IS NOT NULL AND message IS NOT NULL AND timestamp IS NOT NULL),
-rp AS (SELECT project_id, revert_hash, arg_max(original_hash, (was, reverse_key)) AS original_hash FROM (SELECT rv.project_id, rv.commit_hash AS revert_hash, original_hash, was, -CAST(row_number() OVER (ORDER BY original_hash) AS BIGINT) AS reverse_key FROM rv JOIN ol ON ol.project_id = rv.project_id AND ol.was < rv.timestamp AND ol.original_hash <> rv.commit_hash AND (CASE WHEN digest IS NOT NULL THEN starts_with(original_hash, digest) ELSE subject = txt END)) GROUP BY 1, 2)"""
+_RP = f"""{_REV}, nw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY timestamp DESC NULLS LAST, commit_hash) AS pos FROM cm WHERE project_id IS NOT NULL) WHERE pos <= 1000 AND message IS NOT NULL AND timestamp IS NOT NULL),
+ol AS (SELECT project_id, commit_hash AS original_hash, timestamp AS was, lower(message) AS subject FROM nw),
+rp AS (SELECT project_id, revert_hash, arg_max(original_hash, (was, reverse_key)) AS original_hash FROM (SELECT rv.project_id, rv.commit_hash AS revert_hash, original_hash, was, -CAST(row_number() OVER (ORDER BY original_hash) AS BIGINT) AS reverse_key FROM rv JOIN ol ON ol.project_id = rv.project_id AND ol.was < rv.timestamp AND ol.original_hash <> rv.commit_hash AND (CASE WHEN digest IS NOT NULL THEN starts_with(original_hash, digest) ELSE contains(subject, txt) END) WHERE rv.commit_hash IN (SELECT commit_hash FROM nw)) GROUP BY 1, 2)"""
 
 
 @query("detect_reverts", f"WITH {_REV} SELECT commit_hash, txt AS said, coalesce(digest, '') AS digest FROM rv")
@@ -177,9 +212,17 @@ def revert_pairs(spark, d):
     return H.revert_pairs(B.commits(spark, d))
 
 
-@query("revert_rules", f"""WITH {_RP}, fl AS (SELECT commit_hash, list_sort(list(DISTINCT file_path)) AS f FROM gd WHERE file_path IS NOT NULL GROUP BY 1)
-SELECT concat('immune_system_', substr(original_hash, 1, 12)) AS rule_id, rp.project_id, array_to_string(f[1:5], '|') AS file_pattern, CAST(10 AS INTEGER) AS priority, min(concat('Reverted commit ', substr(original_hash, 1, 8), ': ''', b.message, '''. Files: ', array_to_string(f[1:3], ', '), CASE WHEN len(f) > 3 THEN '...' ELSE '' END, ' Revert message: ''', u.message, '''')) AS rule_text
-FROM rp JOIN fl ON fl.commit_hash = original_hash JOIN cm b ON b.commit_hash = original_hash JOIN cm u ON u.commit_hash = revert_hash GROUP BY 1, 2, 3, 4""")
+_RULE_SQL = (
+    "concat('CRITICAL: Anti-pattern detected from reverted commit ', substr(original_hash, 1, 8), '.', chr(10), chr(10), 'Original commit: ', chr(39), b.message, chr(39), chr(10), "
+    "'This commit was REVERTED because it caused a regression.', chr(10), chr(10), 'Affected files: ', array_to_string(f[1:3], ', '), chr(10), CASE WHEN len(f) > 3 THEN '...' ELSE '' END, chr(10), chr(10), "
+    "'Before making similar changes, review why this was reverted:', chr(10), 'Revert message: ', chr(39), u.message, chr(39), chr(10), chr(10), 'Recommendation: Search git history for this commit to understand the failure.')"
+)
+_RULES_SQL = f"""WITH {_RP}, fl AS (SELECT commit_hash, list_sort(list(DISTINCT file_path)) AS f FROM gd WHERE file_path IS NOT NULL GROUP BY 1)
+SELECT concat('immune_system_', substr(original_hash, 1, 12)) AS rule_id, rp.project_id, array_to_string(f[1:5], '|') AS file_pattern, CAST(10 AS INTEGER) AS priority, min({_RULE_SQL}) AS rule_text
+FROM rp JOIN fl ON fl.commit_hash = original_hash JOIN cm b ON b.commit_hash = original_hash JOIN cm u ON u.commit_hash = revert_hash GROUP BY 1, 2, 3, 4"""
+
+
+@query("revert_rules", _RULES_SQL)
 def revert_rules(spark, d):
     c = B.commits(spark, d)
     return H.revert_rules(H.revert_pairs(c), c, B.diffs(spark, d))
@@ -211,13 +254,24 @@ def find_references(spark, d):
     return graph.neighbours(B.edges(spark, d), n, n.where("node_type = 'class'"))
 
 
-@query("graph_search", "WITH h AS (" + match_sql("c", "chunk_id", "content", "stream cache reader", "any", 150) + "), f AS (SELECT chunk_id, max(CASE WHEN regexp_matches(file_path, '(?i)(stream|cache|reader)') THEN 1 ELSE 0 END) AS hit FROM fc GROUP BY 1) SELECT h.chunk_id, coalesce(hit, 0) = 1 AS graph_match, round(-h.score + 0.03 * coalesce(hit, 0), 6) AS score FROM h LEFT JOIN f ON f.chunk_id = h.chunk_id ORDER BY score DESC, chunk_id LIMIT 50")
+_ASK = "where does Cache hold the stream_reader of a page"
+_STEM = "regexp_extract(file_path, '([^/\\\\]+?)(?:\\.[^./\\\\]+)?$', 1)"
+_FILES = "fn AS (SELECT DISTINCT file_path AS node_id, " + _STEM + " AS name, file_path FROM fm WHERE NOT starts_with(file_path, 'vfs://'))"
+
+
+@query("graph_search", f"""WITH h AS ({match_sql("c", "chunk_id", "content", ["where", "does", "cache", "hold", "the", "stream reader", "of", "a", "page"], " OR ".join(f"f{i} > 0" for i in range(9)), 150)}),
+{_FILES}, sy AS (SELECT DISTINCT s FROM (SELECT unnest(regexp_extract_all('{_ASK}', '([A-Za-z_][A-Za-z0-9_]*)', 1)) AS s) WHERE length(s) >= 4 OR contains(s, '_') OR regexp_matches(s, '^[A-Z].') OR regexp_matches(s, '^.+[A-Z]')),
+hf AS (SELECT DISTINCT file_path FROM (SELECT file_path, row_number() OVER (PARTITION BY s ORDER BY file_path, node_id) AS r FROM fn JOIN sy ON contains(lower(name), lower(s))) WHERE r <= 50),
+it AS (SELECT chunk_id, json_extract_string(CASE WHEN json_valid(metadata) THEN metadata END, '$.item_name') AS item FROM c)
+SELECT h.chunk_id, hf.file_path IS NOT NULL AS graph_match, round(-h.score + CASE WHEN hf.file_path IS NOT NULL THEN 0.03 ELSE 0 END, 6) AS score FROM h JOIN it ON it.chunk_id = h.chunk_id LEFT JOIN hf ON hf.file_path = it.item ORDER BY score DESC, chunk_id LIMIT 50""")
 def graph_search(spark, d):
-    """A search in which chunks of files named like a symbol of the query are lifted."""
-    h = fts.search(B.chunks(spark, d), "chunk_id", "content", "stream cache reader", 150, "any")
-    hit = B.links(spark, d).groupBy("chunk_id").agg(F.max(F.col("file_path").rlike("(?i)(stream|cache|reader)").cast("int")).alias("hit"))
-    rows = h.join(hit, "chunk_id", "left").select("chunk_id", (F.coalesce("hit", F.lit(0)) == 1).alias("graph_match"), F.round(-F.col("score") + 0.03 * F.coalesce("hit", F.lit(0)), 6).alias("score"))
-    return rows.orderBy(F.desc("score"), "chunk_id").limit(50)
+    """A search in which chunks of files that a symbol of the query names are lifted; nodes are the files by their names."""
+    stem = F.regexp_extract("file_path", r"([^/\\]+?)(?:\.[^./\\]+)?$", 1)
+    nodes = B.files(spark, d).where(~F.col("file_path").startswith("vfs://")).select(F.col("file_path").alias("node_id"), stem.alias("name"), "file_path", F.lit(1).alias("start_line")).distinct()
+    files = graph.symbol_files(spark.createDataFrame([(0, _ASK)], "id int, q string"), "id", "q", nodes)
+    item = F.get_json_object("metadata", "$.item_name")
+    hits = search(spark, d, "chunks", _ASK, "any", 150).join(B.chunks(spark, d).select("chunk_id", item.alias("file_path")), "chunk_id")
+    return graph.lifted(hits, files).select("chunk_id", "graph_match", "score").orderBy(F.desc("score"), "chunk_id").limit(50)
 
 
 # Stack traces stand in the error reports.
@@ -246,10 +300,14 @@ def chunks_by_line_range(spark, d):
     return rows.select(F.col("file").alias("span_file"), "chunk_id", "internal_id")
 
 
-@query("analyze_error_stack", f"WITH {_SPANS}, f AS (SELECT commit_hash, file_path AS file, 50 AS line FROM gd WHERE file_path IS NOT NULL GROUP BY 1, 2) SELECT f.commit_hash, f.file, CAST(line AS INTEGER) AS line, 'diff' AS language, arg_min(sp.chunk_id, (sp.internal_id, sp.chunk_id)) AS chunk_id FROM f LEFT JOIN sp ON sp.span_file = f.file AND coalesce(start_line, 0) <= line + 5 AND coalesce(end_line, 999999) >= line - 5 GROUP BY 1, 2, 3, 4")
+@query("analyze_error_stack", f"""WITH {_SPANS}, f AS (SELECT DISTINCT commit_hash, file_path AS file, CAST(1 + length(coalesce(diff_content, '')) % 200 AS INTEGER) AS line FROM gd WHERE file_path IS NOT NULL AND NOT contains(file_path, '"') AND NOT contains(file_path, chr(10)))
+SELECT f.commit_hash, f.file, line, 'python' AS language, arg_min(sp.chunk_id, (sp.internal_id, sp.chunk_id)) AS chunk_id FROM f LEFT JOIN sp ON sp.span_file = f.file AND coalesce(start_line, 0) <= line + 5 AND coalesce(end_line, 999999) >= line - 5 GROUP BY 1, 2, 3, 4""")
 def analyze_error_stack(spark, d):
-    """Frames at line 50 of every changed file, resolved to chunks."""
-    found = B.diffs(spark, d).where("file_path is not null").select("commit_hash", F.col("file_path").alias("file")).distinct().select("commit_hash", "file", F.lit(50).alias("line"), F.lit("diff").alias("language"))
+    """A trace for each commit, with a frame for every changed file, is parsed and its frames resolved to chunks."""
+    x = B.diffs(spark, d).where(F.col("file_path").isNotNull() & ~F.col("file_path").contains('"') & ~F.col("file_path").contains("\n"))
+    said = F.concat(F.lit('  File "/repo/'), "file_path", F.lit('", line '), (1 + F.length(F.coalesce("diff_content", F.lit(""))) % 200).cast("string"), F.lit(", in f"))
+    traces = x.select("commit_hash", said.alias("said")).distinct().groupBy("commit_hash").agg(F.concat(F.lit("Traceback (most recent call last):\n"), F.array_join(F.sort_array(F.collect_list("said")), "\n")).alias("trace"))
+    found = graph.frames(traces, "commit_hash", "trace").select("commit_hash", F.regexp_replace("file", "^/repo/", "").alias("file"), "line", "language")
     return graph.frame_context(found, _spans(spark, d), ["commit_hash"])
 
 
@@ -257,9 +315,10 @@ def analyze_error_stack(spark, d):
 _RULES = [("*.py", "keep functions small", 10), ("src/**/*.ts", "no default exports", 5), ("README.md|CHANGELOG.md", "write for readers", 1)]
 
 
-@query("repo_rules", "SELECT * FROM (VALUES {}) AS v(file_pattern, rule_text, priority)".format(", ".join(f"('{a}', '{b}', {c})" for a, b, c in _RULES)), base=False)
+@query("repo_rules", f"SELECT rule_id, project_id, file_pattern, priority FROM ({_RULES_SQL}) ORDER BY priority DESC, rule_id")
 def repo_rules(spark, d):
-    return spark.createDataFrame(_RULES, "file_pattern string, rule_text string, priority int").orderBy(F.desc("priority"))
+    """The rules drawn from reverts, the most important first."""
+    return revert_rules(spark, d).select("rule_id", "project_id", "file_pattern", "priority").orderBy(F.desc("priority"), "rule_id")
 
 
 _HEADER = ", ".join(f"CASE WHEN regexp_matches(file_path, '{rule_regex(p)}') THEN '[Repo Constraint]: {t}' || chr(10) ELSE '' END" for p, t, _ in _RULES)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.glob import IGNORED, TEXT_EXTENSIONS, extension, is_ignored, regexes
 from ..operators import fts
-from ..session import table
+from ..session import shared_dir, table
+from ..sources import files as sources
 from . import base as B
 from .base import query
+from .index import search
 
 S, W = r"[^ \t\n\r\f\x0B]", r"[ \t\n\r\f\x0B]"
 TOKENS = f"list_filter(string_split_regex(translate(lower(%s), '{T.ACCENTED}', '{T.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
@@ -60,11 +64,16 @@ def ingest_documents(spark, d):
     return rows.select("doc_id", F.col("w.chunk_index").cast("long").alias("chunk_index"), F.concat_ws("-", F.col("w.first_token").cast("string"), F.col("w.last_token").cast("string")).alias("token_range"), "content_hash", T.token_count(F.col("w.content")).cast("long").alias("n_tokens"), F.sha2("w.content", 256).alias("chunk_hash"))
 
 
-@query("chunk_large")
+_LARGE = f"""WITH p AS (SELECT chunk_id, {PIECES.replace('text', 'content', 1)} AS p FROM c WHERE content IS NOT NULL),
+s AS (SELECT chunk_id, p, unnest(range(0, greatest(len(p) - 40 - 1, 0) + 1, 360)) AS s FROM p WHERE len(p) > 0)
+SELECT chunk_id, CAST(s / 360 AS BIGINT) AS chunk_index, s AS first_token, least(s + 400, len(p)) - 1 AS last_token, regexp_replace(array_to_string(p[s + 1:s + 400], ''), '{W}+$', '') AS content FROM s"""
+
+
+@query("chunk_large", _LARGE)
 def chunk_large(spark, d):
     """Windows at 400/40 of whole chunks of code, however large: the same expression has no size limit."""
     rows = B.chunks(spark, d).select("chunk_id", F.explode(T.windows(F.col("content"), 400, 40)).alias("w"))
-    return rows.select("chunk_id", "w.*")
+    return rows.select("chunk_id", *[F.col(f"w.{c}").cast("long").alias(c) for c in ("chunk_index", "first_token", "last_token")], F.col("w.content").alias("content"))
 
 
 @query("truncate_tokens", f"SELECT doc_id, CASE WHEN len({PIECES}) <= 50 THEN text ELSE regexp_replace(array_to_string(({PIECES})[1:50], ''), '{W}+$', '') END AS text_50 FROM documents WHERE text IS NOT NULL")
@@ -138,6 +147,19 @@ def scan_filter_supported(spark, d):
     return scan_files(spark, d).where(extension(F.col("file_path")).isin(*TEXT_EXTENSIONS)).select("project_id", "file_path")
 
 
+_TREE = "SELECT concat('.', project_id, '/_', chunk_id, '.py') AS rel_path, strlen(content) + 1 AS size_bytes, length(content) AS n_chars, sha256(content) AS text_hash FROM c WHERE project_id IS NOT NULL AND content IS NOT NULL"
+
+
+@query("scan_tree", _TREE)
+def scan_tree(spark, d):
+    """Every chunk written as a file of a hidden folder, with a byte that is no UTF-8 behind it, then the tree scanned and read."""
+    root = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    rows = B.chunks(spark, d).where("project_id is not null and content is not null").select(F.concat(F.lit("."), "project_id", F.lit("/_"), "chunk_id", F.lit(".py")).alias("rel_path"), F.concat(F.encode("content", "UTF-8"), F.lit(bytearray(b"\xff"))).alias("content"))
+    sources.write_files(rows, root).count()
+    found = sources.texts(sources.supported(sources.listing(spark, root)))
+    return found.select("rel_path", "size_bytes", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_hash"))
+
+
 @query("file_hash", "SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL")
 def file_hash(spark, d):
     return _docs(spark, d).where("text is not null").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("content_hash"))
@@ -145,74 +167,94 @@ def file_hash(spark, d):
 
 # Full-text search.
 @query("fts_postings", f"""WITH t AS (SELECT doc_id, {TOKENS % 'text'} AS toks FROM documents), e AS (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term, unnest(range(len(toks))) AS pos FROM t)
-SELECT term, doc_id, count(*) AS tf, min(pos) AS first_pos, max(dl) AS dl FROM e GROUP BY 1, 2""")
+SELECT term, doc_id, count(*) AS tf, max(dl) AS dl, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM e GROUP BY 1, 2""")
 def fts_postings(spark, d):
-    p = fts.postings(_docs(spark, d), "doc_id", "text")
-    return p.select("term", "doc_id", "tf", F.col("first_pos").cast("long").alias("first_pos"), F.col("dl").cast("long").alias("dl"))
-
+    return fts.postings(_docs(spark, d), "doc_id", "text").select("term", "doc_id", "tf", "dl", F.array_join("positions", ",").alias("positions"))
 
-def match_sql(source: str, key: str, text: str, query_text: str, mode: str, limit: int | None) -> str:
-    """The SQL of a search, from the parsed terms."""
-    node = fts.tree(fts.parse(query_text, mode))
-    scored = fts.phrases(node)
-    lit = lambda p: "'" + (" " + "  ".join(p) + " ").replace("'", "''") + "'"
 
-    def cond(n):
-        if n[0] == "phrase":
-            return f"contains(body, {lit(n[1])})"
-        a, b = cond(n[1]), cond(n[2])
-        return f"({a} AND {b})" if n[0] == "AND" else f"({a} OR {b})" if n[0] == "OR" else f"({a} AND NOT {b})"
+def match_sql(source: str, key: str, text: str, phrases: list[str], where: str, limit: int | None = None, within: str = "true", scored: int | None = None) -> str:
+    """The SQL of a search over whole texts, for given phrases of plain words; f0, f1, ... say how often each occurs.
 
-    tf = ", ".join(f"(length(body) - length(replace(body, {lit(p)}, ''))) / {len(lit(p)) - 2}.0 AS tf{i}" for i, p in enumerate(scored))
-    ns = ", ".join(f"sum(CASE WHEN tf{i} > 0 THEN 1 ELSE 0 END) AS n{i}" for i in range(len(scored)))
+    `where` says what matches; the first `scored` phrases count for the score. Nothing of it comes from the engine's query parser.
+    """
+    lit = lambda p: "'" + "".join(f" {w} " for w in p.split()) + "'"
+    tf = ", ".join(f"(length(body) - length(replace(body, {lit(p)}, ''))) / {len(lit(p)) - 2}.0 AS f{i}" for i, p in enumerate(phrases))
+    ns = ", ".join(f"sum(CASE WHEN f{i} > 0 THEN 1 ELSE 0 END) AS n{i}" for i in range(len(phrases)))
     idf = lambda i: f"(CASE WHEN ln((total - n{i} + 0.5) / (n{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((total - n{i} + 0.5) / (n{i} + 0.5)) END)"
-    score = " + ".join(f"{idf(i)} * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(scored)))
+    score = " + ".join(f"{idf(i)} * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(scored or len(phrases)))
     end = f" ORDER BY score, {key} LIMIT {limit}" if limit else ""
-    return f"""WITH tk AS (SELECT {key}, {TOKENS % f"coalesce({text}, '')"} AS toks FROM {source}), bd AS (SELECT {key}, len(toks) AS dl, concat(' ', array_to_string(toks, '  '), ' ') AS body FROM tk),
+    return f"""WITH tk AS (SELECT *, {TOKENS % f"coalesce({text}, '')"} AS toks FROM {source}), bd AS (SELECT *, len(toks) AS dl, concat(' ', array_to_string(toks, '  '), ' ') AS body FROM tk),
 fr AS (SELECT *, {tf} FROM bd), st AS (SELECT count(*) AS total, avg(dl) AS avgdl, {ns} FROM fr)
-SELECT {key}, round(-({score}), 6) AS score FROM fr, st WHERE {cond(node)}{end}"""
+SELECT {key}, round(-({score}), 6) AS score FROM fr, st WHERE ({where}) AND ({within}){end}"""
 
 
-def _search(name, query_text, mode, limit=200, source="c", key="chunk_id", text="content"):
-    @query(name, match_sql(source, key, text, query_text, mode, limit))
-    def run(spark, d):
-        df = B.chunks(spark, d) if source == "c" else _docs(spark, d)
-        if limit:
-            return fts.search(df, key, text, query_text, limit, mode)
-        return fts.bm25(df, key, text, fts.parse(query_text, mode))
+FIRST = "project_id = (SELECT min(project_id) FROM projects)"
 
-    return run
 
+def first_project(spark, d) -> str:
+    return table(spark, d, "projects").agg(F.min("project_id")).first()[0]
 
-_search("bm25_score", "reader OR cache OR the", "strict", None, "documents", "doc_id", "text")
-_search("fts_search_any", "stream cache the", "any")
-_search("fts_search_strict", "return vector", "strict")
-_search("fts_boolean", "import and return not class or vector", "strict", None)
-_search("fts_phrase", "the ranking step", "phrase", None, "documents", "doc_id", "text")
 
+@query("bm25_score", match_sql("documents", "doc_id", "text", ["reader", "cache", "the"], "f0 > 0 OR f1 > 0 OR f2 > 0"))
+def bm25_score(spark, d):
+    return search(spark, d, "documents", "reader OR cache OR the")
+
+
+@query("fts_search_any", match_sql("c", "chunk_id", "content", ["stream", "cache", "the"], "f0 > 0 OR f1 > 0 OR f2 > 0", 200, FIRST))
+def fts_search_any(spark, d):
+    """The best 200 chunks of one project, by the statistics of all."""
+    return search(spark, d, "chunks", "stream cache the", "any", 200, first_project(spark, d))
+
+
+@query("fts_search_strict", match_sql("c", "chunk_id", "content", ["return", "vector"], "f0 > 0 AND f1 > 0", 200, FIRST))
+def fts_search_strict(spark, d):
+    return search(spark, d, "chunks", "return vector", "strict", 200, first_project(spark, d))
 
-@query("fts_match_ids", match_sql("(SELECT chunk_id, concat_ws(' ', chunk_id, project_id, content) AS content FROM c)", "chunk_id", "content", "stream kernel", "strict", None))
-def fts_match_ids(spark, d):
-    """As a search whose index also holds the ids' own tokens."""
-    df = B.chunks(spark, d).select("chunk_id", F.concat_ws(" ", "chunk_id", "project_id", "content").alias("content"))
-    return fts.bm25(df, "chunk_id", "content", fts.parse("stream kernel", "strict"))
 
+@query("fts_boolean", match_sql("c", "chunk_id", "content", ["import", "return", "vector", "class"], "f0 > 0 AND (f1 > 0 AND NOT f3 > 0) OR f2 > 0", scored=3))
+def fts_boolean(spark, d):
+    return search(spark, d, "chunks", "import and return not class or vector")
 
-_ASKED = ["foo bar", '"foo bar" baz', "foo not bar", "a near b", "c++ (x)", "foo(bar)", "and foo", ""]
-_EXPECTED = {
-    "strict": ['"foo" AND "bar"', '"foo bar" AND "baz"', '"foo" NOT "bar"', '"a" NEAR "b"', '"c++" AND "x"', '"foo bar"', '"foo"', ""],
-    "any": ['"foo" OR "bar"', '"foo bar" OR "baz"', '"foo" OR "bar"', '"a" OR "b"', '"c++" OR "x"', '"foo bar"', '"foo"', ""],
-    "phrase": ['"foo bar"', '"foo bar baz"', '"foo not bar"', '"a near b"', '"c++ x"', '"foo bar"', '"and foo"', ""],
-}
 
+@query("fts_phrase", match_sql("documents", "doc_id", "text", ["the ranking step"], "f0 > 0"))
+def fts_phrase(spark, d):
+    return search(spark, d, "documents", "the ranking step", "phrase")
 
-def _parsed(mode):
-    rows = ", ".join("('{}', '{}')".format(a.replace("'", "''"), b.replace("'", "''")) for a, b in zip(_ASKED, _EXPECTED[mode]))
 
-    @query(f"fts_query_{mode}", f"SELECT * FROM (VALUES {rows}) AS v(asked, parsed)", base=False)
+@query("fts_match_ids", match_sql("(SELECT chunk_id, concat_ws(' ', chunk_id, project_id, content) AS content FROM c)", "chunk_id", "content", ["stream", "kernel"], "f0 > 0 AND f1 > 0"))
+def fts_match_ids(spark, d):
+    """As a search whose index also holds the ids' own tokens."""
+    return search(spark, d, "chunks_ids", "stream kernel")
+
+
+# The query builder, over every query of the search log. In SQL: words, parentheses apart, cleaned of special characters.
+_WORDS = "list_filter(list_transform(regexp_extract_all(query, '\"[^\"]*\"|[()]|[^\\s()]\\S*'), lambda w: {clean}), lambda w: w <> '')"
+_CLEAN = "trim(regexp_replace(regexp_replace(w, '[*^(){}<>]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_ASKED = "SELECT DISTINCT query FROM ss WHERE query IS NOT NULL AND NOT contains(query, '\"')"
+_IS_OP = "upper(w) IN ('AND', 'OR', 'NOT', 'NEAR')"
+_ANY = f"SELECT query AS asked, array_to_string(list_transform(list_filter({_WORDS.format(clean='w')}, lambda w: NOT ({_IS_OP}) AND {_CLEAN} <> ''), lambda w: concat('\"', substr({_CLEAN}, 1, 128), '\"')), ' OR ') AS parsed FROM ({_ASKED})"
+_PHRASE = f"SELECT query AS asked, CASE WHEN p = '' THEN '' ELSE concat('\"', p, '\"') END AS parsed FROM (SELECT query, substr(trim(regexp_replace(regexp_replace(query, '[*^(){{}}<>]', ' ', 'g'), '\\s+', ' ', 'g')), 1, 256) AS p FROM ({_ASKED}))"
+# Strict: words with their place; a term's operator is the last operator word since the term before it.
+_STRICT = f"""WITH a AS ({_ASKED}), w AS (SELECT query, unnest(x) AS w, unnest(range(len(x))) AS i FROM (SELECT query, {_WORDS.format(clean='w')} AS x FROM a)),
+t AS (SELECT *, {_IS_OP} AS isop, {_CLEAN} AS c FROM w WHERE w NOT IN ('(', ')')), u AS (SELECT *, sum(CASE WHEN NOT isop AND c <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY query ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM t),
+o AS (SELECT query, coalesce(n, 0) AS n, arg_max(upper(w), i) AS op FROM u WHERE isop AND coalesce(n, 0) > 0 GROUP BY 1, 2),
+r AS (SELECT u.query, u.i, concat(CASE WHEN coalesce(u.n, 0) = 0 THEN '' ELSE concat(' ', coalesce(o.op, 'AND'), ' ') END, '"', substr(u.c, 1, 128), '"') AS part FROM u LEFT JOIN o ON o.query = u.query AND o.n = coalesce(u.n, 0) WHERE NOT isop AND c <> '')
+SELECT a.query AS asked, coalesce(string_agg(part, '' ORDER BY i), '') AS parsed FROM a LEFT JOIN r ON r.query = a.query GROUP BY 1"""
+
+
+def _parsed(mode, sql):
+    @query(f"fts_query_{mode}", sql)
     def run(spark, d):
-        return spark.createDataFrame([(q, fts.render(fts.parse(q, mode))) for q in _ASKED], "asked string, parsed string")
+        """The match expression of every logged query without quotes (those are tested on their own)."""
+        import pandas as pd
+
+        def build(queries: pd.Series) -> pd.Series:
+            return queries.map(lambda q: fts.render(fts.parse(q, mode)))
+
+        build.__annotations__ = {"queries": pd.Series, "return": pd.Series}
+        asked = B.sessions(spark, d).select(F.col("query").alias("asked")).where("asked is not null").where(~F.col("asked").contains('"')).distinct()
+        return asked.select("asked", F.pandas_udf(build, "string")("asked").alias("parsed"))
 
 
-for _mode in _EXPECTED:
-    _parsed(_mode)
+for _mode, _sql in (("strict", _STRICT), ("any", _ANY), ("phrase", _PHRASE)):
+    _parsed(_mode, _sql)

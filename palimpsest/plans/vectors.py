@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fts, fusion, vector
+from ..operators import fusion, vector
 from ..session import table
 from . import base as B
 from .base import query
+from .index import search
 from .text import match_sql
 
 DIM = 64
@@ -56,14 +57,13 @@ def embed_hashing(spark, d):
 
 
 _VECTORS = f"vec AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS vec_rank FROM (SELECT vec_id, {_DOT} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 200))"
-_LEX = "lex AS (SELECT doc_id, row_number() OVER (ORDER BY score, doc_id) AS lex_rank FROM ({}))".format(match_sql("documents", "doc_id", "text", "ranking cache vector", "any", 200))
+_LEX = "lex AS (SELECT doc_id, row_number() OVER (ORDER BY score, doc_id) AS lex_rank FROM ({}))".format(match_sql("documents", "doc_id", "text", ["ranking", "cache", "vector"], "f0 > 0 OR f1 > 0 OR f2 > 0", 200))
 _RRF = f"WITH {_LEX}, {_VECTORS}, fu AS (SELECT coalesce(l.doc_id, v.doc_id) AS doc_id, lex_rank, vec_rank, round(coalesce(1.0 / (60 + lex_rank), 0) + coalesce(1.0 / (60 + vec_rank), 0), 6) AS score FROM lex l FULL JOIN vec v ON l.doc_id = v.doc_id)"
 _BOOST = "round(fu.score + CASE WHEN kind = 'memory_bank' THEN 0.05 WHEN kind = 'insight' THEN 0.002 ELSE 0 END, 6)"
 
 
 def _fused(spark, d, k=200):
-    docs = table(spark, d, "documents")
-    lex = fusion.ranked(fts.search(docs, "doc_id", "text", "ranking cache vector", k, "any"), "score", "doc_id", "lex_rank")
+    lex = fusion.ranked(search(spark, d, "documents", "ranking cache vector", "any", k), "score", "doc_id", "lex_rank")
     vec = vector.knn_arrow(table(spark, d, "embeddings"), "vec_id", "embedding", _query_vector(spark, d), k)
     return fusion.rrf(lex, vec.withColumnRenamed("vec_id", "doc_id"), "doc_id")
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -56,13 +59,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a private one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where it is unset a private one is made, which only a local session may do: elsewhere executors couldn't see it.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
+        atexit.register(shutil.rmtree, found[7:], True)
         spark.sparkContext.setCheckpointDir(found)
     return found
 
@@ -70,10 +80,38 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Writes `df` once to the shared folder and reads it back.
 
-    Cuts the lineage: later stages survive the loss of any executor, and a
-    branch used several times is computed once.
+    Cuts the lineage: later stages survive the loss of any executor, and a branch used several times is computed
+    once. The folder goes when nothing on the driver refers to the table or to a frame made of it any more,
+    at the latest with the session.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"cut-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _sweep(spark)
+    # The JVM's plan of the table, which every plan made of it holds, is watched by a weak reference.
+    jvm = spark.sparkContext._jvm
+    held = out._jdf.queryExecution().analyzed()
+    leaf = held.collectLeaves().head()
+    _CUTS.append((jvm.java.lang.ref.WeakReference(leaf.relation() if "LogicalRelation" in leaf.getClass().getName() else leaf), path))
+    return out
+
+
+#: Weak references to the tables of `cut` and their folders.
+_CUTS: list[tuple] = []
+
+
+def _sweep(spark: SparkSession) -> None:
+    """Deletes the folders of `cut` whose tables the JVM has collected."""
+    jvm = spark.sparkContext._jvm
+    live = []
+    for ref, path in _CUTS:
+        try:
+            if not ref.refersTo(None):  # a get() would keep it alive
+                live.append((ref, path))
+                continue
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # a reference of a session that has ended
+            continue
+    _CUTS[:] = live

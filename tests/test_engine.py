@@ -1,10 +1,12 @@
 import glob
+import json
 import os
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest import tools
 from palimpsest.plans import base, catalog, history, incremental, text, vectors  # noqa: F401
 from palimpsest.sources import files
 from palimpsest.streaming import sessions
@@ -41,17 +43,72 @@ def test_query(spark, duck, name):
 
 
 def test_sources(spark, tmp_path):
-    (tmp_path / "src/node_modules").mkdir(parents=True)
-    (tmp_path / "src/a.py").write_text("def f():\n    return 1\n")
-    (tmp_path / "src/b.bin").write_bytes(b"\x00\xff")
-    (tmp_path / "src/c.log").write_text("x")
-    (tmp_path / "src/node_modules/d.js").write_text("x")
-    found = files.scan(spark, str(tmp_path))
-    assert sorted(r.rel_path for r in found.collect()) == ["src/a.py", "src/b.bin"]
-    chunks = files.ingest(files.supported(found)).collect()
-    assert [(c.rel_path, c.content, c.token_range) for c in chunks] == [("src/a.py", "def f():\n    return 1", "0-3")]
+    root = tmp_path / "src+a (1)"
+    for folder in ("src/node_modules", "pkg/.hidden/deep", ".github", "_private"):
+        (root / folder).mkdir(parents=True)
+    (root / "src/a.py").write_text("def f():\n    return 1\n")
+    (root / "src/b.bin").write_bytes(b"\x00\xff")
+    (root / "src/c.log").write_text("x")
+    (root / "src/node_modules/d.js").write_text("x")
+    (root / "pkg/__init__.py").write_text("")
+    (root / "pkg/_util.py").write_text("u = 1")
+    (root / "pkg/.hidden/deep/x.py").write_text("x = 1")
+    (root / ".github/ci.yml").write_text("on: push")
+    (root / "latin.txt").write_bytes("caf\u00e9 ol\u00e9".encode("latin-1"))
+    (root / "link.py").symlink_to(root / "src/a.py")
+    found = files.listing(spark, str(root))
+    assert sorted(r.rel_path for r in found.collect()) == [".github/ci.yml", "latin.txt", "pkg/.hidden/deep/x.py", "pkg/__init__.py", "pkg/_util.py", "src/a.py", "src/b.bin"]
+    texts = {r.rel_path: r.text for r in files.texts(files.supported(found)).collect()}
+    assert texts["latin.txt"] == "caf ol" and texts["pkg/__init__.py"] == "" and len(texts) == 6
+    chunks = {c.rel_path: (c.content, c.token_range) for c in files.ingest(files.supported(found)).collect()}
+    assert chunks["src/a.py"] == ("def f():\n    return 1", "0-3") and chunks["pkg/_util.py"] == ("u = 1", "0-2") and "pkg/__init__.py" not in chunks
+    assert {r.rel_path: bytes(r.content) for r in files.contents(found).collect()}["src/b.bin"] == b"\x00\xff"
     assert files.project_limits(found).first()["within"]
-    assert files.allowed(str(tmp_path / "src"), [str(tmp_path)]) and not files.allowed("/etc", [str(tmp_path)]) and not files.allowed("/etc", [])
+    assert files.allowed(str(root / "src"), [str(root)]) and not files.allowed("/etc", [str(root)]) and not files.allowed("/etc", [])
+    assert files.listing(spark, str(root / "nowhere")).count() == 0 and files.listing(spark, f"file://{root}").count() == 7
+
+
+def test_listing_of_many_directories_is_handed_on(spark, tmp_path, monkeypatch):
+    for i in range(30):
+        (tmp_path / f"d{i}/e/f").mkdir(parents=True)
+        (tmp_path / f"d{i}/e/f/x.py").write_text("x")
+        (tmp_path / f"d{i}/y.py").write_text("y")
+    monkeypatch.setattr(files, "LISTED", 10)
+    assert files.listing(spark, str(tmp_path)).select("rel_path").distinct().count() == files.listing(spark, str(tmp_path)).count() == 60
+
+
+def test_files_that_change_or_vanish_give_no_row(spark, tmp_path):
+    for n in "abc":
+        (tmp_path / f"{n}.txt").write_text(n)
+    found = files.listing(spark, str(tmp_path))
+    (tmp_path / "a.txt").unlink()
+    (tmp_path / "b.txt").write_text("longer")
+    assert [r.rel_path for r in files.texts(found).collect()] == ["c.txt"]
+
+
+def test_long_sections_are_capped_by_lines(spark, tmp_path):
+    text = "h|a|1|s\n" + "\u00e9" * 40 + "\nshort\n"
+    assert files.cap_section(text, 30) == "h|a|1|s\n" + files.SECTION_CUT + "short\n"
+    assert files.cap_section(text, 1000) == text
+    got = [r.section for r in files.capped(spark.createDataFrame([(text,), ("x",)], "section string"), 30).collect()]
+    assert sorted(got) == sorted(["h|a|1|s\n" + files.SECTION_CUT + "short\n", "x"])
+
+
+def test_stored_index_equals_the_pass_over_texts(spark):
+    from palimpsest.operators import fts
+    from palimpsest.session import table
+
+    docs = table(spark, SF, "documents")
+    index, sums = fts.postings(docs, "doc_id", "text").cache(), fts.totals(docs, "text")
+    for asked, mode in (("cache OR stream NOT the", "strict"), ("the ranking step", "phrase"), ("in_the of", "any"), ("!!!", "strict"), ("", "any"), ("the not", "any"), ("zzzzqq the", "any")):
+        terms = fts.parse(asked, mode)
+        want = {(r.doc_id, r.score) for r in fts.bm25(docs, "doc_id", "text", terms).collect()}
+        assert {(r.doc_id, r.score) for r in fts.match(index, sums, "doc_id", terms).collect()} == want, asked
+    few = spark.createDataFrame([("a", "x x x", "p"), ("b", None, "p"), ("c", "", "q"), ("d", "y X", "q")], "k string, t string, p string")
+    rows = {(r.k, r.term): (r.tf, r.dl, r.positions) for r in fts.postings(few, "k", "t", ["p"]).collect()}
+    assert rows == {("a", "x"): (3, 3, [0, 1, 2]), ("d", "x"): (1, 2, [1]), ("d", "y"): (1, 2, [0])}
+    found = fts.best(fts.postings(few, "k", "t", ["p"]), fts.totals(few, "t", ["p"]), "k", "x", 5, "any", ["p"], F.col("p") == "q").collect()
+    assert [r.k for r in found] == ["d"] and fts.totals(few, "t").first().docs == 4
 
 
 def test_streams_equal_batch(spark, tmp_path):
@@ -138,26 +195,140 @@ def test_tools(spark, tmp_path, log):
     assert m.search_memory("read", p, 5, fts_mode="any") is first and m.table("search_sessions").count() == n
     m.search_memory("read", p, 4, fts_mode="any")
     assert m.dream_project(p, 1)["insights"] == 1 and m.trigger_rem_cycle(p)["insights"] >= 0
+    insight = m.table("chunks", p).where("file_path = 'vfs://insights/dream_cycle.md'").first()
+    assert insight.content == "they belong together" and json.loads(insight.metadata)["source_chunks"] == sorted(json.loads(insight.metadata)["source_chunks"])
     assert m.repair_project(p)["healthy"] and m.get_codebase_overview(p)["files"] >= 3
+    given = m.get_chunk(p, first["results"][0]["id"])["access_count"]
+    assert given >= 2 and {r.chunk_id: r.access_count for r in m.accesses(p).collect()}[first["results"][0]["id"]] == given
+    assert m.prune_sessions(p, max_rows=1) == 2 and m.get_chunk(p, first["results"][0]["id"])["access_count"] == given
+    assert m.prune_sessions(p, max_age_s=3600) == 0
+    held = m.table("embedding_cache").count()
+    assert m.prune_cache(max_rows=2) == held - 2 and m.table("embedding_cache").count() == 2
     assert {j["status"] for j in m.list_jobs()} == {"COMPLETED"} and not m.cancel_job("none")
+    m._say("left", "index_project", p, "PROCESSING")
+    assert m.fail_stale_jobs() == 1 and m._job_row("left")["status"] == "FAILED"
+    m._say("open", "index_project", p, "PROCESSING")
+    assert m.cancel_job("open") and not m.cancel_job("open") and m._job_row("open")["status"] == "CANCELLED"
+    assert m.prune_jobs(max_rows=2) >= 1 and len(m.list_jobs()) == 2
+    with pytest.raises(ValueError):
+        m.index_project(str(code), "a\x00b")
     with pytest.raises(PermissionError):
         m.index_project("/etc", "x")
     with pytest.raises(ValueError):
         m.search_memory("x " * 300, p)
     m.delete_project(p)
-    assert m.list_projects() == []
+    assert m.list_projects() == [] and all(m.table(n, p).count() == 0 for n in tools.OWNED)
+
+
+def test_index_of_a_tree_with_everything(spark, tmp_path):
+    import zipfile
+
+    code = tmp_path / "code (1)"
+    (code / ".github").mkdir(parents=True)
+    (code / "pkg").mkdir()
+    (code / "pkg/__init__.py").write_text("\n\n\ndef start():\n    return 1\n" + "\n".join(f"x{i} = {i}" for i in range(300)))
+    (code / ".github/ci.yml").write_text("on: push")
+    (code / "latin.txt").write_bytes("the caf\u00e9 opens".encode("latin-1"))
+    xml = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>Minutes of the harbour board</w:t></w:r></w:p></w:body></w:document>'
+    with zipfile.ZipFile(code / "minutes.docx", "w") as z:
+        z.writestr("word/document.xml", xml)
+    calls = []
+    m = Memory(spark, f"file://{tmp_path}/db", [str(tmp_path)])
+    p = m.index_project(str(code), "All")
+    assert {r.file_path for r in m.table("file_metadata", p).collect()} == {"pkg/__init__.py", ".github/ci.yml", "latin.txt", "minutes.docx"}
+    assert m.search_memory("harbour board", p)["results"][0]["content"] == "Minutes of the harbour board"
+    rows = m.table("chunks", p).where("file_path = 'pkg/__init__.py'").orderBy("internal_id").collect()
+    text = (code / "pkg/__init__.py").read_text().split("\n")
+    for r in rows:
+        lines = r.content.split("\n")
+        assert text[r.start_line - 1].endswith(lines[0]) and text[r.end_line - 1].startswith(lines[-1]) and r.end_line - r.start_line == len(lines) - 1
+    # An update reads only what changed; chunks that are the same keep their numbers and vectors.
+    before = {r.chunk_id: r.internal_id for r in m.table("chunks", p).collect()}
+    read = files.texts
+    try:
+        files.texts = lambda f, *a: (calls.append(sorted(r.rel_path for r in f.collect())), read(f, *a))[1]
+        (code / "latin.txt").write_text("the kiosk opens")
+        (code / "pkg/new.py").write_text("def fresh():\n    pass\n")
+        (code / ".github/ci.yml").unlink()
+        assert m.update_project(p) == {"added": 2, "deleted": 2}
+    finally:
+        files.texts = read
+    assert calls == [["latin.txt", "pkg/new.py"]]
+    after = {r.chunk_id: r.internal_id for r in m.table("chunks", p).collect()}
+    assert all(after[k] == before[k] for k in set(after) & set(before)) and len(set(after) & set(before)) == len(rows) + 1
+    assert m.project_health(p)["healthy"] and m.search_memory("kiosk", p)["count"] >= 1
+    assert {n["name"] for n in m.query_graph_nodes(p)} == {"start", "fresh"}
+
+
+def test_project_of_files_that_cannot_be_read_is_refused(spark, tmp_path, monkeypatch):
+    (tmp_path / "code").mkdir()
+    for i in range(8):
+        (tmp_path / f"code/{i}.txt").write_text("x")
+    m = Memory(spark, f"file://{tmp_path}/db", [str(tmp_path)])
+    read = files.texts
+    monkeypatch.setattr(files, "texts", lambda f, *a: read(f, *a).where("rel_path > '5'"))
+    with pytest.raises(RuntimeError):
+        m.index_project(str(tmp_path / "code"), "Lost")
+    assert [j["status"] for j in m.list_jobs()] == ["FAILED"]
+
+
+def test_searches_start_a_cycle_where_that_is_on(spark, tmp_path):
+    (tmp_path / "code").mkdir()
+    (tmp_path / "code/a.md").write_text("tide and harbour")
+    (tmp_path / "code/b.md").write_text("tide and mole")
+    m = Memory(spark, f"file://{tmp_path}/db", [str(tmp_path)], generator=lambda p: "both are of the sea", auto_dream=True, auto_every=2)
+    p = m.index_project(str(tmp_path / "code"), "Sea")
+    m.search_memory("tide", p)
+    assert m.table("chunks", p).count() == 2
+    m.search_memory("tide", p, 9)
+    assert m.table("chunks", p).where("file_path like 'vfs://insights/%'").count() == 1
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(monkeypatch):
+    from palimpsest import session
+
+    class Ctx:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": lambda s: type("S", (), {"getCheckpointDir": lambda s: type("O", (), {"isDefined": lambda s: False})()})()})()
+
+    fake = type("Spark", (), {"conf": type("C", (), {"get": lambda s, k, d=None: None})(), "sparkContext": Ctx()})()
+    with pytest.raises(RuntimeError):
+        session.shared_dir(fake)
+
+
+def test_cut_tables_go_when_nothing_needs_them(spark):
+    import gc
+
+    from palimpsest import session
+
+    def folders():
+        for _ in range(3):
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+        session._sweep(spark)
+        return {p for _, p in session._CUTS}
+
+    one = session.cut(spark.range(5))
+    path = session._CUTS[-1][1]
+    both = one.join(session.cut(spark.range(3)), "id")
+    del one
+    kept, n = path in folders(), both.count()
+    assert kept and n == 3
+    del both
+    gone = path not in folders()
+    assert gone
 
 
 def test_hubs_and_large_memory_banks_come_whole(spark, tmp_path):
     m = Memory(spark, f"file://{tmp_path}/db", [str(tmp_path)])
     n = 1100
-    m._put("graph_edges", spark.range(n).select(F.lit("p").alias("project_id"), F.format_string("n%04d", "id").alias("source_id"), F.lit("hub").alias("target_id"), F.lit("calls").alias("edge_type")))
+    m._add("graph_edges", "p", spark.range(n).select(F.lit("p").alias("project_id"), F.format_string("n%04d", "id").alias("source_id"), F.lit("hub").alias("target_id"), F.lit("calls").alias("edge_type")))
     found = m.find_references("p", "hub")
     assert [r["peer_id"] for r in found] == [f"n{i:04d}" for i in range(n)]
-    chunks = m.table("chunks")
-    bank = spark.range(n).select(F.lit("p").alias("project_id"), F.col("id").cast("string").alias("chunk_id"), F.col("id").alias("internal_id"), F.format_string("vfs://memory/s%04d.md", "id").alias("file_path"), F.lit("now").alias("content"))
-    m._put("chunks", chunks.unionByName(bank, allowMissingColumns=True))
-    assert len(m.get_project_context("p")["memory"]) == n
+    bank = spark.range(n).select(F.lit("p").alias("project_id"), F.col("id").cast("string").alias("chunk_id"), F.col("id").alias("internal_id"), F.format_string("vfs://memory/s%04d.md", F.floor(F.col("id") / 2)).alias("file_path"), F.concat(F.lit("now"), "id").alias("content"))
+    m._add("chunks", "p", m._empty("chunks").unionByName(bank, allowMissingColumns=True))
+    memory = m.get_project_context("p")["memory"]
+    assert len(memory) == n // 2 and memory["s0003"] == "now6\n\nnow7"
 
 
 def test_without_the_llm_subpackage():

@@ -6,8 +6,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from palimpsest.operators import catalog, graph, history, incremental, mining
-from palimpsest.sources.store import VersionedTable
+from palimpsest.operators import catalog, graph, history, incremental, mining, pairs
+from palimpsest.sources.store import Conflict, VersionedTable
 
 
 def test_merges(spark):
@@ -35,27 +35,83 @@ def test_versions(spark, tmp_path):
     assert t.load() is None
     assert t.publish(spark.range(3)) == 1 and t.publish(spark.range(5)) == 2
     assert t.load().count() == 5 and t.load(1).count() == 3
-    with pytest.raises(RuntimeError):
+    with pytest.raises(Conflict):
         t.publish(spark.range(9), expected=1)
     assert t.load().count() == 5
 
 
+def test_interleaved_writers_lose_nothing(spark, tmp_path):
+    a, b = (VersionedTable(spark, f"file://{tmp_path}/t") for _ in range(2))
+    a.append("p", spark.range(2))
+    at = a.version()
+    b.append("q", spark.range(10, 13))
+    b.append("p", spark.range(20, 21))
+    with pytest.raises(Conflict):  # p is not what it was at `at`
+        a.replace("p", spark.range(1), at)
+    a.replace("q", spark.range(30, 32), a.version())
+    assert sorted(r.id for r in a.load().collect()) == [0, 1, 20, 30, 31]
+    calls = []
+
+    def make(old):
+        calls.append(1)
+        if len(calls) == 1:
+            b.append("p", spark.range(50, 51))
+        return old.where("id > 0")
+
+    a.change("p", make)
+    assert len(calls) == 2 and sorted(r.id for r in b.load(part="p").collect()) == [1, 20, 50]
+    for i in range(30):
+        a.append("log", spark.range(i, i + 1).coalesce(1))
+    assert a.load(part="log").count() == 30 and sum(p == "log" for p, _ in a.entries(a.version())) < 30
+    assert len(a.versions()) <= 9
+    a.change("p", lambda old: None)
+    assert a.load(part="p") is None
+
+
 def test_incremental_run_survives_failure(spark, tmp_path):
     s = incremental.IncrementalState(spark, f"file://{tmp_path}/s", ["k"])
     df = lambda *rows: spark.createDataFrame(rows, "k string, content_hash string, change2 int")
     seen = []
-    keep = lambda x: seen.append({(r.k, r.change) for r in x.collect()})
+    keep = lambda x, v: seen.append((v, {(r.k, r.change) for r in x.collect()}))
     assert s.run(df(("a", "1", 0), ("b", "1", 0), ("b", "1", 0), ("n", None, 0)), keep) == 1
-    assert seen[-1] == {("a", "new"), ("b", "new")}
+    assert seen[-1] == (1, {("a", "new"), ("b", "new")})
 
-    def fail(x):
+    def fail(x, v):
         raise OSError("lost")
 
     with pytest.raises(OSError):
         s.run(df(("a", "2", 0), ("c", "1", 0)), fail)
-    assert s.run(df(("a", "2", 0), ("c", "1", 0), (None, "7", 0)), keep) == 2
-    assert seen[-1] == {("a", "changed"), ("c", "new"), (None, "new")}
-    assert s.run(df(("a", "2", 0), ("b", "1", 0), ("c", "1", 0), (None, "7", 0)), keep) == 3 and seen[-1] == set()
+    # What the failed run was to do comes again under its number, what is new since then after it.
+    assert s.run(df(("a", "2", 0), ("c", "1", 0), (None, "7", 0)), keep) == 3
+    assert seen[-2:] == [(2, {("a", "changed"), ("c", "new")}), (3, {(None, "new")})]
+    assert s.run(df(("a", "2", 0), ("b", "1", 0), ("c", "1", 0), (None, "7", 0)), keep) == 4 and seen[-1] == (4, set())
+    assert s.run(df(("a", "2", 0), ("b", None, 0)), keep, True) == 5 and seen[-1] == (5, {("c", "removed"), (None, "removed")})
+    assert {(r.k, r.content_hash) for r in s.rows().collect()} == {("a", "2"), ("b", "1")}
+
+
+def test_incremental_run_killed_between_work_and_swap(spark, tmp_path, monkeypatch):
+    s = incremental.IncrementalState(spark, f"file://{tmp_path}/s", ["k"])
+    sink = {}  # a sink that knows versions: a repeated one replaces itself
+    work = lambda x, v: sink.__setitem__(v, sorted((r.k, r.content_hash) for r in x.collect()))
+    df = lambda *rows: spark.createDataFrame(rows, "k string, content_hash string")
+    s.run(df(("a", "1")), work)
+    point = s.table._point
+    monkeypatch.setattr(s.table, "_point", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+    with pytest.raises(OSError):
+        s.run(df(("a", "2"), ("b", "1")), work)
+    monkeypatch.setattr(s.table, "_point", point)
+    assert s.table.version() == 1
+    s.run(df(("a", "3"), ("b", "1")), work)
+    assert sink == {1: [("a", "1")], 2: [("a", "2"), ("b", "1")], 3: [("a", "3")]}
+
+
+def test_incremental_state_is_written_anew_after_many_versions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "COMPACT", 3)
+    s = incremental.IncrementalState(spark, f"file://{tmp_path}/s", ["k"])
+    for i in range(7):
+        s.run(spark.createDataFrame([("a", str(i)), (f"k{i}", "1")], "k string, content_hash string"), lambda x, v: None)
+    assert len(s.table.entries(7)) <= 3
+    assert {(r.k, r.content_hash) for r in s.rows().collect()} == {("a", "6")} | {(f"k{i}", "1") for i in range(7)}
 
 
 def test_incremental_state_of_a_source_that_changes_while_it_is_worked_on(spark, tmp_path):
@@ -65,7 +121,7 @@ def test_incremental_state_of_a_source_that_changes_while_it_is_worked_on(spark,
     current = lambda: spark.read.format("binaryFile").load(f"file://{tmp_path}/src").select("path", F.sha2("content", 256).alias("content_hash"), F.col("content").cast("string").alias("text"))
     seen = []
 
-    def work(x):
+    def work(x, version):
         seen.append([r.text for r in x.collect()])
         (tmp_path / "src/a.txt").write_text("two")
 
@@ -73,6 +129,29 @@ def test_incremental_state_of_a_source_that_changes_while_it_is_worked_on(spark,
     assert seen == [["one"], ["two"], []]
 
 
+def test_numbers_and_running_sums(spark):
+    r = random.Random(3)
+    rows = [(r.choice(["p", "q", None]), i, r.randint(0, 9)) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, k int, v long").repartition(7)
+    want, sums, n = {}, {}, {}
+    for g, k, v in sorted(rows, key=lambda x: (x[0] or "", x[1])):
+        n[g] = n.get(g, 0) + 1
+        sums[g] = sums.get(g, 0) + v
+        want[k] = (n[g] + 10, sums[g])
+    got = {x.k: x.n for x in catalog.numbered(df, ["k"], "n", 10, ["g"]).collect()}
+    assert got == {k: w[0] for k, w in want.items()}
+    assert {x.k: x.s for x in catalog.running(df, ["g"], ["k"], "v", "s").collect()} == {k: w[1] for k, w in want.items()}
+    assert catalog.numbered(df.limit(0), ["k"], "n").count() == 0
+
+
+def test_pairs_of_a_hot_record_in_blocks(spark):
+    rows = [("hot", f"i{i:03d}", i % 3) for i in range(90)] + [("cold", "a", 0), ("cold", "b", 1), ("one", "a", 0), (None, "a", 0), (None, "b", 0)]
+    df = spark.createDataFrame(rows, "rec string, item string, f int")
+    got = sorted((r.rec, r.item_a, r.item_b, r.f_a, r.f_b) for r in pairs.pairs_within(df, ["rec"], "item", ["f"], block=16).collect())
+    want = sorted((a[0], a[1], b[1], a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and a[0] and a[1] < b[1])
+    assert got == want
+
+
 def test_p3_found_is_driven_through_the_state(spark, monkeypatch):
     from palimpsest.plans import incremental as plan
     from palimpsest.session import table
@@ -124,12 +203,13 @@ def test_diff_paths_and_sections(spark):
     gone = "diff --git a/y b/y\n--- a/y\n+++ /dev/null\n-1"
     binary = "diff --git a/z b/z\nBinary files a/z and b/z differ"
     quoted = 'diff --git "a/q r" "b/q r"\n--- "a/q r"\n+++ "b/q r"\n+' + "l" * 3000
-    section = history.MARKER + "abc|Ann|12|fix a|b\nM\tx\nD\ty\nA\tz\nR100\told\tq r\n\n" + "\n".join([block, gone, binary, quoted])
+    odd = 'diff --git "a/t\\tq\\"" "b/t\\tq\\""\n--- "a/t\\tq\\""\n+++ "b/t\\tq\\""\n+1'
+    section = history.MARKER + "abc|Ann|12|fix a|b\nM\tx\nD\ty\nA\tz\nR100\told\tq r\n\n" + "\n".join([block, gone, binary, quoted, odd])
     df = spark.createDataFrame([(section,), ("bad",), (None,), ("a|b|c|d\nx",), ("h|a|5|only\n",)], "s string")
     parsed = history.parse_sections(df, "s")
     assert {(r.commit_hash, r.author, r.timestamp, r.message) for r in parsed.collect()} == {("abc", "Ann", 12, "fix a|b"), ("h", "a", 5, "only")}
     rows = {r.file_path: (r.change_type, len(r.diff_content)) for r in history.parse_diffs(parsed).collect()}
-    assert rows == {"x": ("MODIFIED", len(block)), "y": ("DELETED", len(gone)), "z": ("ADDED", len(binary)), "q r": ("MODIFIED", 2000 + len(history.DIFF_CUT))}
+    assert rows == {"x": ("MODIFIED", len(block)), "y": ("DELETED", len(gone)), "z": ("ADDED", len(binary)), "q r": ("MODIFIED", 2000 + len(history.DIFF_CUT)), 't\tq"': ("MODIFIED", len(odd))}
 
 
 def test_reverts(spark):
