@@ -83,3 +83,32 @@ def test_propagation_equals_enumeration(spark):
         for f, x in (("d/a.min.js", a), ("d/b.js", b), ("c.js", c)):
             sums[f][x] += p
     assert all(math.isclose(got[f], max(s) / total, rel_tol=1e-9) for f, s in sums.items())
+
+
+def test_files_of_numbers_and_banners_by_hand(spark):
+    code = "import os\n\ndef f(a):\n    return a + 1\n" * 5
+    files = {
+        "src/rows.sql": "\n".join(f"INSERT INTO t_{i} VALUES ({i * 7919}, 'a37d3088d1df5c{i:02d}', {i * 13}.2714);" for i in range(40)),
+        "src/table.py": "ROWS = {\n" + "".join(f"    {i * 7919}: (0.{i}4515, 0.89216, {i * 31}5527),\n" for i in range(1, 40)) + "}",
+        "src/out.ts": "// Produced by classgen; hand edits are overwritten on the next build\n" + code,
+        "src/set.sql": "INSERT INTO settings (name, val) VALUES ('token_count', '11');\n" + code, "src/a.py": code, "src/b.py": code + "# written by hand; edits welcome\n",
+    }
+    fm = spark.createDataFrame([("p", f) for f in files], "project_id string, file_path string")
+    fc = spark.createDataFrame([("p", f, f) for f in files], "project_id string, file_path string, chunk_id string")
+    c = spark.createDataFrame(list(files.items()), "chunk_id string, content string")
+    got = {r.file_path: r.label for r in provenance.label_files(fm, fc, c).collect()}
+    assert got == {"src/rows.sql": "blob", "src/table.py": "blob", "src/out.ts": "generated", "src/set.sql": "handwritten", "src/a.py": "handwritten", "src/b.py": "handwritten"}
+
+
+def test_trees_cut_into_blocks_have_the_same_labels(spark):
+    r = random.Random(5)
+    names = ["src", "lib", "vendor", "dist", "a", "b", "generated", "node_modules"]
+    paths = {"/".join(r.choice(names) for _ in range(r.randint(0, 6)) if True) for _ in range(150)}
+    rows = [(g, (f"{d}/" if d else "") + f"{n}{i}.js") for g in "pq" for i, d in enumerate(sorted(paths)) for n in ("x", "y.min")]
+    fm = spark.createDataFrame([*rows, ("p", "/".join(["deep"] * 300) + "/z.js")], "project_id string, file_path string")
+    none = spark.createDataFrame([], "project_id string, file_path string, chunk_id string"), spark.createDataFrame([], "chunk_id string, content string")
+    whole = {(x.project_id, x.file_path): (x.label, round(x.confidence, 9)) for x in provenance.label_files(fm, *none).collect()}
+    for limit in (1, 4, 20):
+        cut = {(x.project_id, x.file_path): (x.label, round(x.confidence, 9)) for x in provenance.label_files(fm, *none, block_dirs=limit).collect()}
+        assert cut == whole, limit
+    assert len(whole) == fm.count() and len({x[0] for x in whole.values()}) > 2
