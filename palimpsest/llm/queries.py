@@ -69,16 +69,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _baskets(spark: SparkSession, d: str) -> DataFrame:
-    """(tbl, project_id, record, items) of searches and commits."""
-    found = table(spark, d, "search_sessions").select(F.lit("search_sessions").alias("tbl"), "project_id", F.col("session_id").alias("record"), F.col("result_chunk_ids").alias("items"))
-    diffs = table(spark, d, "git_diffs").where("commit_hash is not null").groupBy("commit_hash").agg(F.max("project_id").alias("other"), F.collect_set("file_path").alias("items"))
-    commits = table(spark, d, "git_commits").where("commit_hash is not null").groupBy("commit_hash").agg(F.max("project_id").alias("project_id"))
-    diffs = diffs.join(commits, "commit_hash", "left").select(F.lit("git_diffs").alias("tbl"), F.coalesce("project_id", "other").alias("project_id"), F.col("commit_hash").alias("record"), "items")
-    return found.unionByName(diffs)
+    """(tbl, project_id, record, item) of searches and commits, a row for each item: no record is collected."""
+    found = table(spark, d, "search_sessions").select(F.lit("search_sessions").alias("tbl"), "project_id", F.col("session_id").alias("record"), F.explode("result_chunk_ids").alias("item"))
+    diffs = table(spark, d, "git_diffs").where("commit_hash is not null").select("commit_hash", "project_id", F.col("file_path").alias("item"))
+    other = diffs.groupBy("commit_hash").agg(F.max("project_id").alias("other"))
+    commits = table(spark, d, "git_commits").where("commit_hash is not null").groupBy("commit_hash").agg(F.max("project_id").alias("own"))
+    owner = other.join(commits, "commit_hash", "left").select("commit_hash", F.coalesce("own", "other").alias("project_id"))
+    rows = diffs.select("commit_hash", "item").join(owner, "commit_hash").select(F.lit("git_diffs").alias("tbl"), "project_id", F.col("commit_hash").alias("record"), "item")
+    return found.unionByName(rows)
 
 
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return together.together(_baskets(spark, d), ["tbl", "project_id"], "record", "items", 4, 3.0)
+    return together.together(_baskets(spark, d), ["tbl", "project_id"], "record", "item", 4, 3.0)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -138,9 +140,15 @@ JOIN n ON n.tbl = ab.tbl AND n.project_id IS NOT DISTINCT FROM ab.project_id
 JOIN k ka ON ka.tbl = ab.tbl AND ka.project_id IS NOT DISTINCT FROM ab.project_id AND ka.item = item_a
 JOIN k kb ON kb.tbl = ab.tbl AND kb.project_id IS NOT DISTINCT FROM ab.project_id AND kb.item = item_b
 WHERE n_ab * n.n >= 3 * ka.n_item * kb.n_item""",
+    "p6_pairs": """@P6@
+SELECT ab.tbl, ab.project_id, item_a, item_b, n.n, ka.n_item AS n_a, kb.n_item AS n_b, n_ab, n_ab * n.n / (ka.n_item * kb.n_item) AS lift, (n_ab + 0.5) * (n.n - ka.n_item - kb.n_item + n_ab + 0.5) / ((ka.n_item - n_ab + 0.5) * (kb.n_item - n_ab + 0.5)) AS odds_ratio FROM ab""",
     "p7_found": r"SELECT DISTINCT chunk_id FROM chunks WHERE len(regexp_extract_all(content, '[^ \t\n\r\f\x0B]+')) > 400",
 }
 
 
+_WITH, _FROM = ORACLE["p6_found"].split("\nSELECT ab.tbl, ab.project_id, item_a, item_b FROM ab\n")
+ORACLE["p6_pairs"] = ORACLE["p6_pairs"].replace("@P6@", _WITH) + "\n" + _FROM
+
+
 def oracle_sql():
     return dict(ORACLE)
