@@ -103,6 +103,11 @@ def p9_packing(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack(encode.count_tokens(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "size")
 
 
+def p9_certificates(spark: SparkSession, d: str) -> DataFrame:
+    """The containers and lower bounds of every partition of the packing, and of all of it."""
+    return pack.pack_certified(encode.count_tokens(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "size")[1]
+
+
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return langid.detect(table(spark, d, "documents"), "doc_id", "text", "lang", table(spark, d, "lang_codes"))
 

@@ -62,6 +62,48 @@ def test_pack_frame(spark):
     assert pack.pack(df.limit(0), "id", "size").count() == 0
 
 
+def test_certificates(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([700, 683, 1365, 900, 500, 60])) for i in range(600)] + [(900, 5000), (901, None), (901, 3)]
+    df = spark.createDataFrame(rows, "id long, size long")
+    for group_items in (100, 20_000):  # with rounds between groups, and one group alone
+        placed, proof = pack.pack_certified(df, "id", "size", 2048, group_items)
+        placed, proof = placed.toPandas(), proof.toPandas()
+        assert placed.groupby("container_id").n_tokens.sum().max() <= 2048
+        whole = proof[proof["round"] == -1].iloc[0]
+        assert whole.containers == placed.container_id.nunique() == proof[proof["round"] >= 0].kept.sum() + 2 and whole["items"] == len(placed)
+        assert (proof.containers >= proof.bound).all() and (proof.certified == (proof.containers == proof.bound)).all()
+        assert whole.bound >= -(-placed.n_tokens.sum() // 2048)
+    assert pack.pack_certified(df.limit(0), "id", "size")[1].count() == 0
+
+
+def test_exchange_closes_gaps_that_best_fit_leaves():
+    rng = np.random.default_rng(2)
+    better = 0
+    for _ in range(60):
+        sizes = rng.integers(200, 1200, 90)
+        bound = pack.lower_bound(sizes, 2048)
+        bins = pack.best_fit_decreasing(sizes, 2048)
+        new = pack.exchange(sizes, bins, 2048, bound)
+        assert np.bincount(new, weights=sizes).max() <= 2048 and bound <= new.max() + 1 <= bins.max() + 1
+        better += new.max() < bins.max()
+    assert better > 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=7))
+def test_bound_is_never_above_the_best_packing(sizes):
+    def best(rest, rooms):
+        if not rest:
+            return len(rooms)
+        out = best(rest[1:], [*rooms, 12 - rest[0]])
+        for i in {r: i for i, r in enumerate(rooms) if r >= rest[0]}.values():
+            out = min(out, best(rest[1:], [*rooms[:i], rooms[i] - rest[0], *rooms[i + 1 :]]))
+        return out
+
+    assert pack.lower_bound(np.array(sizes), 12) <= best(sizes, [])
+
+
 def check(text, limit=20, overlap=4):
     ps = cutting.pieces(text, limit, overlap)
     assert "".join(text[b:e] for _, b, e, _, _ in ps) == text
