@@ -45,7 +45,7 @@ def _leaf(text: str, start: int, end: int, enc, pat) -> Node:
     node = Node(start, end)
     for m in pat.finditer(text[start:end]):
         node.starts.append(start + m.start())
-        node.ids.append(enc._encode_single_piece(m.group()))
+        node.ids.append(enc.encode_ordinary(m.group()))
     return node
 
 
