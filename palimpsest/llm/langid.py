@@ -14,6 +14,7 @@ may be wrong. Everything else covers all rows and whole texts.
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-#: Labelled documents per language that the classifiers are fitted on, at most, and sentences of each.
-SAMPLE_DOCS, SAMPLE_SENTENCES = 150, 12
+#: Labelled documents per language that the classifiers are fitted on, at most, sentences of each, and characters of these.
+SAMPLE_DOCS, SAMPLE_SENTENCES, SENTENCE_CHARS = 150, 12, 400
 FEATURES, BITS = 2048, 16
 #: Letters that a paragraph's prose has at least, and where a letter is a word or a syllable.
 LETTERS, LETTERS_WIDE = 8, 4
@@ -36,6 +37,7 @@ AMBIGUOUS = 0.04
 
 _FENCE = re.compile(r"\s*(?:```|~~~)")
 _SKIP = re.compile(r"\s*(?:#|Traceback \(|File \"|at [\w.$<>]+[ (]|[\w.]*(?:Error|Exception)\b:?|\|.*\|\s*$|[\w.\-]+\s*[:=]?\s*[\d.,]*\s*$)")
+_SENTENCE_END = re.compile(r"[a-z]{3}[.!?]$")
 _REPEATED = re.compile(r"(\S{1,8}?)\1{7,}")
 _LONG = re.compile(r"\S{24}")
 _TICKS = re.compile(r"`[^`\n]*`")
@@ -102,22 +104,31 @@ def paragraphs(text: str) -> Iterator[tuple[int, str]]:
         yield no, "\n".join(held)
 
 
+def _skipped(line: str) -> bool:
+    """A line that is no prose: a heading, a part of a trace, a table, a name with a value."""
+    m = _SKIP.match(line)
+    if not m:
+        return False
+    return bool(_SKIP.fullmatch(line)) or line.lstrip()[:1] in "#TFa|" and m.end() > 3 and not _SENTENCE_END.search(line)
+
+
 def sentences(para: str) -> list[str]:
     """The prose of a paragraph in parts, lower case, words parted by one blank; empty where there is none."""
     if not para.replace("\n", "").isprintable():
         para = _HIDDEN.sub("", para)
-    lines = [x for x in para.split("\n") if not _SKIP.fullmatch(x) and not (_SKIP.match(x) and x.lstrip()[:1] in "#TFa|" and _SKIP.match(x).end() > 3 and not re.search(r"[a-z]{3}[.!?]$", x))]
-    text = unicodedata.normalize("NFC", repair("\n".join(lines)))
+    text = unicodedata.normalize("NFC", repair("\n".join([x for x in para.split("\n") if not _skipped(x)])))
     if _LONG.search(text):
         text = _REPEATED.sub(" ", text)
-    text = _TICKS.sub(" ", text)
+    if "`" in text:
+        text = _TICKS.sub(" ", text)
     if _ODD.search(text):
         text = _CODE.sub(" ", text)
     text = _STOP.sub("\n", text).translate(_LETTERS)
-    out = [s for s in (" ".join(x.split()) for x in text.split("\n")) if s]
-    wide = any(_WIDE.search(s) for s in out)
-    letters = sum(len(s) - s.count(" ") for s in out)
-    words = sum(s.count(" ") + 1 for s in out)
+    out = [s for s in [" ".join(x.split()) for x in text.split("\n")] if s]
+    whole = " ".join(out)
+    wide = not whole.isascii() and bool(_WIDE.search(whole))
+    words = whole.count(" ") + 1
+    letters = len(whole) - words + 1
     if letters < (LETTERS_WIDE if wide else LETTERS) or not wide and words < 2:
         return []
     return out
@@ -220,11 +231,15 @@ def fit(parts: list[str], langs: list[str]) -> Model | None:
 def segments(texts: list[str | None], model: Model) -> list[list[tuple[int, str, float, bool]]]:
     """Of each text (para_no, lang, confidence, ambiguous) of its prose paragraphs, after those of the document as number 0."""
     found: list[tuple[int, int]] = []  # (text, paragraph)
+    known: dict[str, list[str]] = {}  # equal paragraphs are cut into sentences once
     parts: list[str] = []
     owner: list[int] = []
     for i, text in enumerate(texts):
         for no, para in paragraphs(text.replace("\r\n", "\n")) if text else ():
-            if s := sentences(para):
+            s = known.get(para)
+            if s is None:
+                s = known[para] = sentences(para)
+            if s:
                 owner += [len(found)] * len(s)
                 found.append((i, no))
                 parts += s
@@ -258,24 +273,36 @@ def segments(texts: list[str | None], model: Model) -> list[list[tuple[int, str,
 
 
 def train(df: DataFrame, key: str, text: str, label: str, aliases: DataFrame, per_lang: int = SAMPLE_DOCS) -> Model | None:
-    """A model from at most `per_lang` labelled documents of each language of `aliases` (lang, alias)."""
+    """A model from at most `per_lang` labelled documents of each language of `aliases` (lang, alias).
+
+    The documents are cut into sentences where they are; what comes to the driver is SAMPLE_SENTENCES sentences of
+    SENTENCE_CHARS characters of each.
+    """
+    ship(df.sparkSession)
     known = aliases.select(F.col("lang").alias("known"), F.lower("alias").alias("alias")).distinct()
-    rows = df.where(F.length(text) > 0).select(F.xxhash64(key).alias("h"), F.col(text).alias("text"), F.lower(label).alias("alias")).join(F.broadcast(known), "alias")
+    rows = df.where(F.length(text) > 0).select(F.xxhash64(key).alias("h"), F.col(text).alias("text"), F.lower(label).alias("alias")).join(known, "alias")
     counts = rows.groupBy("known").count().collect()  # a row per language
     if not counts:
         return None
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = []
+            for t in b.column(2).to_pylist():
+                s = (x for _, p in paragraphs(t.replace("\r\n", "\n")) for x in sentences(p) if len(x) > 12 or _WIDE.search(x))
+                parts.append([x[:SENTENCE_CHARS] for x in itertools.islice(s, SAMPLE_SENTENCES)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(parts, pa.list_(pa.string()))], ["known", "h", "parts"])
+
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["known"], min(1.0, 1.3 * per_lang / r["count"]))])
     some = rows.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("known")] * (1 << 20)).select("known", "h", "text")
-    taken: dict[str, list] = {}
-    for r in some.orderBy("known", "h").limit(2 * per_lang * len(counts)).collect():
-        if len(mine := taken.setdefault(r["known"], [])) < per_lang:
-            mine.append(r["text"])
+    some = some.mapInArrow(cut_up, "known string, h long, parts array<string>")
+    taken: dict[str, int] = {}
     parts, langs = [], []
-    for lang, texts in taken.items():
-        for t in texts:
-            s = [x for _, p in paragraphs(t.replace("\r\n", "\n")) for x in sentences(p) if len(x) > 12 or _WIDE.search(x)][:SAMPLE_SENTENCES]
-            parts += s
-            langs += [lang] * len(s)
+    for r in some.orderBy("known", "h").limit(2 * per_lang * len(counts)).collect():
+        if taken.get(r["known"], 0) < per_lang:
+            taken[r["known"]] = taken.get(r["known"], 0) + 1
+            parts += r["parts"]
+            langs += [r["known"]] * len(r["parts"])
     return fit(parts, langs)
 
 
@@ -305,9 +332,9 @@ def detect(df: DataFrame, key: str, text: str, label: str, aliases: DataFrame, m
             at = pa.array(cols[0], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.bool_())], [key, "label_lang", "para_no", "lang", "confidence", "ambiguous"])
 
-    # A bounded table: a row per spelling of a label.
+    # A row per spelling of a label; Spark broadcasts it where its size allows.
     known = aliases.select(F.lower("alias").alias("__alias"), F.col("lang").alias("label_lang")).groupBy("__alias").agg(F.min("label_lang").alias("label_lang"))
-    rows = df.select(F.col(key).alias(key), F.lower(label).alias("__alias"), F.col(text).alias("__text")).where("length(__text) > 0").join(F.broadcast(known), "__alias", "left")
+    rows = df.select(F.col(key).alias(key), F.lower(label).alias("__alias"), F.col(text).alias("__text")).where("length(__text) > 0").join(known, "__alias", "left")
     return rows.select(key, "label_lang", "__text").mapInArrow(run, f"`{key}` {kind}, label_lang string, {SCHEMA}")
 
 
