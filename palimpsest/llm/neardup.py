@@ -1,17 +1,19 @@
 """Near-duplicate texts: an exact similarity self-join with pivot distance tables.
 
-Texts with one set of shingles are one class. Each class has a fingerprint of
-parity bits: a shingle flips one bit, so the Hamming distance of two fingerprints
-is at most the size of the sets' symmetric difference. Distances to reference
-fingerprints, computed once per class, form the pivot table. By the triangle inequality a
-pair whose coordinates differ by more than the distance its threshold allows is no
-link, and is discarded without being looked at.
+Texts with one set of shingles are one class. A class's fingerprint has a bit for
+every shingle, so the Hamming distance of two fingerprints is the size of their sets' symmetric
+difference. The space of shingles is dealt into buckets by hash, and every union of buckets is a
+reference fingerprint. A class's distances to all of them follow from its counts in the buckets, which
+are the pivot table: the difference of two classes' distances to a union U and to the rest is the difference of
+their counts inside U less that outside. Of all references the one that takes each bucket on the side where the counts differ
+has the maximum coordinate difference, the sum over the buckets of |count - count'|. By the triangle inequality a
+pair for which it exceeds the distance that its threshold allows is no link, and is discarded without being looked at.
 
 The table alone would have to be held against every pair, so pairs come from an
 exact prefix index: with shingles in one global order, rare ones first, two sets
 above the threshold share one among the first few of each. The order uses counts
 over all texts, in as many buckets as fit a bounded table; it affects cost, never
-results. Survivors are verified on their sets.
+results. The table discards pairs where the index joins them, survivors are verified on their sets.
 """
 
 from __future__ import annotations
@@ -19,37 +21,45 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, ship
 from .shingles import Shingles, mix, shingles
 
-#: Bits of a fingerprint and reference fingerprints; a distance fits a byte, a table row a long.
-BITS, PIVOTS = 255, 8
+#: Buckets of the pivot table, in longs of sixteen counts each; a count of more than 15 is one of 15, which only lowers differences.
+LONGS, PER_LONG = 2, 16
 #: Classes that a task remembers having posted.
 POSTED = 1 << 18
 #: Buckets of shingle counts, as powers of two: four per row within these.
-MIN_BUCKETS, MAX_BUCKETS = 12, 21
+MIN_BUCKETS, MAX_BUCKETS = 12, 18
+#: Postings of a shingle beyond which they are cut into blocks.
+HOT = 2_000
 
-_RNG = np.random.default_rng(11)
-_REFERENCES = _RNG.integers(0, 2, (PIVOTS, BITS)).astype(np.float32)
-_REFERENCES[0] = 0
 
-
-def pivot_table(s: Shingles) -> np.ndarray:
-    """Distances of each text's fingerprint to the references, eight bytes in a long."""
-    bit = (mix(s.hash ^ np.uint64(0x5BD1E995)) % np.uint64(BITS)).astype(np.int64)
+def pivot_table(s: Shingles) -> list[np.ndarray]:
+    """The counts of each text's shingles in the buckets of the references, four bits each in LONGS longs."""
+    m = LONGS * PER_LONG
+    bucket = (mix(s.hash ^ np.uint64(0x5BD1E995)) >> np.uint64(40)).astype(np.int64) % m
     n = len(s.docs)
-    marks = np.bincount(s.doc * BITS + bit, minlength=n * BITS).reshape(n, BITS) & 1
-    far = marks @ (1 - 2 * _REFERENCES.T) + _REFERENCES.sum(1)
-    packed = np.zeros(n, np.uint64)
-    for i in range(PIVOTS):
-        packed |= far[:, i].astype(np.uint64) << np.uint64(8 * i)
-    return packed.view(np.int64)
+    counts = np.minimum(np.bincount(s.doc * m + bucket, minlength=n * m).reshape(n, m), 15).astype(np.uint64)
+    out = []
+    for i in range(LONGS):
+        packed = np.zeros(n, np.uint64)
+        for j in range(PER_LONG):
+            packed |= counts[:, i * PER_LONG + j] << np.uint64(4 * j)
+        out.append(packed.view(np.int64))
+    return out
+
+
+def apart(a: list[Column], b: list[Column]) -> Column:
+    """The maximum coordinate difference of two rows of the pivot table."""
+    count = lambda c, j: F.shiftrightunsigned(c, 4 * j).bitwiseAND(15)
+    return reduce(lambda x, y: x + y, [F.abs(count(x, j) - count(y, j)) for x, y in zip(a, b) for j in range(PER_LONG)])
 
 
 def _need(n: np.ndarray, share: Fraction) -> np.ndarray:
@@ -83,6 +93,7 @@ def near_classes(df: DataFrame, key: str, text: str, threshold: float | str = "0
     """
     ship(df.sparkSession)
     spark = df.sparkSession
+    far = [f"far{i}" for i in range(LONGS)]
     t = Fraction(str(threshold))
     both = t / (1 + t)  # of both sizes together, the part that two sets must share
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and length(text) > 0")
@@ -105,7 +116,7 @@ def near_classes(df: DataFrame, key: str, text: str, threshold: float | str = "0
             s = shingles(b.column(0), width, min_tokens)
             if not len(s.docs):
                 continue
-            cls, table = s.cls(), pivot_table(s)
+            cls, tables = s.cls(), pivot_table(s)
             # A class met before in this task has posted already; the rest of its copies go at the distinct.
             fresh = np.zeros(len(cls), bool)
             for i, c in enumerate(cls.tolist()):
@@ -124,23 +135,18 @@ def near_classes(df: DataFrame, key: str, text: str, threshold: float | str = "0
             for i in range(0, len(doc), 100_000):
                 c = slice(i, i + 100_000)
                 indexed = pos[c] < n[c] - _need(2 * n[c], both) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(h[c].view(np.int64)), pa.array(cls[doc[c]]), pa.array(n[c].astype(np.int32)), pa.array(pos[c].astype(np.int32)), pa.array(indexed), pa.array(table[doc[c]])], ["h", "cls", "n", "pos", "ix", "far"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[c].view(np.int64)), pa.array(cls[doc[c]]), pa.array(n[c].astype(np.int32)), pa.array(pos[c].astype(np.int32)), pa.array(indexed), *[pa.array(t[doc[c]]) for t in tables]], ["h", "cls", "n", "pos", "ix", *far])
 
     signed = cut(rows.mapInArrow(sign, f"key {kind}, cls long, n int, items array<long>"))
     members = signed.select("key", "cls", "n").dropDuplicates(["key"])
-    # One shuffle, by shingle, serves the distinct and both sides of the join.
-    posts = rows.select("text").mapInArrow(post, "h long, cls long, n int, pos int, ix boolean, far long").repartition("h").distinct()
-    small = posts.select("h", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("far").alias("fb"), F.col("ix").alias("ixb"))
-    large = posts.select("h", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("far").alias("fa"))
-    num, den = both.numerator, both.denominator
-    apart = F.greatest(*[F.abs(F.shiftrightunsigned("fa", 8 * i).bitwiseAND(255) - F.shiftrightunsigned("fb", 8 * i).bitwiseAND(255)) for i in range(PIVOTS)])
-    total = F.col("na") + F.col("nb")
-    # What is shared lies at or after the positions of the first common shingle, and is `both` of the total at least.
-    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    # Told of both sides, the index flag stays above the shuffle, which else would be done once for each.
-    cond = (F.col("ixb") | (F.col("na") < 0)) & (F.struct("nb", "b") < F.struct("na", "a")) & (room * den >= total * num) & ((total - apart) * den >= total * num * 2)
-    pairs = large.join(small, "h").where(cond).select("a", "b").distinct()
+    # One shuffle, by shingle, serves the distinct, the counts and both sides of the join.
+    kinds = ", ".join(f"{c} long" for c in far)
+    posts = rows.select("text").mapInArrow(post, f"h long, cls long, n int, pos int, ix boolean, {kinds}").repartition("h").distinct()
+    many = posts.groupBy("h").agg(F.count("*").alias("postings")).where(F.col("postings") > HOT)
+    few = posts.join(many.select("h"), "h", "left_anti")
+    pairs = _meet(few, ["h"], both).unionByName(_meet(_dealt(posts.join(many, "h")), ["h", "lo", "hi"], both)).distinct()
     sets = signed.select("cls", "n", "items").dropDuplicates(["cls"])
+    num, den = both.numerator, both.denominator
     pairs = pairs.join(sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia")), "a")
     pairs = pairs.join(sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib")), "b")
     shared = F.size(F.array_intersect("ia", "ib"))
@@ -148,6 +154,32 @@ def near_classes(df: DataFrame, key: str, text: str, threshold: float | str = "0
     return members, links
 
 
+def _dealt(posts: DataFrame) -> DataFrame:
+    """Postings of hot shingles in blocks: each goes to a group (lo, hi) for its own block and every other one of its shingle."""
+    n = F.ceil(F.col("postings") / HOT).cast("int")
+    out = posts.withColumn("blk", F.pmod(F.xxhash64("cls"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    return out.withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other")).drop("postings", "other")
+
+
+def _meet(posts: DataFrame, on: list[str], both: Fraction) -> DataFrame:
+    """(a, b): the pairs of postings of a group that neither sizes nor positions nor the pivot table rule out."""
+    far = [f"far{i}" for i in range(LONGS)]
+    blocks = ["blk"] if "blk" in posts.columns else []
+    names = {"cls": "", "n": "n", "pos": "p", "ix": "ix", **{c: c for c in far}, **{c: c for c in blocks}}
+    small = posts.select(*on, *[F.col(c).alias(x + "b") for c, x in names.items()])
+    large = posts.select(*on, *[F.col(c).alias(x + "a") for c, x in names.items() if c != "ix"])
+    num, den = both.numerator, both.denominator
+    total = F.col("na") + F.col("nb")
+    # What is shared lies at or after the positions of the first common shingle, and is `both` of the total at least.
+    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    # Told of both sides, the index flag stays above the shuffle, which else would be done once for each.
+    cond = (F.col("ixb") | (F.col("na") < 0)) & (F.struct("nb", "b") < F.struct("na", "a")) & (room * den >= total * num)
+    cond = cond & ((total - apart([F.col(f"{c}a") for c in far], [F.col(f"{c}b") for c in far])) * den >= total * num * 2)
+    if blocks:
+        cond = cond & ((F.col("lo") == F.col("hi")) | (F.col("blka") != F.col("blkb")))
+    return large.join(small, on).where(cond).select("a", "b")
+
+
 def near_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """(a, b): all pairs of different keys in one class or in two linked ones, the smaller key first."""
     links = cut(links)

@@ -50,6 +50,35 @@ def test_near_pairs_equal_brute_force(spark):
     assert all((grp[a] == grp[b]) == (root(a) == root(b)) for a, b in combinations(sorted(sets), 2))
 
 
+def test_hot_shingles_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 5)
+    rows = [(f"h{i:02d}", "the same licence header stands here " + f"u{i // 4} v{i // 4} w{i // 2} x{i}") for i in range(60)] + corpus()
+    df = spark.createDataFrame(rows, "id string, text string")
+    got = {(r.a, r.b) for r in neardup.near_pairs(*neardup.near_classes(df, "id", "text", "0.5", 2, 5)).collect()}
+    sets = {i: shingle(t, 2) for i, t in rows if len(t.split()) >= 5}
+    assert got == {(a, b) for a, b in combinations(sorted(sets), 2) if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])} and len(got) > 60
+
+
+def test_pivot_table_bounds_and_discards():
+    import pyarrow as pa
+
+    from palimpsest.llm.shingles import shingles
+
+    texts = [t for _, t in corpus()]
+    s = shingles(pa.array(texts), 3, 10)
+    sets = [set(s.hash[s.doc == i].tolist()) for i in range(len(s.docs))]
+    longs = neardup.pivot_table(s)
+    counts = np.array([[(int(x[i]) >> 4 * j) & 15 for x in longs for j in range(neardup.PER_LONG)] for i in range(len(s.docs))])
+    kept = pairs = 0
+    for i, j in combinations(range(len(sets)), 2):
+        apart = np.abs(counts[i] - counts[j]).sum()
+        assert apart <= len(sets[i] ^ sets[j])
+        total = len(sets[i]) + len(sets[j])
+        pairs += 1
+        kept += (total - apart) * 17 >= total * 7 * 2  # 7/17 of both sizes is a similarity of 0.7
+    assert kept < pairs / 3
+
+
 def test_exact_threshold(spark):
     # 17 shared of 20 and 24 in all: 10/10 against 7/10 exactly
     a = [f"a{i}" for i in range(37)]
