@@ -41,11 +41,23 @@ class Node:
     ids: list[list[int]] = field(default_factory=list)
 
 
+#: The ids of pre-tokens met before in this worker, by encoding; forgotten when they are too many.
+_KNOWN: dict[int, dict[str, list[int]]] = {}
+KNOWN = 200_000
+
+
 def _leaf(text: str, start: int, end: int, enc, pat) -> Node:
     node = Node(start, end)
+    known = _KNOWN.setdefault(id(enc), {})
     for m in pat.finditer(text[start:end]):
+        piece = m.group()
+        ids = known.get(piece)
+        if ids is None:
+            if len(known) >= KNOWN:
+                known.clear()
+            ids = known[piece] = enc.encode_ordinary(piece)
         node.starts.append(start + m.start())
-        node.ids.append(enc.encode_ordinary(m.group()))
+        node.ids.append(ids)
     return node
 
 

@@ -170,6 +170,42 @@ def test_neighbors_long_file_in_blocks(spark, monkeypatch):
     assert len(got & brute(rows, 3, 8)) >= 0.9 * 900
 
 
+def test_nearness_is_the_footrule():
+    rng = np.random.default_rng(3)
+    q, x = (np.array([rng.permutation(30)[:6] for _ in range(n)], np.int16) for n in (20, 25))
+    near = neighbors.nearness(q, x)
+    for i in range(20):
+        for j in range(25):
+            rank = lambda p, v: p.tolist().index(v) if v in p else 6
+            footrule = sum(abs(rank(q[i], v) - rank(x[j], v)) for v in set(q[i]) | set(x[j]))
+            assert footrule == 2 * (21 - near[i, j])
+
+
+def test_footrule_decides_and_recall_holds():
+    # One file of 3,000 vectors: of 1,800 that footrule keeps the five nearest are found.
+    rng = np.random.default_rng(5)
+    v = neighbors.normed(rng.normal(size=(40, 24))[rng.integers(0, 40, 3000)] + 0.5 * rng.normal(size=(3000, 24)))
+    pivots = neighbors.fit_pivots(v, 110)
+    perm = np.argsort(-(v @ pivots.T), axis=1)[:, : neighbors.PERMUTATION].astype(np.int16)
+    ids = np.arange(3000)
+    q, x, _ = neighbors.search_block(ids[:300], perm[:300], v[:300], ids, perm, v, 5)
+    cos = v[:300] @ v.T
+    cos[np.arange(300), np.arange(300)] = -9
+    want = np.argsort(-cos, axis=1)[:, :5]
+    found = [len(set(x[q == i].tolist()) & set(want[i].tolist())) for i in range(300)]
+    assert neighbors.SHARE * 3000 > neighbors.RERANK * 5 and sum(found) >= 0.95 * 1500
+
+
+def test_neighbors_of_very_long_files(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(30, 16))
+    rows = [(f"v{i}", [float(np.float32(x)) for x in centres[i % 30] + 0.4 * rng.normal(size=16)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "id string, v array<float>")
+    monkeypatch.setattr(neighbors, "SPLIT", 40)
+    out = neighbors.nearest(df, "id", "v", 5, 16).collect()
+    assert len({(r.id, r.neighbour) for r in out} & brute(rows, 5, 16)) >= 0.9 * 4500 and len({r.id for r in out}) == 900
+
+
 def test_neighbors_few_rows(spark):
     df = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "id string, v array<double>")
     assert {(r.id, r.neighbour) for r in neighbors.nearest(df, "id", "v", 5).collect()} == {("a", "b"), ("b", "a")}
