@@ -3,7 +3,9 @@
 Grammars in a small pattern language are combined into one automaton by the
 subset construction. Text is cut into overlapping chunks; each chunk is a lane, and all
 lanes take a step per column, so the Python loop is over a chunk's length and
-not over the text's.
+not over the text's. A lane that is still inside a pattern behind its overlap goes on until the next lane
+has come to the same state, so that no pattern is lost however long it is. From each end the automaton of the reversed
+grammars leads back to the start.
 """
 
 from __future__ import annotations
@@ -154,19 +156,16 @@ class _Builder:
 
 @dataclass
 class Automaton:
-    """A search automaton: a step table over byte classes, and the states in which a pattern has just ended."""
+    """A search automaton: a step table over byte classes, and the kinds of the patterns that have just ended in each state."""
 
     classes: np.ndarray  # byte -> class
     table: np.ndarray  # state * classes + class -> state * classes
-    accepts: np.ndarray  # state -> bool
+    accepts: np.ndarray  # state -> a bit for each kind
     width: int
+    back: Automaton | None = None  # of the reversed patterns, from an end on; its state 0 is dead
 
     def ends(self, data: np.ndarray, chunk: int = 1024, overlap: int = 256, before: int | None = None) -> np.ndarray:
-        """Absolute offsets, in order and once each, just after which a pattern ends.
-
-        Patterns of up to `overlap` bytes lie whole in a chunk, wherever they start. `before` is a byte that
-        the data are taken to follow.
-        """
+        """Absolute offsets of last bytes, in order and once each, at which a pattern ends. `before` is a byte that the data are taken to follow."""
         n = len(data)
         if not n:
             return np.zeros(0, np.int64)
@@ -181,47 +180,110 @@ class Automaton:
             state[0] = self.table[self.classes[before]]
         found = []
         base = np.arange(lanes, dtype=np.int64) * chunk
-        good = np.repeat(self.accepts, self.width)
+        good = np.repeat(self.accepts != 0, self.width)
+        met = state
         for j in range(chunk + overlap):
             state = self.table[state + grid[j]]
             hit = good[state]
             if hit.any():
                 found.append(base[hit] + j)
+            if j == overlap - 1:
+                met = state
+        # A lane that isn't where the next one was at the same byte goes on, and the next one with it.
+        own, other, at = state[:-1], met[1:], base[1:] + overlap
+        while True:
+            live = (own != other) & (at < n)
+            if not live.any():
+                break
+            own, other, at = own[live], other[live], at[live]
+            c = cls[at]
+            own, other = self.table[own + c], self.table[other + c]
+            hit = good[own]
+            if hit.any():
+                found.append(at[hit])
+            at = at + 1
         if not found:
             return np.zeros(0, np.int64)
-        at = np.unique(np.concatenate(found))
-        return at[at < n]
+        ends = np.unique(np.concatenate(found))
+        return ends[ends < n]
+
+    def spans(self, data: np.ndarray, chunk: int = 1024, overlap: int = 256, before: int | None = None) -> list[tuple[int, int, int]]:
+        """(start, end, kind) of the patterns, each once: of those that end at a byte the longest of each kind, and of those that start at one.
+
+        The reversed automaton takes all ends a step to the left at a time until all are dead.
+        """
+        ends = self.ends(data, chunk, overlap, before)
+        back = self.back
+        best: dict[tuple[int, int], int] = {}
+        state = np.full(len(ends), back.width, np.int32)  # its first state
+        at, who = ends.copy(), np.arange(len(ends))
+        first: dict[tuple[int, int], int] = {}
+        while len(at):
+            byte = np.where(at >= 0, data[np.maximum(at, 0)], before or 0)
+            state = back.table[state + back.classes[byte]]
+            kinds = back.accepts[state // back.width]
+            for i in np.flatnonzero(kinds).tolist():
+                mask, k = int(kinds[i]), 0
+                while mask:
+                    if mask & 1:
+                        first[int(ends[who[i]]), k] = int(at[i])  # later ones lie further left
+                    mask >>= 1
+                    k += 1
+            live = (state != 0) & (at > (0 if before is None else -1))
+            at, state, who = at[live] - 1, state[live], who[live]
+        for (end, k), start in first.items():
+            best[start, k] = max(end + 1, best.get((start, k), 0))
+        return sorted((start, end, k) for (start, k), end in best.items())
 
 
-def compile_search(patterns: list[tuple[str, bool]], limit: int = 20_000) -> Automaton:
-    """One automaton that finds every end of any of the (pattern, ignore case) given."""
+def compile_search(patterns: list[tuple], limit: int = 60_000) -> Automaton:
+    """One automaton that finds every end of any of the (pattern, ignore case[, kind]) given, and their starts."""
     b = _Builder()
     start = b.new()
-    finals = set()
-    for pattern, fold in patterns:
+    finals: dict[int, int] = {}
+    firsts: dict[int, int] = {}
+    for pattern, fold, *kind in patterns:
         s, e = b.parse(pattern, fold)
         b.free[start].append(s)
-        finals.add(e)
+        finals[e] = finals.get(e, 0) | 1 << (kind[0] if kind else 0)
+        firsts[s] = finals[e]
+    forward = _determine(b.step, b.free, [start], finals, True, limit)
+    # The same arcs the other way round, from the ends to the starts.
+    step: list[list[tuple[frozenset, int]]] = [[] for _ in b.step]
+    free: list[list[int]] = [[] for _ in b.free]
+    for s, edges in enumerate(b.step):
+        for chars, t in edges:
+            step[t].append((chars, s))
+    for s, to in enumerate(b.free):
+        if s != start:
+            for t in to:
+                free[t].append(s)
+    forward.back = _determine(step, free, list(finals), firsts, False, limit)
+    return forward
+
+
+def _determine(step: list, free: list, starts: list[int], finals: dict[int, int], search: bool, limit: int) -> Automaton:
+    """The subset construction; `search` begins anew at every byte. Without it state 0 is dead and state 1 the first."""
     # Bytes that no pattern tells apart are one class.
     signs: dict[tuple, int] = {}
-    sets = sorted({c for edges in b.step for c, _ in edges}, key=lambda c: (len(c), sorted(c)))
+    sets = sorted({c for edges in step for c, _ in edges}, key=lambda c: (len(c), sorted(c)))
     classes = np.zeros(256, np.uint8)
     for byte in range(256):
         classes[byte] = signs.setdefault(tuple(byte in c for c in sets), len(signs))
     sample = [int(np.flatnonzero(classes == k)[0]) for k in range(len(signs))]
 
-    # Sets of states are bit masks; into[s][k] is what state s leads to on a byte of class k.
+    # Sets of states are bit masks; into[s] has what state s leads to on a byte of each class.
     reach = []
-    for s in range(len(b.free)):
+    for s in range(len(free)):
         seen, todo = {s}, [s]
         while todo:
-            for t in b.free[todo.pop()]:
+            for t in free[todo.pop()]:
                 if t not in seen:
                     seen.add(t)
                     todo.append(t)
         reach.append(sum(1 << t for t in seen))
     into: list[list[tuple[int, int]]] = []
-    for edges in b.step:
+    for edges in step:
         by: dict[int, int] = {}
         for chars, t in edges:
             for k, byte in enumerate(sample):
@@ -229,10 +291,13 @@ def compile_search(patterns: list[tuple[str, bool]], limit: int = 20_000) -> Aut
                     by[k] = by.get(k, 0) | reach[t]
         into.append(list(by.items()))
     busy = sum(1 << s for s, x in enumerate(into) if x)
-    first = reach[start]
-    number, rows, queue = {first: 0}, [], [first]
+    first = 0
+    for s in starts:
+        first |= reach[s]
+    queue = [first] if search else [0, first]
+    number, rows = {m: i for i, m in enumerate(queue)}, []
     for states in queue:
-        then = [first] * len(sample)
+        then = [first if search else 0] * len(sample)
         live = states & busy
         while live:
             low = live & -live
@@ -246,7 +311,15 @@ def compile_search(patterns: list[tuple[str, bool]], limit: int = 20_000) -> Aut
                 if len(number) > limit:
                     raise ValueError("the automaton is too large")
         rows.append([number[mask] for mask in then])
-    final = sum(1 << s for s in finals)
     width = len(sample)
-    accepts = np.array([bool(states & final) for states in queue])
+    bits = [(1 << s, k) for s, k in finals.items()]
+    accepts = np.array([_union(states, bits) for states in queue], np.int64)
     return Automaton(classes, (np.array(rows, np.int32) * width).ravel(), accepts, width)
+
+
+def _union(states: int, bits: list[tuple[int, int]]) -> int:
+    out = 0
+    for b, kinds in bits:
+        if states & b:
+            out |= kinds
+    return out
