@@ -57,3 +57,14 @@ def mmr(candidates: DataFrame, key: str, vector: str, relevance: str, k: int, we
 
     chosen = F.aggregate(F.sequence(F.lit(1), F.lit(k)), empty, pick)
     return pool.select(F.posexplode(chosen).alias("mmr_pos", "c")).select(F.col("c.id").alias(key), (F.col("mmr_pos") + 1).alias("mmr_pos"))
+
+
+def diversified(top: DataFrame, vectors: DataFrame, key: str, vector: str, score: str, chosen: int, limit: int) -> DataFrame:
+    """(key, part, pos): of a bounded fused list `chosen` rows by `mmr` (part 0), then the others by score (part 1), up to `limit`.
+
+    Rows without a vector can't be chosen and fill up behind.
+    """
+    best = mmr(top.join(vectors, key), key, vector, score, chosen)
+    rest = top.join(best.select(key), key, "left_anti")
+    both = best.select(key, F.lit(0).alias("part"), F.col("mmr_pos").cast("double").alias("pos")).unionByName(rest.select(key, F.lit(1).alias("part"), (-F.col(score)).alias("pos")))
+    return both.orderBy("part", "pos", key).limit(limit).select(key, "part", F.round("pos", 6).alias("pos"))

@@ -108,20 +108,35 @@ def knn_ivf(df: DataFrame, key: str, vector: str, query: list[float], k: int, nl
 
 
 def hashing_embedder(dim: int = 64):
-    """A deterministic offline embedder: signed token hashes, normalised. Takes and gives Arrow-backed series."""
+    """A deterministic offline embedder: signed token hashes, normalised. Null and blank texts give zeros.
 
-    def embed(texts):
-        import pandas as pd
+    Works on whole Arrow batches: each different token of a batch is hashed once, all texts are summed up at once.
+    """
+    import pandas as pd
+
+    def embed(texts: pd.Series) -> pd.Series:
         import xxhash
 
-        out = []
-        for t in texts:
-            v = np.zeros(dim)
-            for w in (t or "").lower().split():
-                h = xxhash.xxh64_intdigest(w)
-                v[h % dim] += 1.0 if h >> 63 else -1.0
-            n = np.linalg.norm(v)
-            out.append((v / n if n else v).tolist())
-        return pd.Series(out)
+        parts = [(t or "").lower().split() for t in texts]
+        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        code, words = pd.factorize(np.array([w for p in parts for w in p], object))
+        h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+        at, sign = (h % np.uint64(dim)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
+        out = np.bincount(owner * dim + at[code], sign[code], len(parts) * dim).reshape(len(parts), dim) if len(code) else np.zeros((len(parts), dim))
+        norms = np.linalg.norm(out, axis=1, keepdims=True)
+        return pd.Series(list(out / np.where(norms == 0, 1, norms)))
 
+    embed.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     return F.pandas_udf(embed, "array<double>")
+
+
+def resolved(rows: DataFrame, key: str, vector: str, text: str, cache: DataFrame, dim: int) -> DataFrame:
+    """(key, vec, source): the usable vector of each row: its own, else that of its text in `cache` (content_hash, embedding), else none.
+
+    Only rows without a vector of their own are joined. Of several usable vectors of a text the smallest counts; a key has one row.
+    """
+    own = rows.select(F.col(key).alias(key), F.col(vector).alias("__v"), F.col(text).alias("__t"), usable(F.col(vector), dim).alias("__ok"))
+    mine = own.where("__ok").select(key, F.col("__v").alias("vec"), F.lit("own").alias("source"))
+    known = cache.where(usable(F.col("embedding"), dim)).groupBy("content_hash").agg(F.min("embedding").alias("vec"))
+    lack = own.where(~F.col("__ok")).select(key, F.sha2("__t", 256).alias("content_hash")).join(known, "content_hash", "left")
+    return mine.unionByName(lack.select(key, "vec", F.when(F.col("vec").isNotNull(), "cache").otherwise("none").alias("source")))

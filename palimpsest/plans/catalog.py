@@ -289,7 +289,15 @@ def dream_candidates(spark, d):
     return co_retrieved(B.sessions(spark, d), first, known)
 
 
-@query("auto_trigger")
+# The trigger as a recursion over each project's searches in order: 25 of them, 300 seconds since the last start, one start a day.
+_TRIGGER = """WITH RECURSIVE o AS (SELECT project_id, epoch_us(created_at) / 1000000.0 AS t, strftime(created_at, '%Y-%m-%d') AS today, row_number() OVER (PARTITION BY project_id ORDER BY created_at, session_id) AS n FROM (SELECT DISTINCT * FROM search_sessions WHERE session_id IS NOT NULL AND project_id IS NOT NULL AND created_at IS NOT NULL)),
+s AS (SELECT project_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS prev, '' AS d, CAST(0 AS BIGINT) AS runs, CAST(0 AS BIGINT) AS nth, false AS fired, CAST(0 AS DOUBLE) AS t FROM (SELECT DISTINCT project_id FROM o)
+UNION ALL SELECT project_id, n, CASE WHEN fire THEN CAST(0 AS BIGINT) ELSE k END, CASE WHEN fire THEN t ELSE prev END, today, CASE WHEN fire THEN runs + 1 ELSE runs END, CASE WHEN fire THEN nth + 1 ELSE nth END, fire, t
+  FROM (SELECT *, k >= 25 AND t - prev >= 300 AND runs < 1 AS fire FROM (SELECT s.project_id, o.n, s.k + 1 AS k, s.prev, o.today, CASE WHEN o.today <> s.d THEN CAST(0 AS BIGINT) ELSE s.runs END AS runs, s.nth, CAST(o.t AS DOUBLE) AS t FROM s JOIN o ON o.project_id = s.project_id AND o.n = s.n + 1)))
+SELECT project_id, t AS fired_at, CAST(nth AS INTEGER) AS nth FROM s WHERE fired"""
+
+
+@query("auto_trigger", _TRIGGER, base=False)
 def auto_trigger(spark, d):
     return replay_trigger(B.sessions(spark, d))
 

@@ -85,30 +85,31 @@ def hybrid_search(spark, d):
     return rrf_boost(spark, d).orderBy(F.desc("score"), "doc_id").limit(10)
 
 
-@query("hybrid_search_mmr")
-def hybrid_search_mmr(spark, d):
-    """The 50 best fused, ten of them chosen for relevance and difference; those without a vector fill up behind."""
-    top = rrf_boost(spark, d).orderBy(F.desc("score"), "doc_id").limit(50)
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    chosen = fusion.mmr(top.join(vectors, "doc_id"), "doc_id", "embedding", "score", 10)
-    rest = top.join(chosen.select("doc_id"), "doc_id", "left_anti")
-    both = chosen.select("doc_id", F.lit(0).alias("part"), F.col("mmr_pos").cast("double").alias("pos")).unionByName(rest.select("doc_id", F.lit(1).alias("part"), (-F.col("score")).alias("pos")))
-    return both.orderBy("part", "pos", "doc_id").limit(10).select("doc_id", "part", F.round("pos", 6).alias("pos"))
-
-
-def _mmr_sql(k: int = 3, pool: int = 10) -> str:
+def _mmr_sql(cand: str, key: str, k: int = 3) -> str:
+    """MMR unrolled for `cand`, the SQL of rows (key, rel, e): k CTEs s1, s2, ... and `chosen` (key, mmr_pos)."""
     sim = "list_inner_product(x.u, y.u)"
-    out = [f"""WITH raw AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, {_DOT} AS rel FROM embeddings ORDER BY rel DESC, vec_id LIMIT {pool}),
-cand AS (SELECT vec_id, rel, list_transform(e, lambda a: a / sqrt(list_inner_product(e, e))) AS u FROM raw), s1 AS (SELECT * FROM cand ORDER BY rel DESC, vec_id LIMIT 1)"""]
+    out = [f"raw AS ({cand}), cand AS (SELECT {key}, rel, list_transform(e, lambda a: a / sqrt(list_inner_product(e, e))) AS u FROM raw), s1 AS (SELECT * FROM cand ORDER BY rel DESC, {key} LIMIT 1)"]
     done = ["SELECT * FROM s1"]
     for i in range(2, k + 1):
         prior = " UNION ALL ".join(done)
-        out.append(f"s{i} AS (SELECT x.vec_id, x.rel, x.u FROM cand x, ({prior}) y WHERE x.vec_id NOT IN (SELECT vec_id FROM ({prior})) GROUP BY x.vec_id, x.rel, x.u ORDER BY round(0.3 * max({sim}) - 0.7 * x.rel, 9), x.rel DESC, x.vec_id LIMIT 1)")
+        out.append(f"s{i} AS (SELECT x.{key}, x.rel, x.u FROM cand x, ({prior}) y WHERE x.{key} NOT IN (SELECT {key} FROM ({prior})) GROUP BY x.{key}, x.rel, x.u ORDER BY round(0.3 * max({sim}) - 0.7 * x.rel, 9), x.rel DESC, x.{key} LIMIT 1)")
         done.append(f"SELECT * FROM s{i}")
-    return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT vec_id, CAST({i} AS BIGINT) AS mmr_pos FROM s{i}" for i in range(1, k + 1))
+    return ", ".join(out) + ", chosen AS (" + " UNION ALL ".join(f"SELECT {key}, CAST({i} AS BIGINT) AS mmr_pos FROM s{i}" for i in range(1, k + 1)) + ")"
+
+
+_TOP = f"top AS (SELECT fu.doc_id, {_BOOST} AS score FROM fu JOIN documents dd ON dd.doc_id = fu.doc_id ORDER BY score DESC, doc_id LIMIT 50)"
+_CAND = "SELECT top.doc_id, score AS rel, CAST(embedding AS DOUBLE[]) AS e FROM top JOIN embeddings ON vec_id = top.doc_id"
 
 
-@query("mmr_rerank", _mmr_sql())
+@query("hybrid_search_mmr", f"{_RRF}, {_TOP}, {_mmr_sql(_CAND, 'doc_id')} SELECT doc_id, part, pos FROM (SELECT doc_id, 0 AS part, CAST(mmr_pos AS DOUBLE) AS pos FROM chosen UNION ALL SELECT doc_id, 1, -score FROM top WHERE doc_id NOT IN (SELECT doc_id FROM chosen)) ORDER BY part, pos, doc_id LIMIT 10")
+def hybrid_search_mmr(spark, d):
+    """Of the 50 best fused three chosen for relevance and difference, then the others in their order, up to ten."""
+    top = rrf_boost(spark, d).orderBy(F.desc("score"), "doc_id").limit(50)
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return fusion.diversified(top, vectors, "doc_id", "embedding", "score", 3, 10)
+
+
+@query("mmr_rerank", "WITH " + _mmr_sql(f"SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, {_DOT} AS rel FROM embeddings ORDER BY rel DESC, vec_id LIMIT 10", "vec_id") + " SELECT * FROM chosen")
 def mmr_rerank(spark, d):
     e = table(spark, d, "embeddings")
     top = vector.knn_arrow(e, "vec_id", "embedding", _query_vector(spark, d), 10)
@@ -132,3 +133,13 @@ def embedding_cache_misses(spark, d):
 @query("vectors_missing", f"SELECT chunk_id FROM (SELECT chunk_id, vector AS v FROM c) WHERE NOT coalesce({_GOOD}, false)")
 def vectors_missing(spark, d):
     return B.chunks(spark, d).where(~vector.usable(F.col("vector"), DIM)).select("chunk_id")
+
+
+@query("vectors_resolved", f"""WITH k AS (SELECT content_hash, min(v) AS v FROM (SELECT content_hash, embedding AS v FROM embedding_cache WHERE content_hash IS NOT NULL) WHERE {_GOOD} GROUP BY 1),
+o AS (SELECT chunk_id, content, v, coalesce({_GOOD}, false) AS ok FROM (SELECT chunk_id, content, vector AS v FROM c))
+SELECT chunk_id, CASE WHEN ok THEN 'own' WHEN k.v IS NOT NULL THEN 'cache' ELSE 'none' END AS source, round(CAST(CASE WHEN ok THEN o.v[1] ELSE k.v[1] END AS DOUBLE), 5) AS x_first FROM o LEFT JOIN k ON NOT ok AND k.content_hash = sha256(o.content)""")
+def vectors_resolved(spark, d):
+    """The vector of every chunk: its own, or that of its content in the memo."""
+    cache = table(spark, d, "embedding_cache").where("content_hash is not null")
+    rows = vector.resolved(B.chunks(spark, d), "chunk_id", "vector", "content", cache, DIM)
+    return rows.select("chunk_id", "source", F.round(F.col("vec")[0].cast("double"), 5).alias("x_first"))
