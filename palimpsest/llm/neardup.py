@@ -67,14 +67,32 @@ def _need(n: np.ndarray, share: Fraction) -> np.ndarray:
     return -(-n * share.numerator // share.denominator)
 
 
+class _Fresh:
+    """Which classes a task meets for the first time, as far as it remembers."""
+
+    def __init__(self):
+        self.met: set[int] = set()
+
+    def __call__(self, cls: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(cls), bool)
+        for i, c in enumerate(cls.tolist()):
+            if c not in self.met:
+                self.met.add(c)
+                out[i] = True
+        if len(self.met) > POSTED:
+            self.met.clear()
+        return out
+
+
 def bucket_counts(texts: DataFrame, width: int, min_tokens: int, bits: int) -> np.ndarray:
-    """Texts holding a shingle of each bucket, over all texts; 2**bits numbers."""
+    """Texts holding a shingle of each bucket, over all texts, those of a class once in a task; 2**bits numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+        total, fresh = np.zeros(1 << bits, np.int64), _Fresh()
         for b in batches:
             s = shingles(b.column(0), width, min_tokens)
-            total += np.bincount((s.hash >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+            if len(s.docs):
+                total += np.bincount((s.hash[fresh(s.cls())[s.doc]] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         at = np.flatnonzero(total)
         for i in range(0, len(at), 65536):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 65536].astype(np.int32)), pa.array(total[at[i : i + 65536]])], ["bucket", "n"])
@@ -110,41 +128,42 @@ def near_classes(df: DataFrame, key: str, text: str, threshold: float | str = "0
             sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(s.hash.view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(s.docs)), pa.array(s.cls()), pa.array(s.size.astype(np.int32)), sets], ["key", "cls", "n", "items"])
 
+    hot = HOT
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, posted = held.value, set()
+        seen, fresh = held.value, _Fresh()
         for b in batches:
             s = shingles(b.column(0), width, min_tokens)
             if not len(s.docs):
                 continue
             cls, tables = s.cls(), pivot_table(s)
-            # A class met before in this task has posted already; the rest of its copies go at the distinct.
-            fresh = np.zeros(len(cls), bool)
-            for i, c in enumerate(cls.tolist()):
-                if c not in posted:
-                    posted.add(c)
-                    fresh[i] = True
-            if len(posted) > POSTED:
-                posted.clear()
-            order = np.lexsort((s.hash, seen[(s.hash >> np.uint64(64 - bits)).astype(np.int64)], s.doc))
+            bucket = (s.hash >> np.uint64(64 - bits)).astype(np.int64)
+            order = np.lexsort((s.hash, seen[bucket], s.doc))
             doc = s.doc[order]
             begin = np.concatenate([[0], np.cumsum(s.size)[:-1]])
             pos = np.arange(len(doc)) - begin[doc]
             n = s.size[doc]
-            at = (pos < n - _need(n, t) + 1) & fresh[doc]
+            # A class met before in this task has posted already; the rest of its copies go at the distinct.
+            at = (pos < n - _need(n, t) + 1) & fresh(cls)[doc]
             doc, pos, n, h = doc[at], pos[at], n[at], s.hash[order][at]
-            for i in range(0, len(doc), 100_000):
-                c = slice(i, i + 100_000)
-                indexed = pos[c] < n[c] - _need(2 * n[c], both) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(h[c].view(np.int64)), pa.array(cls[doc[c]]), pa.array(n[c].astype(np.int32)), pa.array(pos[c].astype(np.int32)), pa.array(indexed), *[pa.array(t[doc[c]]) for t in tables]], ["h", "cls", "n", "pos", "ix", *far])
+            # Postings of a shingle that may have many are dealt into blocks: each goes to a group (lo, hi) for its own and every other one.
+            blocks = np.maximum(1, -(-seen[bucket[order][at]].astype(np.int64) // hot))
+            blk = (mix(cls[doc].view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+            row = np.repeat(np.arange(len(doc)), blocks)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            lo, hi = np.minimum(blk[row], other), np.maximum(blk[row], other)
+            for i in range(0, len(row), 100_000):
+                c, r = slice(i, i + 100_000), row[i : i + 100_000]
+                indexed = pos[r] < n[r] - _need(2 * n[r], both) + 1
+                ints = [pa.array(x.astype(np.int32)) for x in (lo[c], hi[c], blk[r])]
+                yield pa.RecordBatch.from_arrays([pa.array(h[r].view(np.int64)), *ints, pa.array(cls[doc[r]]), pa.array(n[r].astype(np.int32)), pa.array(pos[r].astype(np.int32)), pa.array(indexed), *[pa.array(x[doc[r]]) for x in tables]], ["h", "lo", "hi", "blk", "cls", "n", "pos", "ix", *far])
 
     signed = cut(rows.mapInArrow(sign, f"key {kind}, cls long, n int, items array<long>"))
     members = signed.select("key", "cls", "n").dropDuplicates(["key"])
-    # One shuffle, by shingle, serves the distinct, the counts and both sides of the join.
+    # One shuffle, by shingle and blocks, serves the distinct and both sides of the join.
     kinds = ", ".join(f"{c} long" for c in far)
-    posts = rows.select("text").mapInArrow(post, f"h long, cls long, n int, pos int, ix boolean, {kinds}").repartition("h").distinct()
-    many = posts.groupBy("h").agg(F.count("*").alias("postings")).where(F.col("postings") > HOT)
-    few = posts.join(many.select("h"), "h", "left_anti")
-    pairs = _meet(few, ["h"], both).unionByName(_meet(_dealt(posts.join(many, "h")), ["h", "lo", "hi"], both)).distinct()
+    posts = rows.select("text").mapInArrow(post, f"h long, lo int, hi int, blk int, cls long, n int, pos int, ix boolean, {kinds}").repartition("h", "lo", "hi").distinct()
+    pairs = _meet(posts, both).distinct()
     sets = signed.select("cls", "n", "items").dropDuplicates(["cls"])
     num, den = both.numerator, both.denominator
     pairs = pairs.join(sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia")), "a")
@@ -154,18 +173,11 @@ def near_classes(df: DataFrame, key: str, text: str, threshold: float | str = "0
     return members, links
 
 
-def _dealt(posts: DataFrame) -> DataFrame:
-    """Postings of hot shingles in blocks: each goes to a group (lo, hi) for its own block and every other one of its shingle."""
-    n = F.ceil(F.col("postings") / HOT).cast("int")
-    out = posts.withColumn("blk", F.pmod(F.xxhash64("cls"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    return out.withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other")).drop("postings", "other")
-
-
-def _meet(posts: DataFrame, on: list[str], both: Fraction) -> DataFrame:
+def _meet(posts: DataFrame, both: Fraction) -> DataFrame:
     """(a, b): the pairs of postings of a group that neither sizes nor positions nor the pivot table rule out."""
     far = [f"far{i}" for i in range(LONGS)]
-    blocks = ["blk"] if "blk" in posts.columns else []
-    names = {"cls": "", "n": "n", "pos": "p", "ix": "ix", **{c: c for c in far}, **{c: c for c in blocks}}
+    on = ["h", "lo", "hi"]
+    names = {"cls": "", "n": "n", "pos": "p", "ix": "ix", "blk": "blk", **{c: c for c in far}}
     small = posts.select(*on, *[F.col(c).alias(x + "b") for c, x in names.items()])
     large = posts.select(*on, *[F.col(c).alias(x + "a") for c, x in names.items() if c != "ix"])
     num, den = both.numerator, both.denominator
@@ -173,10 +185,8 @@ def _meet(posts: DataFrame, on: list[str], both: Fraction) -> DataFrame:
     # What is shared lies at or after the positions of the first common shingle, and is `both` of the total at least.
     room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     # Told of both sides, the index flag stays above the shuffle, which else would be done once for each.
-    cond = (F.col("ixb") | (F.col("na") < 0)) & (F.struct("nb", "b") < F.struct("na", "a")) & (room * den >= total * num)
+    cond = (F.col("ixb") | (F.col("na") < 0)) & (F.struct("nb", "b") < F.struct("na", "a")) & ((F.col("lo") == F.col("hi")) | (F.col("blka") != F.col("blkb"))) & (room * den >= total * num)
     cond = cond & ((total - apart([F.col(f"{c}a") for c in far], [F.col(f"{c}b") for c in far])) * den >= total * num * 2)
-    if blocks:
-        cond = cond & ((F.col("lo") == F.col("hi")) | (F.col("blka") != F.col("blkb")))
     return large.join(small, on).where(cond).select("a", "b")
 
 
