@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -156,25 +157,61 @@ _POLYGLOT = re.compile(
 _NO_NAMES = {"if", "for", "while", "switch", "catch", "return", "else", "do", "new", "sizeof"}
 
 
-def polyglot_symbols(source: str | None) -> list[tuple[str, str, int, int]]:
-    """As `python_symbols` for brace languages, by declaration patterns; the last line is where the braces close."""
+#: Comments and literals, of which only the line breaks count; a quote of Rust may be a lifetime.
+_HIDDEN = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
+_HIDDEN_RUST = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"|'(?:\\[^\n]{1,8}?|[^'\\\n])'", re.S)
+_C_FUNCTION = r"^[ \t]*(?:[A-Za-z_][\w:<>,&*\[\]]*[ \t*&]+)+(?P<f>~?[A-Za-z_][\w:]*)[ \t]*\([^;{}]*\)[^;{}()]*\{"
+_METHOD = r"^[ \t]*(?:@\w+(?:\([^)]*\))?\s*|\[[^\]\n]*\]\s*)*(?:[A-Za-z_][\w<>\[\],.?]*[ \t]+)+(?P<f>[A-Za-z_]\w*)[ \t]*\([^;{}]*\)[^;{}()=]*[{;]"
+#: What declares a function or a class in a language, by extension; `register_language` adds to it.
+LANGUAGES: dict[str, re.Pattern] = {}
+
+
+def register_language(extensions: tuple[str, ...], function: str = "", cls: str = "") -> None:
+    """Patterns with a group f or c for the name; either may be empty. They see sources without comments and literals."""
+    pattern = re.compile("|".join(f"(?:{x})" for x in (function, cls) if x), re.M)
+    LANGUAGES.update(dict.fromkeys(extensions, pattern))
+
+
+register_language((".rs",), r"\bfn\s+(?P<f>\w+)", r"\b(?:struct|enum|trait)\s+(?P<c>\w+)|^[ \t]*(?:unsafe\s+)?impl(?:\s*<[^>{]*>)?\s+(?:[^{};]*?\bfor\s+)?(?P<i>\w+)")
+register_language((".go",), r"^func\s+(?:\([^)]*\)\s*)?(?P<f>\w+)", r"^[ \t]*type\s+(?P<c>\w+)")
+register_language((".c",), _C_FUNCTION, r"\bstruct\s+(?P<c>\w+)\s*\{")
+register_language((".cpp",), _C_FUNCTION, r"\b(?:class|struct)\s+(?P<c>\w+)[^;{}()]*\{")
+register_language((".h", ".hpp"), "", r"\b(?:class|struct)\s+(?P<c>\w+)[^;{}()]*\{")
+register_language((".java", ".cs"), _METHOD, r"\b(?:class|interface|enum|record|struct)\s+(?P<c>\w+)")
+register_language((".js", ".jsx"), r"\bfunction\s*\*?\s*(?P<f>\w+)\s*\(", r"\bclass\s+(?P<c>\w+)")
+register_language((".ts", ".tsx"), r"\bfunction\s*\*?\s*(?P<f>\w+)\s*[(<]", r"\b(?:class|interface)\s+(?P<c>\w+)")
+
+
+def polyglot_symbols(source: str | None, extension: str = "") -> list[tuple[str, str, int, int]]:
+    """As `python_symbols` for brace languages, by the declarations of the extension's language or, where it is unknown, of any.
+
+    Comments and literals declare nothing, and their braces don't count. The last line is where the braces close.
+    """
+    hidden = _HIDDEN_RUST if extension == ".rs" else _HIDDEN
+    text = hidden.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), source or "")
+    breaks = [i for i, c in enumerate(text) if c == "\n"]
+    braces = [(m.start(), 1 if m.group() == "{" else -1) for m in re.finditer(r"[{}]", text)]
+    places = [i for i, _ in braces]
     out = []
-    text = source or ""
-    for m in _POLYGLOT.finditer(text):
-        name = m["c"] or m["f"] or m["m"]
-        if not name or name in _NO_NAMES:
+    for m in LANGUAGES.get(extension, _POLYGLOT).finditer(text):
+        found = m.groupdict()
+        cls = found.get("c") or found.get("i")
+        name = cls or found.get("f") or found.get("m")
+        if not name or name in _NO_NAMES or not cls and re.match(r"\s*(?:return|new|else|throw|await)\b", m.group()):
             continue
-        first = text.count("\n", 0, m.start(m.lastgroup)) + 1
-        depth, at, end = 0, text.find("{", m.start()), m.end()
-        if at >= 0:
-            for i in range(at, len(text)):
-                depth += (text[i] == "{") - (text[i] == "}")
-                if depth == 0:
-                    end = i
-                    break
-            else:
-                end = len(text)
-        out.append(("class" if m["cls"] else "function", name, first, text.count("\n", 0, end) + 1))
+        at = m.start(next(g for g in ("c", "i", "f", "m") if found.get(g)))
+        semicolon = text.find(";", m.end() - 1)
+        depth, end = 0, m.end()
+        for i in range(bisect.bisect_left(places, at), len(braces)):
+            if depth == 0 and 0 <= semicolon < braces[i][0]:
+                break  # declared, without a body
+            depth += braces[i][1]
+            if depth <= 0:
+                end = braces[i][0]
+                break
+        else:
+            end = len(text) if depth > 0 else end
+        out.append(("class" if cls else "function", name, bisect.bisect_left(breaks, at) + 1, bisect.bisect_left(breaks, end) + 1))
     return out
 
 
@@ -189,8 +226,9 @@ def extract_symbols(df: DataFrame, path: str, text: str, key: list[str] | None =
         for b in batches:
             rows = []
             for i, (p, t) in enumerate(zip(b.column(len(key)).to_pylist(), b.column(len(key) + 1).to_pylist())):
-                f = extractor or (python_symbols if (p or "").endswith(".py") else polyglot_symbols)
-                rows += [(i, *s) for s in f(t)]
+                kind = "." + (p or "").rpartition(".")[2].lower()
+                found = extractor(t) if extractor else python_symbols(t) if kind == ".py" else polyglot_symbols(t, kind)
+                rows += [(i, *s) for s in found]
             c = list(zip(*rows)) if rows else [[]] * 5
             at = pa.array(c[0], pa.int64())
             yield pa.RecordBatch.from_arrays([*[b.column(j).take(at) for j in range(len(cols) - 1)], pa.array(c[1], pa.string()), pa.array(c[2], pa.string()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32())], [*cols[:-1], "node_type", "name", "start_line", "end_line"])

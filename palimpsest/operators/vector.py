@@ -100,9 +100,11 @@ def ivf_cells(df: DataFrame, key: str, vector: str, dim: int, nlist: int = NLIST
 def knn_ivf(df: DataFrame, key: str, vector: str, query: list[float], k: int, nlist: int = NLIST, nprobe: int = NPROBE, sample: int = 20_000, seed: int = 3) -> DataFrame:
     """The k best among the cells nearest to the query; cells are fitted on a bounded sample, every row is indexed."""
     cells = ivf_cells(df, key, vector, len(query), nlist, sample, seed)
-    if cells is None:
-        return knn(df, key, vector, query, k)
-    rows, centres = cells
+    return knn(df, key, vector, query, k) if cells is None else knn_in_cells(*cells, key, vector, query, k, nprobe)
+
+
+def knn_in_cells(rows: DataFrame, centres: np.ndarray, key: str, vector: str, query: list[float], k: int, nprobe: int = NPROBE) -> DataFrame:
+    """The k best of rows with their cell in `prediction`, among the cells whose centres are nearest to the query; only those are read."""
     probe = np.argsort(-(centres @ np.array(query)))[:nprobe].tolist()
     return knn(rows.where(F.col("prediction").isin(probe)), key, vector, query, k)
 

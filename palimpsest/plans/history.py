@@ -339,4 +339,4 @@ def extract_python_symbols(spark, d):
 @query("extract_polyglot_symbols")
 def extract_polyglot_symbols(spark, d):
     rows = B.links(spark, d).where(~F.col("file_path").endswith(".py")).join(B.chunks(spark, d).select("chunk_id", "content"), "chunk_id")
-    return graph.extract_symbols(rows, "file_path", "content", ["project_id", "chunk_id"], graph.polyglot_symbols)
+    return graph.extract_symbols(rows, "file_path", "content", ["project_id", "chunk_id"])

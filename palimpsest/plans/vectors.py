@@ -8,7 +8,7 @@ from ..operators import fusion, vector
 from ..session import table
 from . import base as B
 from .base import query
-from .index import search
+from .index import search, stored_cells
 from .text import match_sql
 
 DIM = 64
@@ -48,7 +48,11 @@ def knn_sharded(spark, d):
 
 @query("knn_ivf")
 def knn_ivf(spark, d):
-    return vector.knn_ivf(table(spark, d, "embeddings"), "vec_id", "embedding", _query_vector(spark, d), 20)
+    """The cells are fitted once for a table and kept; a query reads those it looks into."""
+    asked, cells = _query_vector(spark, d), stored_cells(spark, d, "embeddings", "vec_id", "embedding", DIM)
+    if cells is None:
+        return vector.knn(table(spark, d, "embeddings"), "vec_id", "embedding", asked, 20)
+    return vector.knn_in_cells(*cells, "vec_id", "embedding", asked, 20)
 
 
 @query("embed_hashing")

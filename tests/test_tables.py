@@ -238,7 +238,23 @@ SNIPPETS = {"rs": "pub fn foo() {\n}\nstruct Bar {\n}", "go": "func Foo(a int) e
 
 @pytest.mark.parametrize("ext", SNIPPETS)
 def test_symbols_of_brace_languages(ext):
-    assert graph.polyglot_symbols(SNIPPETS[ext])
+    assert graph.polyglot_symbols(SNIPPETS[ext]) and graph.polyglot_symbols(SNIPPETS[ext], f".{ext}")
+
+
+def test_braces_in_comments_and_literals_do_not_count():
+    java = "class A { // {{{\n  String s = \"}\"; /* void no() { */\n  public int f(int x) {\n    if (x > 0) { return g(x); }\n    return '}';\n  }\n}\ninterface B {\n  int h();\n}\n"
+    assert graph.polyglot_symbols(java, ".java") == [("class", "A", 1, 7), ("function", "f", 3, 6), ("class", "B", 8, 10), ("function", "h", 9, 9)]
+    rust = "impl<'a> Show for Item<'a> {\n    fn show(&self) -> char { '}' }\n}\npub struct Unit;\nfn last() {\n}\n"
+    assert graph.polyglot_symbols(rust, ".rs") == [("class", "Item", 1, 3), ("function", "show", 2, 2), ("class", "Unit", 4, 4), ("function", "last", 5, 6)]
+    go = "package a\n\ntype T struct {\n}\n\nfunc (t *T) Run(n int) error {\n\treturn f(func() {\n\t})\n}\n"
+    assert graph.polyglot_symbols(go, ".go") == [("class", "T", 3, 4), ("function", "Run", 6, 9)]
+    ts = "export interface P { a: string }\nexport function v<T>(p: T) {\n  return `{${p}`;\n}\n"
+    assert graph.polyglot_symbols(ts, ".ts") == [("class", "P", 1, 1), ("function", "v", 2, 4)]
+    c = "static int add(struct s *p, int b)\n{\n\treturn p->a + b;\n}\nint declared(int);\nstruct s {\n int a;\n};\n"
+    assert graph.polyglot_symbols(c, ".c") == [("function", "add", 1, 4), ("class", "s", 6, 8)]
+    graph.register_language((".zz",), r"proc (?P<f>\w+)")
+    assert graph.polyglot_symbols("proc one {\n}", ".zz") == [("function", "one", 1, 2)]
+    del graph.LANGUAGES[".zz"]
 
 
 def test_python_symbols(spark):
