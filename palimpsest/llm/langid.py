@@ -30,6 +30,8 @@ from ..session import ship
 #: Labelled documents per language that the classifiers are fitted on, at most, sentences of each, and characters of these.
 SAMPLE_DOCS, SAMPLE_SENTENCES, SENTENCE_CHARS = 150, 12, 400
 FEATURES, BITS = 2048, 16
+#: Bytes of the sums of all languages up to which they are kept between the fits.
+GRAM_BYTES = 320 << 20
 #: Letters that a paragraph's prose has at least, and where a letter is a word or a syllable.
 LETTERS, LETTERS_WIDE = 8, 4
 #: Gap of losses, as a part of the larger, below which a sentence is ambiguous.
@@ -188,13 +190,29 @@ class Model:
         once = list(number)
         return (np.concatenate([features(once[i : i + 256]) @ self.weights for i in range(0, len(once), 256)]) + self.bias)[at]
 
-    def losses(self, parts: list[str]) -> np.ndarray:
-        """Weighted squared hinge losses, parts x languages."""
-        s = self.signs(parts)
+    def losses(self, parts: list[str], s: np.ndarray | None = None) -> np.ndarray:
+        """Weighted squared hinge losses, parts x languages; `s` are the signs, if they are known."""
+        s = self.signs(parts) if s is None else s
         up, down = np.square(np.maximum(0, 1 - s)) * self.trust, np.square(np.maximum(0, 1 + s)) * self.trust
         return up @ (self.code > 0).T.astype(np.float32) + down @ (self.code < 0).T.astype(np.float32)
 
 
+def _sums(parts: list[str], y: np.ndarray, code: np.ndarray, at: np.ndarray, k: int, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of products of features, and of features and codewords, over the sentences `at`: of each of k languages, or weighted over all if k is 0."""
+    size = FEATURES + 1
+    gram, cross = np.zeros((k, size, size) if k else (size, size), np.float32 if k else np.float64), np.zeros((k, size, BITS) if k else (size, BITS))
+    for lang in range(k) if k else [None]:
+        mine = at if lang is None else at[y[at] == lang]
+        for i in range(0, len(mine), 1000):
+            rows = mine[i : i + 1000]
+            x = np.concatenate([features([parts[j] for j in rows]), np.ones((len(rows), 1), np.float32)], 1)
+            xw = x if lang is not None else x * share[y[rows]][:, None].astype(np.float32)
+            to = ... if lang is None else lang
+            gram[to] += xw.T @ x
+            cross[to] += xw.T @ code[y[rows]]
+    return gram, cross
+
+
 def fit(parts: list[str], langs: list[str]) -> Model | None:
     """Three ridge fits of all bits, the later ones without sentences that contradict their label; None without sentences."""
     names = sorted(set(langs))
@@ -204,24 +222,29 @@ def fit(parts: list[str], langs: list[str]) -> Model | None:
     code = codewords(len(names))
     use = np.ones(len(parts), bool)
     model = None
+    grams = crosses = None  # of each language's sentences, from which a later fit takes out those it doesn't use
     for turn in range(3):
         # Languages weigh alike only once wrong labels are out: among few sentences they'd be many.
         count = np.bincount(y[use], minlength=len(names))
         share = np.sqrt(use.sum() / np.maximum(count, 1) / max(1, (count > 0).sum())) if turn else np.ones(len(names))
-        gram, cross = np.zeros((FEATURES + 1, FEATURES + 1), np.float64), np.zeros((FEATURES + 1, BITS), np.float64)
         at = np.flatnonzero(use)
-        for i in range(0, len(at), 1000):
-            rows = at[i : i + 1000]
-            x = np.concatenate([features([parts[j] for j in rows]), np.ones((len(rows), 1), np.float32)], 1)
-            xw = x * share[y[rows]][:, None].astype(np.float32)
-            gram += xw.T @ x
-            cross += xw.T @ code[y[rows]]
+        if grams is None or len(names) * (FEATURES + 1) ** 2 * 4 > GRAM_BYTES:
+            grams, crosses = _sums(parts, y, code, at, len(names) if len(names) * (FEATURES + 1) ** 2 * 4 <= GRAM_BYTES else 0, share)
+            inside = use.copy()
+        else:
+            for rows, sign in ((np.flatnonzero(inside & ~use), -1), (np.flatnonzero(use & ~inside), 1)):
+                g, c = _sums(parts, y, code, rows, len(names), share)
+                grams += sign * g
+                crosses += sign * c
+            inside = use.copy()
+        gram, cross = (np.tensordot(share, grams, 1).astype(np.float64), np.tensordot(share, crosses, 1)) if grams.ndim == 3 else (grams.astype(np.float64), crosses)
         gram[np.diag_indices(FEATURES + 1)] += 1e-3 * len(at) / 50 + 0.5
         w = np.linalg.solve(gram, cross)
         model = Model(names, code, w[:-1].astype(np.float32), w[-1].astype(np.float32), np.ones(BITS, np.float32))
-        fine = model.losses(parts).argmin(1) == y
+        signs = model.signs(parts)
+        fine = model.losses(parts, signs).argmin(1) == y
         # A bit's trust is how often its sign was right on the sentences that were.
-        hit = ((model.signs(parts) * code[y] > 0) & fine[:, None]).sum(0)
+        hit = ((signs * code[y] > 0) & fine[:, None]).sum(0)
         acc = np.clip(hit / max(1, fine.sum()), 0.5, 0.999)
         model.trust = (np.log(acc / (1 - acc)) / np.log(999)).astype(np.float32) + 0.05
         use = fine if fine.any() else use
