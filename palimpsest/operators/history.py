@@ -31,15 +31,15 @@ def unquoted(path: Column) -> Column:
 
 
 def diff_path(diff: Column) -> Column:
-    """The path of a diff: after +++ b/, else of a binary line, else after --- a/, among its first 15 lines; quoted ones without their escapes."""
+    """The path of a diff: after +++ b/, else of a binary line, else after --- a/, among its first 15 lines; quoted ones without their escapes, and without the tab that ends one with blanks."""
     head = F.substring_index(diff, "\n", 15)
     get = lambda pattern: F.regexp_extract(head, pattern, 1)
     found = lambda c: F.when(c != "", c)
-    quoted = lambda mark: found(unquoted(F.regexp_replace(get(rf'(?:^|\n){mark}([^\n]*)'), '"$', "")))
+    quoted = lambda mark: found(unquoted(F.regexp_replace(get(rf'(?:^|\n){mark}([^\n]*?)\t?(?:\n|$)'), '"$', "")))
     return F.coalesce(
-        found(get(r"(?:^|\n)\+\+\+ b/([^\n]*)")), quoted(r'\+\+\+ "b/'),
+        found(get(r"(?:^|\n)\+\+\+ b/([^\n]*?)\t?(?:\n|$)")), quoted(r'\+\+\+ "b/'),
         found(get(r"(?:^|\n)Binary files? a/[^\n]+ and b/([^\n]+) differ(?:\n|$)")),
-        found(get(r"(?:^|\n)--- a/([^\n]*)")), quoted(r'--- "a/'),
+        found(get(r"(?:^|\n)--- a/([^\n]*?)\t?(?:\n|$)")), quoted(r'--- "a/'),
     )
 
 
@@ -59,14 +59,14 @@ def parse_sections(df: DataFrame, section: str) -> DataFrame:
 def parse_diffs(sections: DataFrame) -> DataFrame:
     """(commit_hash, file_path, change_type, diff_content) of parsed sections: a row per diff block with a path.
 
-    A name-status list before the first block gives the change; renames and copies count by their new path. Blocks over 2,000
+    A name-status or raw list before the first block gives the change; renames and copies count by their new path. Blocks over 2,000
     characters are cut, with a note.
     """
     marked = F.concat(F.lit("\n"), F.col("body"))
     blocks = F.split(marked, "\ndiff --git ")
     status = F.filter(F.split(blocks[0], "\n"), lambda x: x.contains("\t"))
     bare = lambda p: F.when(p.startswith('"'), unquoted(F.regexp_replace(p, '^"|"$', ""))).otherwise(p)
-    pairs = F.transform(status, lambda x: F.named_struct(F.lit("path"), bare(F.element_at(F.split(x, "\t"), -1)), F.lit("kind"), F.substring(F.trim(x), 1, 1)))
+    pairs = F.transform(status, lambda x: F.named_struct(F.lit("path"), bare(F.element_at(F.split(x, "\t"), -1)), F.lit("kind"), F.regexp_extract(F.trim(x), r"^(?::[^\t]* )?([A-Z])", 1)))
     rows = sections.select("commit_hash", pairs.alias("pairs"), F.explode(F.slice(blocks, 2, F.greatest(F.size(blocks), F.lit(1)))).alias("block"))
     rows = rows.withColumn("block", F.concat(F.lit("diff --git "), F.col("block")))
     rows = rows.withColumn("file_path", diff_path(F.col("block"))).where("file_path is not null")

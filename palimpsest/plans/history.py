@@ -104,8 +104,8 @@ _BARE = "replace(replace(replace({}, '\\\\', '\\'), '\\\"', '\"'), '\\t', chr(9)
 def _path_sql(block: str) -> str:
     head = f"array_to_string((string_split({block}, chr(10)))[1:15], chr(10))"
     get = lambda p: f"nullif(regexp_extract({head}, '{p}', 1), '')"
-    quoted = lambda mark: "nullif(" + _BARE.format(f"regexp_replace(regexp_extract({head}, '(?:^|\\n){mark}([^\\n]*)', 1), '\"$', '')") + ", '')"
-    parts = [get(r"(?:^|\n)\+\+\+ b/([^\n]*)"), quoted(r'\+\+\+ "b/'), get(r"(?:^|\n)Binary files? a/[^\n]+ and b/([^\n]+) differ(?:\n|$)"), get(r"(?:^|\n)--- a/([^\n]*)"), quoted(r'--- "a/')]
+    quoted = lambda mark: "nullif(" + _BARE.format(f"regexp_replace(regexp_extract({head}, '(?:^|\\n){mark}([^\\n]*?)\\t?(?:\\n|$)', 1), '\"$', '')") + ", '')"
+    parts = [get(r"(?:^|\n)\+\+\+ b/([^\n]*?)\t?(?:\n|$)"), quoted(r'\+\+\+ "b/'), get(r"(?:^|\n)Binary files? a/[^\n]+ and b/([^\n]+) differ(?:\n|$)"), get(r"(?:^|\n)--- a/([^\n]*?)\t?(?:\n|$)"), quoted(r'--- "a/')]
     return f"coalesce({', '.join(parts)})"
 
 

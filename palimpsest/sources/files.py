@@ -259,9 +259,13 @@ def git_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_git_log(directory: str, to: str, limit: int = 500) -> str:
-    """Saves the log of a repository's newest `limit` commits, merges left out, to the file `to`, in the form that `git_log` reads."""
-    form = f"{MARKER}%n%H|%an|%at|%s"
-    command = ["git", "-C", directory, "log", f"--max-count={limit}", "--no-merges", "--name-status", "-p", f"--format={form}"]
-    with open(to, "wb") as f:
-        subprocess.run(command, stdout=f, stderr=subprocess.DEVNULL, check=True, timeout=600)
+    """Saves the log of a repository's newest `limit` commits, merges left out, to the file `to` of any file system, in the form that `git_log` reads."""
+    command = ["git", "-C", directory, "log", f"--max-count={limit}", "--no-merges", "--raw", "-p", f"--format={MARKER}%H|%an|%at|%s"]
+    system, name = _open(to)
+    system.create_dir(name.rpartition("/")[0], recursive=True)
+    with subprocess.Popen(command, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL) as run, system.open_output_stream(name) as f:
+        while block := run.stdout.read(1 << 20):
+            f.write(block)
+    if run.returncode:
+        raise RuntimeError(f"git log of {directory} ended with {run.returncode}")
     return to

@@ -519,9 +519,7 @@ class Memory:
         Each message becomes a chunk with a vector, so that searches meet it.
         """
         if log is None:
-            log = f"{self.path.removeprefix('file://')}/git-log-{uuid.uuid4().hex}.txt"
-            os.makedirs(os.path.dirname(log), exist_ok=True)
-            sources.run_git_log(self.project_info(project_id)["directory"], log, limit)
+            log = sources.run_git_log(self.project_info(project_id)["directory"], f"{self.path}/git-log-{uuid.uuid4().hex}.txt", limit)
         parsed = history.parse_sections(sources.git_log(self.spark, log), "section").withColumn("project_id", F.lit(project_id))
         new = cut(parsed.where(T.is_meaningful(F.col("message"))).orderBy(F.desc("timestamp"), "commit_hash").limit(limit))
         rows = cut(history.parse_diffs(new).select(T.make_id(F.col("commit_hash"), F.col("file_path")).alias("id"), "commit_hash", F.lit(project_id).alias("project_id"), "file_path", "change_type", "diff_content").dropDuplicates(["id"]))

@@ -94,6 +94,29 @@ def test_long_sections_are_capped_by_lines(spark, tmp_path):
     assert sorted(got) == sorted(["h|a|1|s\n" + files.SECTION_CUT + "short\n", "x"])
 
 
+def test_log_of_a_repository(spark, tmp_path):
+    import subprocess
+
+    from palimpsest.operators import history
+
+    repo = tmp_path / "repo"
+    repo.mkdir()
+    git = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=Ann", "-c", "user.email=a@example.com", *a], check=True, capture_output=True)
+    git("init", "-q")
+    for i, text in enumerate(("one\n", "two\n")):
+        (repo / "a b.txt").write_text(text)
+        (repo / f"c{i}.py").write_text(text)
+        git("add", "-A")
+        git("commit", "-q", "-m", f"change number {i} | of two")
+    log = files.run_git_log(str(repo), f"file://{tmp_path}/logs/x.txt")
+    parsed = history.parse_sections(files.git_log(spark, log), "section")
+    assert [(r.author, r.message) for r in parsed.orderBy("message").collect()] == [("Ann", "change number 0 | of two"), ("Ann", "change number 1 | of two")]
+    rows = {(r.file_path, r.change_type) for r in history.parse_diffs(parsed).collect()}
+    assert rows == {("a b.txt", "ADDED"), ("c0.py", "ADDED"), ("a b.txt", "MODIFIED"), ("c1.py", "ADDED")}
+    with pytest.raises(RuntimeError):
+        files.run_git_log(str(tmp_path), f"file://{tmp_path}/logs/y.txt")
+
+
 def test_stored_index_equals_the_pass_over_texts(spark):
     from palimpsest.operators import fts
     from palimpsest.session import table
