@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import fts, fusion, vector
 from .pairs import pairs_within
 
@@ -143,17 +144,17 @@ def search(spark: SparkSession, commits: DataFrame, diffs: DataFrame, tags: Data
     """(commit_hash, score, lex_rank, vec_rank, author, timestamp, message, diffs, tags): commits by message and by vector, fused.
 
     `vectors` are (commit_hash, vector) as stored. With `file_filter` only commits count that touch a path holding it, and only such
-    diffs come out: the first five by path, 500 characters of each. Commits without a message have no words.
+    diffs come out: the first five by path, 500 characters of each. Commits without a message have no words; repeated diffs are one.
     """
     if file_filter:
         diffs = diffs.where(F.col("file_path").contains(file_filter))
-        commits = commits.join(diffs.select("commit_hash").distinct(), "commit_hash", "left_semi")
+        commits = cut(commits.join(diffs.select("commit_hash").distinct(), "commit_hash", "left_semi"))
     lex = fusion.ranked(fts.search(commits.where("message is not null"), "commit_hash", "message", query, 2 * limit, "any"), "score", "commit_hash", "lex_rank")
     near = vector.knn_arrow(vectors.join(commits.select("commit_hash"), "commit_hash", "left_semi"), "commit_hash", "vector", query_vector, 2 * limit)
     top = fusion.rrf(lex, near, "commit_hash").orderBy(F.desc("score"), "commit_hash").limit(limit)
-    top = top.join(commits.select("commit_hash", "author", "timestamp", "message"), "commit_hash")
+    top = cut(top.join(commits.select("commit_hash", "author", "timestamp", "message"), "commit_hash"))  # `limit` rows
     w = Window.partitionBy("commit_hash").orderBy("file_path", "id")
-    few = diffs.join(F.broadcast(top.select("commit_hash")), "commit_hash", "left_semi").withColumn("__r", F.row_number().over(w)).where("__r <= 5")
+    few = diffs.join(F.broadcast(top.select("commit_hash")), "commit_hash", "left_semi").distinct().withColumn("__r", F.row_number().over(w)).where("__r <= 5")
     few = few.groupBy("commit_hash").agg(F.array_sort(F.collect_list(F.struct("file_path", "change_type", F.substring("diff_content", 1, 500).alias("preview")))).alias("diffs"))
     said = tags.groupBy("commit_hash").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
     return top.join(few, "commit_hash", "left").join(said, "commit_hash", "left")

@@ -57,6 +57,11 @@ def diffs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "git_diffs").where("id is not null").distinct()
 
 
+def repeated_diffs(spark: SparkSession, d: str) -> DataFrame:
+    """Diffs with their repeated rows, for operators that take pairs of commit and path once anyway: contents stay unread."""
+    return table(spark, d, "git_diffs").where("id is not null")
+
+
 def files(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "file_metadata").where("project_id is not null and file_path is not null").distinct()
 

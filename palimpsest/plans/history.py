@@ -91,7 +91,7 @@ SELECT fu.commit_hash, fu.score, coalesce(lex_rank, 0) AS lex_rank, coalesce(vec
 def search_history(spark, d):
     """The ten best commits by message and vector that touch a path with src in it, with their first diffs and their tags."""
     asked = list(table(spark, d, "embeddings").where("vec_id = 0").first()["embedding"])
-    rows = H.search(spark, B.commits(spark, d), B.diffs(spark, d), _tags(spark, d), B.commit_vectors(spark, d), "fix cache", asked, "src", 10)
+    rows = H.search(spark, B.commits(spark, d), B.repeated_diffs(spark, d), _tags(spark, d), B.commit_vectors(spark, d), "fix cache", asked, "src", 10)
     none = F.array().cast("array<string>")
     said = F.transform("diffs", lambda x: F.concat(x["file_path"], F.lit(">"), F.coalesce(x["preview"], F.lit(""))))
     rank = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
@@ -152,7 +152,7 @@ _RECENT = f"{_PAIRS}, y AS (SELECT DISTINCT commit_hash, file_path FROM gd WHERE
 
 
 def _pairs(spark, d):
-    return H.couplings(B.diffs(spark, d), B.commits(spark, d), 3, 2000)
+    return H.couplings(B.repeated_diffs(spark, d), B.commits(spark, d), 3, 2000)
 
 
 @query("temporal_couplings", f"WITH {_PAIRS} SELECT * FROM pa")
