@@ -319,27 +319,36 @@ def test_shared_folder_is_asked_for_on_a_cluster(monkeypatch):
         session.shared_dir(fake)
 
 
-def test_cut_tables_go_when_nothing_needs_them(spark):
-    import gc
-
-    from palimpsest import session
+def test_cut_tables_go_when_nothing_needs_them(tmp_path):
+    """In a session of its own, which nothing else holds plans in."""
+    import subprocess
+    import sys
 
-    def folders():
-        for _ in range(3):
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()
-        session._sweep(spark)
-        return {p for _, p in session._CUTS}
-
-    one = session.cut(spark.range(5))
-    path = session._CUTS[-1][1]
-    both = one.join(session.cut(spark.range(3)), "id")
-    del one
-    kept, n = path in folders(), both.count()
-    assert kept and n == 3
-    del both
-    gone = path not in folders()
-    assert gone
+    code = f"""
+import gc, time
+from palimpsest import session
+spark = session.get_spark(2, 2, "1g")
+spark.sparkContext.setCheckpointDir("file://{tmp_path}/shared")
+
+def held(path):
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    session._sweep(spark)
+    return path in {{p for _, p in session._CUTS}}
+
+one = session.cut(spark.range(5))
+path = session._CUTS[-1][1]
+both = one.join(session.cut(spark.range(3)), "id")
+del one
+assert held(path) and both.count() == 3
+del both
+until = time.monotonic() + 60
+while (left := held(path)) and time.monotonic() < until:
+    time.sleep(0.5)
+assert not left
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=180, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def test_hubs_and_large_memory_banks_come_whole(spark, tmp_path):
