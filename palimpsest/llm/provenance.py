@@ -14,6 +14,7 @@ of their own, which send one message up and get one back, so the number of jobs
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -126,6 +127,11 @@ def _named(name: str) -> np.ndarray:
     return out
 
 
+def _texts(values: Iterable[str]) -> pd.Series:
+    """A column of strings, even of none: the column of an empty list is numbers, at which the conversion to Arrow fails."""
+    return pd.Series(list(values), dtype=object)
+
+
 _DECIDES = frozenset((*VENDORED_DIRS, *GENERATED_DIRS))
 
 
@@ -183,7 +189,7 @@ class Forest:
         best = final.argmax(1)
         sure = 1 / np.exp(final - final.max(1, keepdims=True)).sum(1)
         keys = [self.dirs[i] for i in self.own[some].tolist()]
-        return pd.DataFrame({"g": [k[0] for k in keys], "dir": [k[1] for k in keys], "signs": mine, "label": np.array(LABELS, object)[best], "confidence": sure})
+        return pd.DataFrame({"g": _texts(k[0] for k in keys), "dir": _texts(k[1] for k in keys), "signs": mine, "label": np.array(LABELS, object)[best], "confidence": sure})
 
 
 def _signs(real: DataFrame) -> Column:
@@ -280,8 +286,8 @@ def _by_blocks(rows: DataFrame, tree: DataFrame, shards: int, limit: int) -> Dat
         sent = f.upward()
         roots = [i for i in range(len(f.dirs)) if f.up[i] < 0 and f.dirs[i][1]]
         out = pd.DataFrame(sent[roots], columns=[f"m{i}" for i in range(5)])
-        out.insert(0, "g", [f.dirs[i][0] for i in roots])
-        out.insert(1, "block", [f.dirs[i][1] for i in roots])
+        out.insert(0, "g", _texts(f.dirs[i][0] for i in roots))
+        out.insert(1, "block", _texts(f.dirs[i][1] for i in roots))
         return out
 
     sent = cut(lower.groupBy("shard").applyInPandas(send, f"g string, block string, {numbers}"))

@@ -112,3 +112,12 @@ def test_trees_cut_into_blocks_have_the_same_labels(spark):
         cut = {(x.project_id, x.file_path): (x.label, round(x.confidence, 9)) for x in provenance.label_files(fm, *none, block_dirs=limit).collect()}
         assert cut == whole, limit
     assert len(whole) == fm.count() and len({x[0] for x in whole.values()}) > 2
+
+
+def test_small_trees_beside_one_that_is_cut(spark, monkeypatch):
+    rows = [("p", f"d{i}/e/x{i}.js") for i in range(60)] + [(f"g{i}", "vendor/y.js") for i in range(12)]
+    fm = spark.createDataFrame(rows, "project_id string, file_path string")
+    none = spark.createDataFrame([], "project_id string, file_path string, chunk_id string"), spark.createDataFrame([], "chunk_id string, content string")
+    monkeypatch.setattr(provenance, "SHARD_DIRS", 5)  # some groups have small trees only, which send nothing up
+    got = {(x.project_id, x.file_path): x.label for x in provenance.label_files(fm, *none, block_dirs=20).collect()}
+    assert got == {(g, p): "vendored" if g != "p" else "handwritten" for g, p in rows}
