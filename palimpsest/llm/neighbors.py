@@ -2,9 +2,8 @@
 
 Pivots are fitted on a bounded sample. A vector is represented by the ordered
 list of its nearest pivots and posted, with its rank, in the inverted file of
-each; the files of pivots that very many vectors have are cut by these vectors' other pivots. A query looks into the
-files of its own pivots, ranks what is posted there by footrule distance between the truncated permutations, and reranks
-the nearest by exact cosine.
+each. A query looks into the whole files of its own pivots, however long they are, ranks what is posted there by footrule
+distance between the truncated permutations, and reranks the nearest by exact cosine.
 
 Equal vectors are one class, so copies are never paired with each other in the
 files; their rows come back when the classes' lists are expanded.
@@ -31,10 +30,10 @@ PIVOTS_PER_ROOT, MIN_PIVOTS, MAX_PIVOTS = 2.0, 16, 8192
 PERMUTATION, POSTED = 64, 4
 #: Candidates of a query in one file, nearest by footrule, that are reranked by cosine: RERANK times k, and SHARE of the file at least.
 RERANK, SHARE = 24, 0.6
-#: Vectors of one block of an inverted file; larger files are cut into blocks.
+#: Queries of one block of an inverted file; a longer file's queries are cut into blocks, each of which meets the whole file.
 BLOCK = 2048
-#: Postings from which on a file is cut by the vectors' other pivots, and by how many of them.
-SPLIT, OTHERS = 32_768, 2
+#: Postings up to which 64 queries at least are compared with a file at once; the longer it is, the fewer. No result depends on it.
+SPLIT = 32_768
 #: Decimals of a cosine: what is equal in them is a tie, settled by key.
 DECIMALS = 12
 
@@ -91,12 +90,14 @@ def search_block(q_ids: np.ndarray, q_perm: np.ndarray, q_vec: np.ndarray, x_ids
     """
     n = len(x_ids)
     keep = max(rerank * k, math.ceil(share * n))
+    # Batches bound the memory: of queries, and of those whose candidates' vectors are taken together.
+    many, few = max(1, min(256, 64 * SPLIT // n)), max(1, min(64, 64 * BLOCK // keep))
     out = []
-    for i in range(0, len(q_ids), 256):
-        ids, vec = q_ids[i : i + 256], q_vec[i : i + 256]
+    for i in range(0, len(q_ids), many):
+        ids, vec = q_ids[i : i + many], q_vec[i : i + many]
         if n > keep:
-            near = _top(nearness(q_perm[i : i + 256], x_perm) * n - np.arange(n), keep)
-            cos = np.concatenate([np.einsum("qd,qkd->qk", vec[j : j + 64], x_vec[near[j : j + 64]]) for j in range(0, len(vec), 64)])
+            near = _top(nearness(q_perm[i : i + many], x_perm) * n - np.arange(n), keep)
+            cos = np.concatenate([np.einsum("qd,qkd->qk", vec[j : j + few], x_vec[near[j : j + few]]) for j in range(0, len(vec), few)])
             cand = x_ids[near]
         else:
             near = np.arange(n)
@@ -194,26 +195,16 @@ def _search(classes: DataFrame, n: int, dim: int, k: int, sample: int, posted: i
             perm = np.take_along_axis(near, order, 1).astype(np.int16 if len(p) < 32768 else np.int32)
             packed = [x.tobytes() for x in perm]
             stored = [x.tobytes() for x in raw.astype(store)]
-            first = perm[:, : posted + OTHERS].astype(np.int32)
+            first = perm[:, :posted].astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.binary()), pa.array(stored, pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(first.ravel()), first.shape[1]).cast(pa.list_(pa.int32()))], ["cls", "least", "perm", "raw", "first"])
 
     least = classes.schema["least"].dataType.simpleString()
     index = cut(classes.select("cls", "vec", "least").mapInArrow(represent, f"cls long, least {least}, perm binary, raw binary, first array<int>"))
-    files = F.slice("first", 1, posted)
-    # Long files are cut into blocks; each of their queries meets each block, as set against all rows. Very long ones are cut
-    # by other pivots before: a vector goes to the parts of its nearest ones, as it does to the files.
-    lengths = {r[0]: r[1] for r in index.select(F.explode(files).alias("f")).groupBy("f").count().collect()}  # a row per pivot
-    deep = [i for i in range(m) if lengths.get(i, 0) > SPLIT]
-    table = spark.createDataFrame([(i, max(1, math.ceil(lengths.get(i, 0) / BLOCK)), i in set(deep)) for i in range(m)], "f int, blocks int, deep boolean")
-    posts = index.select("cls", "least", "perm", "raw", "first", F.explode(files).alias("f")).join(F.broadcast(table), "f")  # MAX_PIVOTS rows at most
-    others = F.slice(F.filter("first", lambda x: x != F.col("f")), 1, OTHERS)
-    others = F.when(F.size(others) > 0, others).otherwise(F.array(F.lit(-1)))
-    flat = posts.where("not deep").select("cls", "least", "perm", "raw", "f", F.lit(-1).alias("s"), "blocks")
-    if deep:
-        part = lambda df: df.where("deep").withColumn("s", F.explode(others))
-        counts = part(index.select("first", F.explode(files).alias("f")).join(F.broadcast(table), "f")).groupBy("f", "s").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        flat = flat.unionByName(part(posts.drop("blocks")).select("cls", "least", "perm", "raw", "f", "s").join(counts, ["f", "s"]))
-    posts = flat.withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    # The queries of long files are cut into blocks; the whole file goes to each of them, as footrule keeps a share of the whole.
+    lengths = {r[0]: r[1] for r in index.select(F.explode("first").alias("f")).groupBy("f").count().collect()}  # a row per pivot
+    table = spark.createDataFrame([(i, max(1, math.ceil(lengths.get(i, 0) / BLOCK))) for i in range(m)], "f int, blocks int")
+    posts = index.select("cls", "least", "perm", "raw", F.explode("first").alias("f")).join(F.broadcast(table), "f")  # MAX_PIVOTS rows at most
+    posts = posts.withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     kind = np.int16 if m < 32768 else np.int32
 
     def in_file(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -222,18 +213,20 @@ def _search(classes: DataFrame, n: int, dim: int, k: int, sample: int, posted: i
         ids = pdf["cls"].to_numpy(np.int64)
         perm = np.frombuffer(b"".join(pdf["perm"]), kind).reshape(len(pdf), size)
         unit = normed(np.frombuffer(b"".join(pdf["raw"]), store).reshape(len(pdf), dim).astype(np.float64))
-        isx, isq = pdf["x"].to_numpy(bool), pdf["q"].to_numpy(bool)
+        isq = pdf["q"].to_numpy(bool)
+        if not isq.any():
+            return pd.DataFrame({"q": ids[:0], "x": ids[:0], "cos": np.zeros(0)})
         num = np.arange(len(pdf))
         # A row in both roles must be told from itself: the number of its id.
         _, code = np.unique(ids, return_inverse=True)
         first = np.zeros(code.max() + 1, np.int64)
         first[code] = num
-        a, b, c = search_block(code[isq], perm[isq], unit[isq], code[isx], perm[isx], unit[isx], k)
+        a, b, c = search_block(code[isq], perm[isq], unit[isq], code, perm, unit, k)
         return pd.DataFrame({"q": ids[first[a]], "x": ids[first[b]], "cos": c})
 
-    # In a file of one block every row is query and posting; in a longer one the queries go to every block.
-    feed = posts.where("blocks = 1").select("f", "s", "blk", "cls", "least", "perm", "raw", F.lit(True).alias("q"), F.lit(True).alias("x"))
-    if deep or max(lengths.values()) > BLOCK:
-        asq = posts.where("blocks > 1").select("f", "s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"), "blk", "cls", "least", "perm", "raw")
-        feed = feed.unionByName(asq.select("f", "s", F.col("to").alias("blk"), "cls", "least", "perm", "raw", F.lit(True).alias("q"), (F.col("to") == F.col("blk")).alias("x")))
-    return feed.groupBy("f", "s", "blk").applyInPandas(in_file, schema)
+    # Every row is a posting in each block of its file, and a query in one.
+    feed = posts.where("blocks = 1").select("f", "blk", "cls", "least", "perm", "raw", F.lit(True).alias("q"))
+    if max(lengths.values()) > BLOCK:
+        asx = posts.where("blocks > 1").select("f", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"), "blk", "cls", "least", "perm", "raw")
+        feed = feed.unionByName(asx.select("f", F.col("to").alias("blk"), "cls", "least", "perm", "raw", (F.col("to") == F.col("blk")).alias("q")))
+    return feed.groupBy("f", "blk").applyInPandas(in_file, schema)

@@ -206,6 +206,19 @@ def test_neighbors_of_very_long_files(spark, monkeypatch):
     assert len({(r.id, r.neighbour) for r in out} & brute(rows, 5, 16)) >= 0.9 * 4500 and len({r.id for r in out}) == 900
 
 
+def test_neighbors_are_the_same_however_files_are_cut(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(f"v{i}", [float(np.float32(x)) for x in rng.normal(size=12)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "id string, v array<float>")
+    monkeypatch.setattr(neighbors, "PIVOTS_PER_ROOT", 0.1)  # long files, in which footrule decides
+    got = lambda: {(r.id, r.neighbour, r["rank"], r.similarity) for r in neighbors.nearest(df, "id", "v", 5, 12).collect()}
+    whole = got()
+    for name, size in (("BLOCK", 64), ("SPLIT", 40)):
+        with monkeypatch.context() as m:
+            m.setattr(neighbors, name, size)
+            assert got() == whole, name
+
+
 def test_neighbors_few_rows(spark):
     df = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "id string, v array<double>")
     assert {(r.id, r.neighbour) for r in neighbors.nearest(df, "id", "v", 5).collect()} == {("a", "b"), ("b", "a")}
